@@ -18,7 +18,7 @@ from tempora.functions.spans import (
     spans_text,
     upper,
 )
-from tempora.operators import algebra, history, olap, quality, reports
+from tempora.operators import algebra, history, literal, olap, quality, reports
 from tempora.operators.periods import (
     coalesce_periods,
     intersect_rows,
@@ -273,6 +273,11 @@ def split_timeline_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_timeline(Warehouse(spark, sf_dir).table("item_category"), ["cat_id"])
 
 
+def global_blocks_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parity kernel: periods of the whole table that a brand opens and closes."""
+    return literal.global_blocks(Warehouse(spark, sf_dir).table("scd_item"), ["brand_id"])
+
+
 # --- algebra and OLAP ------------------------------------------------------------
 
 
@@ -525,6 +530,7 @@ def queries() -> dict[str, Query]:
         "tcount": tcount_,
         "tcount_when": tcount_when,
         "split_timeline": split_timeline_,
+        "global_blocks": global_blocks_,
     }
     out.update({name: _algebra(name) for name in algebra_views.NAMES})
     relations = {
