@@ -9,7 +9,7 @@ from tempora.functions.spans import span
 from tempora.operators import history
 from tempora.operators.periods import pack
 from tempora.sources import csv
-from tempora.sources.tables import replace_table, row_bound
+from tempora.sources.tables import replace_bucketed, replace_table, row_bound
 
 
 ATTRIBUTES = {"brand_id": "item_brand", "cat_id": "item_category", "price": "item_price"}
@@ -19,16 +19,23 @@ def _with_set(entities: DataFrame, periods: DataFrame, key: str) -> DataFrame:
     return entities.join(pack(periods, [key]), key, "left")
 
 
-def load_dimensions(versions: DataFrame, out: str) -> dict[str, DataFrame]:
+def load_dimensions(
+    versions: DataFrame, out: str, buckets: int | None = None
+) -> dict[str, DataFrame]:
     """Derive and store the dimension tables of both designs.
 
     Each attribute is coalesced once: packed tables and the lifespans of
-    brands and categories are built from the stored interval rows.
+    brands and categories are built from the stored interval rows.  With
+    ``buckets`` the per-item tables are bucketed by item.
     """
     stored: dict[str, DataFrame] = {}
 
     def put(name: str, df: DataFrame) -> None:
-        stored[name] = replace_table(df, f"{out}/{name}")
+        path = f"{out}/{name}"
+        if buckets and name.startswith("item_"):
+            stored[name] = replace_bucketed(df, path, "item_id", buckets)
+        else:
+            stored[name] = replace_table(df, path)
 
     put("item", history.item(versions))
     put("item_ls", history.lifespan(versions))

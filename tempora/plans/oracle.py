@@ -188,8 +188,9 @@ def _blocks(keys: str) -> str:
     mine = ", ".join(f"v.{k.strip()}" for k in keys.split(","))
     return f"""
         SELECT DISTINCT {mine}, g.from_d, g.to_d
-        FROM ({GLOBAL}) g JOIN versions v ON v.from_d = g.from_d
-        JOIN versions e ON e.to_d = g.to_d AND {same}"""
+        FROM ({GLOBAL}) g
+        JOIN (SELECT DISTINCT {keys}, from_d FROM versions) v ON v.from_d = g.from_d
+        JOIN (SELECT DISTINCT {keys}, to_d FROM versions) e ON e.to_d = g.to_d AND {same}"""
 
 
 BLOCKS_BUSY = islands(
