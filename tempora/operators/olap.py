@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.functions.spans import FROM, TO, contains_day, spans_contain, spans_intersect
-from tempora.operators.periods import Keys, intersect_rows
-from tempora.operators.sized import is_small, small
+from tempora.functions.spans import FROM, TO, contains_day, spans_contain
+from tempora.operators.periods import Keys, intersect_rows, pack, unpack
+from tempora.operators.sized import is_small, salted, small
 
 TOTAL = "decimal(18,2)"
 
@@ -76,10 +76,27 @@ def by_span_set_any_day(
 def _members(
     item_category: DataFrame, category_periods: DataFrame, category_rows: int | None
 ) -> DataFrame:
-    """Item periods in a category met with the periods of the category."""
+    """Item periods in a category met with the periods of the category.
+
+    Categories are few and their item lists long, so without a broadcast the
+    join is salted: one category is worked on by many tasks.
+    """
     ic = item_category.select("item_id", "cat_id", FROM, TO, F.struct(FROM, TO).alias("ic"))
     q = category_periods.select("cat_id", FROM, TO, F.struct(FROM, TO).alias("q"))
-    return intersect_rows(ic, small(q, category_rows), ["cat_id"])
+    if is_small(category_rows):
+        return intersect_rows(ic, small(q, category_rows), ["cat_id"])
+    ic, q = salted(ic, q)
+    return intersect_rows(ic, q, ["cat_id", "salt"]).drop("salt")
+
+
+def _periods_of(
+    members: DataFrame, category_periods: DataFrame, category_rows: int | None
+) -> DataFrame:
+    """All periods of the category of each member."""
+    if is_small(category_rows):
+        return members.join(small(category_periods, category_rows), "cat_id")
+    members, periods = salted(members, category_periods)
+    return members.join(periods, ["cat_id", "salt"]).drop("salt")
 
 
 def by_category(
@@ -116,14 +133,17 @@ def by_category_span_set(
     category_rows: int | None = None,
 ) -> DataFrame:
     """Packed parity form: grouped by the value of the common span set, the
-    day again tested against the category's set only."""
-    ic = item_category_ss.withColumnRenamed("vt", "ic_vt")
-    q = category_ss.withColumnRenamed("vt", "q_vt")
-    members = (
-        ic.join(small(q, category_rows), "cat_id")
-        .withColumn("vt", spans_intersect(F.col("ic_vt"), F.col("q_vt")))
-        .where(F.col("vt").isNotNull())
-        .drop("ic_vt")
-    )
-    inside = spans_contain(F.col("q_vt"), F.col("sold_d"))
-    return total(join_facts(facts, members, inside), ["cat_id", "vt"])
+    day again tested against the category's set only.
+
+    Sales meet the category's periods as rows and are summed per item and
+    category; the sets join only those sums.
+    """
+    member = ["item_id", "cat_id"]
+    met = _members(unpack(item_category_ss), unpack(category_ss), category_rows)
+    sets = pack(met, member)
+    # Every period of the category's set counts, met by the item or not.
+    periods = _periods_of(sets.select(*member), unpack(category_ss), category_rows)
+    inside = contains_day(F.col(FROM), F.col(TO), F.col("sold_d"))
+    paid = join_facts(facts, periods, inside).groupBy(*member)
+    paid = paid.agg(F.sum("net_paid").alias("net_paid"))
+    return total(sets.join(paid, member), ["cat_id", "vt"])

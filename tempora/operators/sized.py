@@ -1,4 +1,4 @@
-"""Broadcast only behind a proven bound on the rows."""
+"""Broadcast only behind a proven bound on the rows; salt few-valued keys."""
 
 from __future__ import annotations
 
@@ -22,3 +22,18 @@ def small(df: DataFrame, rows: int | None) -> DataFrame:
     splits skewed partitions at run time.
     """
     return F.broadcast(df) if is_small(rows) else df
+
+
+# Tasks that one key value of a salted join is spread over.
+SALTS = 32
+
+
+def salted(many: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add a ``salt`` column to join on besides the key.
+
+    Rows of ``many`` get a salt from their content, so a rerun task repeats it;
+    rows of ``few`` are copied once per salt.  Every pair still meets once.
+    """
+    salt = F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return many.withColumn("salt", salt), few.withColumn("salt", copies)

@@ -32,7 +32,10 @@ def item_days(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.min("l_suppkey").alias("cat_id"),
             F.min("l_linenumber").alias("brand_id"),
             F.min(F.col("l_extendedprice").cast("decimal(12,2)")).alias("price"),
-            F.min("l_returnflag").alias("flag"),
+            # The smallest flag is R if some row has it and none a smaller one;
+            # booleans keep this a hash aggregate, strings would force a sort.
+            F.max(F.col("l_returnflag") == "R").alias("has_r"),
+            F.max(F.col("l_returnflag") < "R").alias("has_less"),
         )
     )
     nxt = F.lead("from_d").over(Window.partitionBy("item_id").orderBy("from_d"))
@@ -43,7 +46,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item versions; days flagged R are left out, which makes gaps."""
     return (
         item_days(spark, sf_dir)
-        .where(F.col("flag") != "R")
+        .where(F.col("has_less") | ~F.col("has_r"))
         .select("item_id", "from_d", "to_d", "cat_id", "brand_id", "price")
     )
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -47,7 +48,9 @@ def replace_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFr
     hashed = df.repartition(buckets, key)
     writer = hashed.write.mode("overwrite").format("parquet").bucketBy(buckets, key)
     writer.option("path", path).saveAsTable(name)
-    return spark.table(name)
+    # Aliased columns carry no table qualifier; with one, a union of two such
+    # tables is not seen to keep their common partitioning.
+    return spark.table(name).select(*[F.col(c).alias(c) for c in df.columns])
 
 
 def row_bound(spark: SparkSession, *paths: str) -> int:
