@@ -354,7 +354,8 @@ def _write_csv(df: DataFrame, schema, path: str) -> None:
         F.col(f.name) if f.name in given else F.lit(None).cast("string").alias(f.name)
         for f in schema
     ]
-    df.select(*cols).write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
+    writer = df.select(*cols).write.option("header", True).option("escape", '"')
+    writer.option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_files(spark: SparkSession, sf_dir: str, only: str | None = None) -> str:

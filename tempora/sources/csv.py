@@ -16,15 +16,16 @@ _EMPTY = "\u0001"
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Comma-separated file with a header row.
 
-    An empty unquoted field is NULL, a quoted one is the empty string, and a
-    malformed row aborts the read.  Trailing blanks of strings are padding and
-    are removed.
+    An empty unquoted field is NULL, a quoted one is the empty string, a quote
+    is escaped by doubling, and a malformed row aborts the read.  Trailing
+    blanks of strings are padding and are removed.
     """
     df = (
         spark.read.schema(schema)
         .option("header", True)
         .option("nullValue", "")
         .option("emptyValue", _EMPTY)
+        .option("escape", '"')
         .option("mode", "FAILFAST")
         .csv(path)
     )

@@ -1,0 +1,176 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from tempora.functions.spans import span, spans_contain, spans_intersect, spans_overlap, spans_text
+from tempora.operators import algebra
+from tempora.operators.periods import (
+    coalesce_periods,
+    intersect_rows,
+    pack,
+    split_timeline,
+    sweep,
+    tcount,
+    unpack,
+)
+from tests.support import day, day_sets, from_sets, one, out, random_rows, rel, spans
+
+K = ["k"]
+
+
+@pytest.mark.parametrize(
+    "given, expected",
+    [
+        ([(0, 3), (3, 5)], [(0, 5)]),
+        ([(0, 9), (1, 2), (10, 12)], [(0, 9), (10, 12)]),
+        ([(0, 3), (0, 3)], [(0, 3)]),
+        ([(4, 4), (6, 5), (None, 7), (8, None)], []),
+        ([(0, 1)], [(0, 1)]),
+        ([(0, 10), (2, 3), (4, 5), (10, 11)], [(0, 11)]),
+        ([(0, 2), (3, 4)], [(0, 2), (3, 4)]),
+    ],
+)
+def test_coalesce_micro(spark, given, expected):
+    assert spans(coalesce_periods(one(spark, *given), K)) == expected
+
+
+def test_coalesce_matches_day_sets_and_is_idempotent(spark):
+    rows = random_rows(1, 400)
+    merged = coalesce_periods(rel(spark, rows), K)
+    assert out(merged) == from_sets(day_sets(rows))
+    assert out(coalesce_periods(merged, K)) == out(merged)
+
+
+def test_coalesce_ignores_order(spark):
+    rows = random_rows(2, 200)
+    assert out(coalesce_periods(rel(spark, rows), K)) == out(
+        coalesce_periods(rel(spark, rows[::-1]).repartition(5), K)
+    )
+
+
+def test_null_key_is_a_key(spark):
+    df = rel(spark, [(None, 0, 2), (None, 2, 4), ("a", 0, 1)])
+    assert out(coalesce_periods(df, K)) == sorted([(None, 0, 4), ("a", 0, 1)], key=repr)
+
+
+def test_pack_unpack_round_trip(spark):
+    merged = coalesce_periods(rel(spark, random_rows(3, 200)), K)
+    packed = pack(merged, K)
+    assert packed.schema["vt"].dataType.simpleString() == "array<struct<from_d:date,to_d:date>>"
+    assert out(unpack(packed)) == out(merged)
+
+
+def test_unpack_of_empty_and_null_set(spark):
+    df = spark.createDataFrame([("a", []), ("b", None)], "k string, vt array<struct<from_d:date,to_d:date>>")
+    assert unpack(df).count() == 0
+
+
+def test_span_constructors(spark):
+    df = rel(spark, [("a", 0, 3), ("b", 3, 3), ("c", 1, None)])
+    got = df.select("k", span("from_d", "to_d").alias("s"), span("from_d").alias("d")).collect()
+    by = {r["k"]: r for r in got}
+    assert by["a"]["s"] == (day(0), day(3)) and by["a"]["d"] == (day(0), day(1))
+    assert by["b"]["s"] is None and by["c"]["s"] is None
+
+
+def test_span_set_expressions(spark):
+    a = pack(one(spark, (0, 5), (8, 12)), K).withColumnRenamed("vt", "a")
+    b = pack(one(spark, (3, 9), (12, 14)), K).withColumnRenamed("vt", "b")
+    c = pack(one(spark, (5, 8)), K).withColumnRenamed("vt", "c")
+    r = (
+        a.join(b, "k")
+        .join(c, "k")
+        .select(
+            spans_text(spans_intersect(F.col("a"), F.col("b"))).alias("ab"),
+            spans_intersect(F.col("a"), F.col("c")).alias("ac"),
+            spans_overlap(F.col("a"), F.col("b")).alias("o1"),
+            spans_overlap(F.col("a"), F.col("c")).alias("o2"),
+            spans_contain(F.col("a"), F.lit(day(4))).alias("d4"),
+            spans_contain(F.col("a"), F.lit(day(5))).alias("d5"),
+        )
+        .first()
+    )
+    assert r["ab"] == "{[2000-01-04, 2000-01-06), [2000-01-09, 2000-01-10)}"
+    assert (r["ac"], r["o1"], r["o2"], r["d4"], r["d5"]) == (None, True, False, True, False)
+
+
+@pytest.mark.parametrize(
+    "b, p, matched, everything",
+    [
+        ([(0, 10)], [(3, 5)], [(0, 3), (5, 10)], [(0, 3), (5, 10)]),
+        ([(3, 5)], [(0, 10)], [], []),
+        ([(0, 5)], [(10, 12)], [(0, 5)], [(0, 5)]),
+        ([(0, 5)], [(5, 8)], [(0, 5)], [(0, 5)]),
+        ([(0, 5)], [], [], [(0, 5)]),
+        ([(0, 10)], [(0, 4), (4, 10)], [], []),
+        ([(0, 10)], [(1, 2), (4, 6)], [(0, 1), (2, 4), (6, 10)], [(0, 1), (2, 4), (6, 10)]),
+    ],
+)
+def test_difference_micro(spark, b, p, matched, everything):
+    left, right = one(spark, *b), one(spark, *p)
+    assert spans(algebra.difference(left, right, K, matched_only=True)) == matched
+    assert spans(algebra.difference(left, right, K)) == everything
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_algebra_matches_day_sets(spark, seed):
+    lrows, rrows = random_rows(seed, 150), random_rows(seed + 100, 60)
+    left, right = rel(spark, lrows), rel(spark, rrows)
+    a, b = day_sets(lrows), day_sets(rrows)
+    every = set(a) | set(b)
+    empty: set = set()
+
+    def per(f):
+        return from_sets({k: f(a.get(k, empty), b.get(k, empty)) for k in every})
+
+    assert out(algebra.join(left, right, K)) == per(lambda x, y: x & y)
+    assert out(algebra.union(left, right, K)) == per(lambda x, y: x | y)
+    assert out(algebra.difference(left, right, K)) == per(lambda x, y: x - y)
+    assert out(algebra.difference(left, right, K, matched_only=True)) == per(
+        lambda x, y: x - y if y else empty
+    )
+    # A = (A and B) + (A - B)
+    size = lambda df: df.select(F.sum(F.date_diff("to_d", "from_d"))).first()[0] or 0
+    assert size(coalesce_periods(left, K)) == size(algebra.join(left, right, K)) + size(
+        algebra.difference(left, right, K)
+    )
+
+
+def test_count_thresholds(spark):
+    rows = [("x", i, 0, 5) for i in (1, 2, 3)] + [("x", 4, 2, 3)]
+    df = rel(spark, rows, "k string, item int, from_d date, to_d date")
+    assert spans(algebra.count_when(df, ["item"], K, at_least=4)) == [(2, 3)]
+    assert spans(algebra.count_when(df, ["item"], K, at_least=3)) == [(0, 5)]
+    with pytest.raises(ValueError):
+        algebra.count_when(df, ["item"], K, at_least=0)
+
+
+def test_count_counts_entities_once(spark):
+    rows = [("x", 1, 0, 5), ("x", 1, 2, 7), ("x", 2, 0, 9)]
+    df = rel(spark, rows, "k string, item int, from_d date, to_d date")
+    assert spans(algebra.count_when(df, ["item"], K, at_least=2)) == [(0, 7)]
+    assert spans(algebra.count_when(df, ["item"], K, at_least=3)) == []
+
+
+def test_tcount_steps(spark):
+    df = one(spark, (0, 5), (3, 8), (8, 10), (12, 13))
+    got = sorted((a, b, n) for _, a, b, n in out(tcount(df, K)))
+    assert got == [(0, 3, 1), (3, 5, 2), (5, 10, 1), (12, 13, 1)]
+
+
+def test_split_timeline(spark):
+    assert spans(split_timeline(one(spark, (0, 5), (3, 8), (10, 11)), K)) == [
+        (0, 3), (3, 5), (5, 8), (8, 10), (10, 11),
+    ]
+
+
+def test_intersect_rows_keeps_both_sides(spark):
+    left = rel(spark, [("a", "x", 0, 5), ("b", "x", 0, 5)], "k string, l string, from_d date, to_d date")
+    right = rel(spark, [("a", 1, 3, 9), ("a", 2, 5, 6), ("c", 3, 0, 9)], "k string, r int, from_d date, to_d date")
+    assert out(intersect_rows(left, right, K)) == [("a", "x", 1, 3, 5)]
+
+
+def test_sweep_of_one_side(spark):
+    df = one(spark, (0, 4), (2, 6))
+    assert spans(sweep(df, K, F.col("l") == 2)) == [(2, 4)]
