@@ -30,6 +30,7 @@ from tempora.operators.periods import (
 from tempora.plans import algebra_views
 from tempora.plans.algebra_views import AlgebraViews
 from tempora.plans.load import load
+from tempora.plans.stored import ROWS_PER_VERSION, from_load, statements
 from tempora.sources import csv, derived, schemas
 from tempora.sources.tables import append_table, replace_table, row_bound, scratch_dir
 
@@ -289,11 +290,6 @@ def _algebra(name: str) -> Query:
     return run
 
 
-# Rows of an algebra relation per version, at most: selections and projections
-# only merge rows, two-sided operators cut each side by the other's periods.
-ROWS_PER_VERSION = {"a1": 1, "a2": 1, "a3": 2, "a4": 2, "a5": 3}
-
-
 def _olap(name: str, total: Callable) -> Query:
     """Totals over an item relation, as a final sorted report."""
 
@@ -330,6 +326,14 @@ def olap_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy("item_id", FROM)
 
 
+def olap_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End to end: CSV files, load, and a statement over the stored tables."""
+    folder = write_files(spark, sf_dir)
+    tables = load(spark, folder, f"{folder}/tables", **WIDER)
+    w = from_load(tables, derived.BRAND, derived.PRICE, derived.MORE_THAN)
+    return statements(w)["o1_tdw"]()
+
+
 def view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named SQL views over the algebra, used from SQL text."""
     w = Warehouse(spark, sf_dir)
@@ -549,6 +553,7 @@ def queries() -> dict[str, Query]:
     out["o6_scd"] = _olap_category("a6_aggregation_scd", olap.by_category_literal, "item_category")
     out["o6"] = _olap_category("a6_aggregation", olap.by_category, "item_category")
     out["olap_star"] = olap_star
+    out["olap_loaded"] = olap_loaded
     out.update(
         {
             "rep_pair": rep_pair,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from tempora.sources import csv
 from tempora.sources.tables import replace_bucketed, replace_table, row_bound
 
 
+WRITERS = 4
 ATTRIBUTES = {"brand_id": "item_brand", "cat_id": "item_category", "price": "item_price"}
 
 
@@ -28,27 +31,33 @@ def load_dimensions(
     brands and categories are built from the stored interval rows.  With
     ``buckets`` the per-item tables are bucketed by item.
     """
-    stored: dict[str, DataFrame] = {}
 
-    def put(name: str, df: DataFrame) -> None:
+    def put(name: str, df: DataFrame) -> tuple[str, DataFrame]:
         path = f"{out}/{name}"
         if buckets and name.startswith("item_"):
-            stored[name] = replace_bucketed(df, path, "item_id", buckets)
-        else:
-            stored[name] = replace_table(df, path)
-
-    put("item", history.item(versions))
-    put("item_ls", history.lifespan(versions))
-    put("brand", history.brand(versions))
-    put("category", history.category(versions))
-    for attr, name in ATTRIBUTES.items():
-        put(name, history.attribute(versions, attr))
-        put(f"{name}_ss", pack(stored[name], ["item_id", attr]))
-    put("item_ss", _with_set(stored["item"], stored["item_ls"], "item_id"))
+            return name, replace_bucketed(df, path, "item_id", buckets)
+        return name, replace_table(df, path)
+
+    def put_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        # The writes do not depend on each other; Spark runs their jobs together.
+        with ThreadPoolExecutor(WRITERS) as pool:
+            return dict(pool.map(lambda t: put(*t), tables.items()))
+
+    stored = put_all(
+        {
+            "item": history.item(versions),
+            "item_ls": history.lifespan(versions),
+            "brand": history.brand(versions),
+            "category": history.category(versions),
+            **{name: history.attribute(versions, attr) for attr, name in ATTRIBUTES.items()},
+        }
+    )
+    packed = {f"{name}_ss": pack(stored[name], ["item_id", attr]) for attr, name in ATTRIBUTES.items()}
+    packed["item_ss"] = _with_set(stored["item"], stored["item_ls"], "item_id")
     for key, entity in (("brand_id", "brand"), ("cat_id", "category")):
         periods = history.lifespan(stored[ATTRIBUTES[key]], key)
-        put(f"{entity}_ss", _with_set(stored[entity], periods, key))
-    return stored
+        packed[f"{entity}_ss"] = _with_set(stored[entity], periods, key)
+    return {**stored, **put_all(packed)}
 
 
 def load(spark: SparkSession, folder: str, out: str, **wider: str) -> dict[str, DataFrame]:
@@ -68,3 +77,11 @@ def load(spark: SparkSession, folder: str, out: str, **wider: str) -> dict[str,
     facts = facts.drop("item_sk").withColumnRenamed("item_id", "ss_item_id")
     stored["store_sales"] = replace_table(facts, f"{out}/store_sales")
     return stored
+
+
+def reopen(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The tables of an earlier :func:`load`."""
+    names = ["scd_item", "date_dim", "store_sales", "item", "item_ls", "brand", "category"]
+    names += [*ATTRIBUTES.values(), *(f"{name}_ss" for name in ATTRIBUTES.values())]
+    names += ["item_ss", "brand_ss", "category_ss"]
+    return {name: spark.read.parquet(f"{out}/{name}") for name in names}

@@ -390,6 +390,12 @@ ANTIJOIN = """
       ON e.item_id = s.item_id AND e.to_d > s.from_d
     GROUP BY s.item_id, s.from_d"""
 
+STAR = f"""
+    SELECT q.item_id, q.from_d, q.to_d, {MONEY}
+    FROM ({SELECTION}) q JOIN ({DENORM}) f ON f.item_id = q.item_id
+    JOIN calendar c ON c.date_sk = f.date_sk AND c.d >= q.from_d AND c.d < q.to_d
+    GROUP BY ALL"""
+
 
 def _mean(where: str) -> str:
     return f"""
@@ -537,12 +543,9 @@ def oracle_sql() -> dict[str, str]:
         "o6_tdw": vs(_category_total(AT_LEAST, intended=False)),
         "o6_scd": vs(_category_total(BLOCKS_BUSY, intended=False)),
         "o6": vs(_category_total(MORE, intended=True)),
-        "olap_star": with_(
-            f"""SELECT q.item_id, q.from_d, q.to_d, {MONEY}
-                FROM ({SELECTION}) q JOIN ({DENORM}) f ON f.item_id = q.item_id
-                JOIN calendar c ON c.date_sk = f.date_sk AND c.d >= q.from_d AND c.d < q.to_d
-                GROUP BY ALL""",
-            *all_tables,
+        "olap_star": with_(STAR, *all_tables),
+        "olap_loaded": with_(
+            f"SELECT * REPLACE (CAST(item_id AS VARCHAR) AS item_id) FROM ({STAR})", *all_tables
         ),
         "rep_pair": with_(
             f"""SELECT a.query_id, a.run_id, a.s AS algebra, o.s AS olap

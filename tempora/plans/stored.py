@@ -1,9 +1,9 @@
 """A stored warehouse: tables loaded once, queried many times.
 
-Interval tables are bucketed by item, so per-item operators on them need no
-shuffle.  That is safe for any data: a stored interval table is coalesced, so
-one item has at most one row per day and value.  Versions and facts are not
-bucketed, because a hot item could fill a bucket.
+Per-item tables can be bucketed by item; per-item operators on them then need
+no shuffle.  A bucket cannot be filled by a hot item: versions are unique per
+item and start day, and every stored interval starts with a version, so an item
+has at most one row per day.  Facts are not bucketed.
 """
 
 from __future__ import annotations
@@ -12,18 +12,23 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tempora.operators import olap
 from tempora.plans.algebra_views import NAMES, AlgebraViews
-from tempora.plans.catalog import ROWS_PER_VERSION
 from tempora.plans.load import load_dimensions
-from tempora.sources import derived
-from tempora.sources.tables import replace_table, row_bound, scratch_dir
+from tempora.sources import csv, derived
+from tempora.sources.tables import replace_bucketed, replace_table, row_bound, scratch_dir
+
+
+# Parameters of the published statements.
+BRAND, PRICE, MORE_THAN = 5004001, 80, 3
 
 
 @dataclass(frozen=True)
 class StoredWarehouse:
     tables: dict[str, DataFrame]
+    sales: DataFrame  # item_id, sold_d, net_paid
     versions: int  # rows of the versioned dimension, exact
     views: AlgebraViews
 
@@ -32,13 +37,36 @@ class StoredWarehouse:
 
 
 def derive_and_store(spark: SparkSession, sf_dir: str, buckets: int) -> StoredWarehouse:
-    """Derive all tables of a data folder and store them in a fresh folder."""
+    """Derive all tables of a data folder and store them in a fresh folder.
+
+    The derived versions are unique per item and day by construction.
+    """
     out = scratch_dir(spark)
-    tables = {"scd_item": replace_table(derived.scd(spark, sf_dir), f"{out}/scd_item")}
-    tables.update(load_dimensions(tables["scd_item"], out, buckets))
-    tables["store_sales"] = replace_table(derived.sales(spark, sf_dir), f"{out}/store_sales")
+    scd = replace_bucketed(derived.scd(spark, sf_dir), f"{out}/scd_item", "item_id", buckets)
+    tables = {"scd_item": scd, **load_dimensions(scd, out, buckets)}
+    sales = replace_table(derived.sales(spark, sf_dir), f"{out}/store_sales")
     views = AlgebraViews(tables.__getitem__, derived.BRAND, derived.PRICE, derived.MORE_THAN)
-    return StoredWarehouse(tables, row_bound(spark, f"{out}/scd_item"), views)
+    return StoredWarehouse(tables, sales, row_bound(spark, f"{out}/scd_item"), views)
+
+
+def from_load(
+    loaded: dict[str, DataFrame],
+    brand: int = BRAND,
+    price: int = PRICE,
+    more_than: int = MORE_THAN,
+) -> StoredWarehouse:
+    """A warehouse over the tables of a CSV load; days come from the calendar."""
+    versions = csv.as_versions(loaded["scd_item"])
+    tables = {**loaded, "scd_item": versions}
+    facts = csv.as_sales(loaded["store_sales"]).where(F.col("item_id").isNotNull())
+    sales = olap.with_day(facts, csv.as_calendar(loaded["date_dim"]))
+    views = AlgebraViews(tables.__getitem__, brand, price, more_than)
+    return StoredWarehouse(tables, sales, versions.count(), views)
+
+
+# Rows of an algebra relation per version, at most: selections and projections
+# only merge rows, two-sided operators cut each side by the other's periods.
+ROWS_PER_VERSION = {"a1": 1, "a2": 1, "a3": 2, "a4": 2, "a5": 3}
 
 
 def statements(w: StoredWarehouse) -> dict[str, Callable[[], DataFrame]]:
@@ -47,11 +75,11 @@ def statements(w: StoredWarehouse) -> dict[str, Callable[[], DataFrame]]:
 
     def item(name: str, total: Callable) -> Callable[[], DataFrame]:
         bound = w.versions * ROWS_PER_VERSION[name[:2]]
-        return lambda: total(w.table("store_sales"), getattr(w.views, name)(), bound).orderBy("item_id")
+        return lambda: total(w.sales, getattr(w.views, name)(), bound).orderBy("item_id")
 
     def category(name: str, total: Callable, members: str) -> Callable[[], DataFrame]:
         return lambda: total(
-            w.table("store_sales"), w.table(members), getattr(w.views, name)(), w.versions
+            w.sales, w.table(members), getattr(w.views, name)(), w.versions
         ).orderBy("cat_id")
 
     for key, relation in (
