@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.spans import FROM, TO
-from tempora.operators.periods import Keys, coalesce_periods, sweep
+from tempora.operators.periods import Keys, coalesce_periods, hold, levels_within, sweep
 
 
 def selection(rel: DataFrame, condition: Column, keys: Keys) -> DataFrame:
@@ -35,6 +35,11 @@ def union(left: DataFrame, right: DataFrame, keys: Keys) -> DataFrame:
     return coalesce_periods(both, keys)
 
 
+def _left_only(matched_only: bool) -> Column:
+    state = (F.col("l") > 0) & (F.col("r") == 0)
+    return state & (F.col("nr") > 0) if matched_only else state
+
+
 def difference(
     left: DataFrame, right: DataFrame, keys: Keys, matched_only: bool = False
 ) -> DataFrame:
@@ -42,10 +47,14 @@ def difference(
 
     ``matched_only`` leaves out keys that have no right row at any time.
     """
-    state = (F.col("l") > 0) & (F.col("r") == 0)
-    if matched_only:
-        state = state & (F.col("nr") > 0)
-    return sweep(left, keys, state, right)
+    return sweep(left, keys, _left_only(matched_only), right)
+
+
+def difference_within(
+    rel: DataFrame, keep: Column, remove: Column, keys: Keys, matched_only: bool = False
+) -> DataFrame:
+    """Difference of two selections of one relation, in one pass over it."""
+    return hold(levels_within(rel, keys, keep, remove), keys, _left_only(matched_only))
 
 
 def count_when(rel: DataFrame, entity: Keys, by: Keys, at_least: int) -> DataFrame:

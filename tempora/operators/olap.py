@@ -19,10 +19,13 @@ TOTAL = "decimal(18,2)"
 
 
 def with_day(facts: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Replace the date key by the day.  A calendar has one row per day, and
-    a date type holds a few million days at most, so it is broadcast."""
+    """Replace the date key by the day.
+
+    The calendar carries no hint: Spark broadcasts one of normal size by its
+    own threshold.
+    """
     days = calendar.select("date_sk", F.col("d").alias("sold_d"))
-    return facts.join(F.broadcast(days), "date_sk").drop("date_sk")
+    return facts.join(days, "date_sk").drop("date_sk")
 
 
 def per_day(facts: DataFrame, key: str = "item_id") -> DataFrame:

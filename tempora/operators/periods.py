@@ -52,20 +52,32 @@ def unpack(df: DataFrame, name: str = "vt") -> DataFrame:
     return df.select(*rest, F.inline(name))
 
 
-def _edges(df: DataFrame, keys: Keys, right: bool, n: Column) -> DataFrame:
-    """A +1 on the day a period opens and a -1 on the day it closes."""
-    opens = F.struct(F.col(FROM).alias("t"), F.lit(1).alias("d"), n.alias("n"))
-    closes = F.struct(F.col(TO).alias("t"), F.lit(-1).alias("d"), F.lit(0).alias("n"))
-    edges = valid(df).select(*keys, F.explode(F.array(opens, closes)).alias("e"))
-    mine, zero = (F.col("e.d"), F.col("e.n")), (F.lit(0), F.lit(0))
-    (dl, nl), (dr, nr) = (zero, mine) if right else (mine, zero)
-    return edges.select(
+def _edges(
+    df: DataFrame, keys: Keys, dl: Column, dr: Column, nl: Column, nr: Column
+) -> DataFrame:
+    """What each side gains on the day a period opens and loses when it closes."""
+    zero = F.lit(0)
+
+    def edge(day: str, *values: Column) -> Column:
+        named = zip(("dl", "dr", "nl", "nr"), values)
+        return F.struct(F.col(day).alias("t"), *[v.alias(n) for n, v in named])
+
+    both = F.array(edge(FROM, dl, dr, nl, nr), edge(TO, -dl, -dr, zero, zero))
+    return valid(df).select(*keys, F.explode(both).alias("e")).select(*keys, "e.*")
+
+
+def _levels(edges: DataFrame, keys: Keys) -> DataFrame:
+    steps = edges.groupBy(*keys, "t").agg(*[F.sum(c).alias(c) for c in ("dl", "dr", "nl", "nr")])
+    w = Window.partitionBy(*keys).orderBy("t")
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return steps.select(
         *keys,
-        F.col("e.t").alias("t"),
-        dl.alias("dl"),
-        dr.alias("dr"),
-        nl.alias("nl"),
-        nr.alias("nr"),
+        "t",
+        F.sum("dl").over(running).alias("l"),
+        F.sum("dr").over(running).alias("r"),
+        F.sum("nl").over(whole).alias("nl"),
+        F.sum("nr").over(whole).alias("nr"),
     )
 
 
@@ -81,22 +93,20 @@ def levels(
     ``nl`` and ``nr`` (all rows of the key on each side).  ``right_n`` says what
     a right row adds to ``nr``, 1 by default.
     """
-    one = F.lit(1)
-    edges = _edges(left, keys, False, one)
+    one, zero = F.lit(1), F.lit(0)
+    edges = _edges(left, keys, one, zero, one, zero)
     if right is not None:
-        edges = edges.unionByName(_edges(right, keys, True, one if right_n is None else right_n))
-    steps = edges.groupBy(*keys, "t").agg(*[F.sum(c).alias(c) for c in ("dl", "dr", "nl", "nr")])
-    w = Window.partitionBy(*keys).orderBy("t")
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return steps.select(
-        *keys,
-        "t",
-        F.sum("dl").over(running).alias("l"),
-        F.sum("dr").over(running).alias("r"),
-        F.sum("nl").over(whole).alias("nl"),
-        F.sum("nr").over(whole).alias("nr"),
-    )
+        n = one if right_n is None else right_n
+        edges = edges.unionByName(_edges(right, keys, zero, one, zero, n))
+    return _levels(edges, keys)
+
+
+def levels_within(rel: DataFrame, keys: Keys, left: Column, right: Column) -> DataFrame:
+    """As :func:`levels`, both sides being conditions on the rows of one
+    relation, which is read once.  A row can be on both sides."""
+    rows = rel.where(left | right)
+    l, r = [F.coalesce(side, F.lit(False)).cast("int") for side in (left, right)]
+    return _levels(_edges(rows, keys, l, r, l, r), keys)
 
 
 def hold(steps: DataFrame, keys: Keys, state: Column) -> DataFrame:

@@ -86,13 +86,18 @@ class AlgebraViews:
     def a4_union_scd(self) -> DataFrame:
         return algebra.selection(self._versions(), self.is_brand | self.is_dear, ITEM)
 
+    def _difference(self, matched_only: bool) -> DataFrame:
+        return algebra.difference_within(
+            self._versions(), self.is_brand, self.is_dear, ITEM, matched_only
+        )
+
     def a5_difference(self) -> DataFrame:
         """Intended meaning: items that are dear at some time only."""
-        return algebra.difference(self._brand_rows(), self._dear_rows(), ITEM, matched_only=True)
+        return self._difference(matched_only=True)
 
     def a5_difference_all(self) -> DataFrame:
         """Intended meaning, items that are never dear included."""
-        return algebra.difference(self._brand_rows(), self._dear_rows(), ITEM)
+        return self._difference(matched_only=False)
 
     def a5_difference_ss(self) -> DataFrame:
         """Parity: a day is removed only if every dear price covers it."""

@@ -43,18 +43,24 @@ WIDER = {"i_current_price": "decimal(12,2)", "ss_net_paid": "decimal(12,2)"}
 class Warehouse:
     """Dimension tables and facts over one data folder, all lazy."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False) -> None:
+        """``stored`` writes the versions once to shared storage, for queries
+        that derive many tables from them."""
         self.spark, self.sf_dir = spark, sf_dir
+        self._named = derived.scd(spark, sf_dir)
+        if stored:
+            self._named = replace_table(self._named, f"{scratch_dir(spark)}/scd_item")
+        self._stored = stored
         self.views = AlgebraViews(self.table, derived.BRAND, derived.PRICE, derived.MORE_THAN)
 
     def table(self, name: str) -> DataFrame:
         if name == "scd_item":
-            return derived.versions(self.spark, self.sf_dir)
+            return self._named if self._stored else derived.versions(self.spark, self.sf_dir)
         build = getattr(history, name)
         return build(self.table("scd_item"))
 
     def named(self) -> DataFrame:
-        return derived.scd(self.spark, self.sf_dir)
+        return self._named
 
     def sales(self) -> DataFrame:
         return derived.sales(self.spark, self.sf_dir)
@@ -114,7 +120,7 @@ def fact_denorm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chk_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every primary and unique key of the warehouse."""
-    w = Warehouse(spark, sf_dir)
+    w = Warehouse(spark, sf_dir, stored=True)
     named = w.named()
     keys = [
         ("scd_item", named, ["item_sk"]),
@@ -138,7 +144,7 @@ def chk_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chk_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference of the warehouse."""
-    w = Warehouse(spark, sf_dir)
+    w = Warehouse(spark, sf_dir, stored=True)
     named, facts = w.named(), w.sales_keys()
     item, brand, category = history.item(named), history.brand(named), history.category(named)
     refs = [
@@ -156,7 +162,7 @@ def chk_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chk_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Warehouse(spark, sf_dir)
+    w = Warehouse(spark, sf_dir, stored=True)
     named = w.named()
     facts = history.denormalise(w.sales_keys(), named, w.version_bound())
     tables = [
@@ -215,7 +221,7 @@ def pack_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Span set of the brand met with the span set of each dear price."""
-    views = Warehouse(spark, sf_dir).views
+    views = Warehouse(spark, sf_dir, stored=True).views
     b = views._brand_sets().select("item_id", F.col("vt").alias("b"))
     p = views._dear_sets().select("item_id", "price", F.col("vt").alias("p"))
     both = b.join(p, "item_id").withColumn("vt", spans_intersect(F.col("b"), F.col("p")))
@@ -224,7 +230,7 @@ def intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item, brand and category whose span sets share a day."""
-    w = Warehouse(spark, sf_dir)
+    w = Warehouse(spark, sf_dir, stored=True)
     b = w.table("item_brand_ss").withColumnRenamed("vt", "b")
     c = w.table("item_category_ss").withColumnRenamed("vt", "c")
     hit = b.join(c, "item_id").where(spans_overlap(F.col("b"), F.col("c")))
@@ -232,8 +238,8 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dear, but not of the brand."""
-    views = Warehouse(spark, sf_dir).views
+    """Dear, but not of the brand; two relations."""
+    views = Warehouse(spark, sf_dir, stored=True).views
     return algebra.difference(views._dear_rows(), views._brand_rows(), ["item_id"])
 
 
@@ -254,7 +260,7 @@ def contains_day_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intersect_rows_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brand and category of an item over their common periods."""
-    w = Warehouse(spark, sf_dir)
+    w = Warehouse(spark, sf_dir, stored=True)
     return intersect_rows(w.table("item_brand"), w.table("item_category"), ["item_id"])
 
 
@@ -276,7 +282,15 @@ def split_timeline_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def global_blocks_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parity kernel: periods of the whole table that a brand opens and closes."""
-    return literal.global_blocks(Warehouse(spark, sf_dir).table("scd_item"), ["brand_id"])
+    return literal.global_blocks(Warehouse(spark, sf_dir, stored=True).table("scd_item"), ["brand_id"])
+
+
+# Relations that are built from the versions more than once.  For these the
+# versions are stored first, so the order lines are read and shuffled once.
+TWO_SIDED = {
+    "a3_join_ss", "a3_join_tdw", "a4_union_ss", "a4_union_tdw",
+    "a5_difference_ss", "a5_difference_tdw", "a5_difference_scd", "a6_aggregation_scd",
+}
 
 
 # --- algebra and OLAP ------------------------------------------------------------
@@ -284,7 +298,8 @@ def global_blocks_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _algebra(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = getattr(Warehouse(spark, sf_dir).views, name)()
+        w = Warehouse(spark, sf_dir, stored=name in TWO_SIDED)
+        df = getattr(w.views, name)()
         return as_text(df) if "vt" in df.columns else df
 
     return run
@@ -294,7 +309,7 @@ def _olap(name: str, total: Callable) -> Query:
     """Totals over an item relation, as a final sorted report."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w = Warehouse(spark, sf_dir)
+        w = Warehouse(spark, sf_dir, stored=name in TWO_SIDED)
         bound = w.version_bound() * ROWS_PER_VERSION[name[:2]]
         out = total(w.sales(), getattr(w.views, name)(), bound)
         if "vt" in out.columns:
@@ -306,7 +321,7 @@ def _olap(name: str, total: Callable) -> Query:
 
 def _olap_category(name: str, total: Callable, members: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w = Warehouse(spark, sf_dir)
+        w = Warehouse(spark, sf_dir, stored=True)
         q = getattr(w.views, name)()
         out = total(w.sales(), w.table(members), q, w.version_bound())
         if "vt" in out.columns:
@@ -481,7 +496,7 @@ def rep_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rep_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every warehouse table."""
-    w = Warehouse(spark, sf_dir)
+    w = Warehouse(spark, sf_dir, stored=True)
     tables = {"store_sales": w.sales(), "date_dim": w.calendar(), **history.build(w.named())}
     return reports.profile(tables)
 

@@ -174,3 +174,12 @@ def test_intersect_rows_keeps_both_sides(spark):
 def test_sweep_of_one_side(spark):
     df = one(spark, (0, 4), (2, 6))
     assert spans(sweep(df, K, F.col("l") == 2)) == [(2, 4)]
+
+
+@pytest.mark.parametrize("matched", [False, True])
+def test_difference_within_one_relation(spark, matched):
+    rows = [(k, i % 4, f, t) for i, (k, f, t) in enumerate(random_rows(61, 200))]
+    df = rel(spark, rows + [("z", None, 0, 9), ("y", 0, 0, 9)], "k string, v int, from_d date, to_d date")
+    keep, remove = F.col("v") <= 1, F.col("v").isin(1, 2)
+    got = algebra.difference_within(df, keep, remove, K, matched)
+    assert out(got) == out(algebra.difference(df.where(keep), df.where(remove), K, matched))

@@ -101,3 +101,32 @@ def test_hot_item_and_category_in_olap(spark, bound):
         if f in member.get(k, ()) and len(crowd[("big" if k < "k4" else "c", f)]) >= 3
     )
     assert got == [(Decimal(want),)]
+
+
+def test_hot_fact_key_is_split_at_run_time(spark, tmp_path):
+    """Without a size bound the key join shuffles, and AQE splits the hot key."""
+    path = str(tmp_path / "facts")
+    spark.range(400_000).selectExpr(
+        "if(id % 3 = 0, 1, id % 1000) AS item_sk", "id AS ticket", "uuid() AS pad"
+    ).write.parquet(path)
+    dim = spark.range(1000).selectExpr("id AS item_sk", "CAST(id AS string) AS item_id")
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = history.denormalise(spark.read.parquet(path), dim)
+        assert len(df.collect()) == 400_000
+        assert "skew=true" in physical(df)
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_one_relation_is_read_once(spark, warehouse):
+    plan = physical(warehouse.views.a5_difference())
+    assert plan.count("FileScan") == 1
