@@ -36,8 +36,15 @@ from tempora.sources.tables import append_table, replace_table, row_bound, scrat
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Amounts of the derived tables exceed the declared decimal(7,2).
-WIDER = {"i_current_price": "decimal(12,2)", "ss_net_paid": "decimal(12,2)"}
+# Amounts and keys of the derived tables exceed the declared types.
+WIDER = {
+    "i_item_sk": "bigint",
+    "i_category_id": "bigint",
+    "i_current_price": "decimal(12,2)",
+    "ss_item_sk": "bigint",
+    "ss_ticket_number": "bigint",
+    "ss_net_paid": "decimal(12,2)",
+}
 
 
 class Warehouse:
@@ -419,7 +426,7 @@ def write_files(spark: SparkSession, sf_dir: str, only: str | None = None) -> st
 
 def src_scd_item_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = write_files(spark, sf_dir, "scd_item")
-    return csv.as_versions(csv.read_items(spark, folder, i_current_price="decimal(12,2)"))
+    return csv.as_versions(csv.read_items(spark, folder, **WIDER))
 
 
 def src_date_dim_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,7 +437,7 @@ def src_date_dim_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def src_store_sales_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = write_files(spark, sf_dir, "store_sales")
-    facts = csv.read_sales(spark, folder, ss_net_paid="decimal(12,2)")
+    facts = csv.read_sales(spark, folder, **WIDER)
     return facts.select(
         "ss_item_sk", "ss_sold_date_sk", "ss_ticket_number", "ss_quantity", "ss_net_paid", "ss_store_sk"
     )

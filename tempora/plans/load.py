@@ -65,14 +65,12 @@ def load(spark: SparkSession, folder: str, out: str, **wider: str) -> dict[str,
 
     ``wider`` overrides declared column types, for files with larger amounts.
     """
-    item_types = {k: v for k, v in wider.items() if k.startswith("i_")}
-    sales_types = {k: v for k, v in wider.items() if k.startswith("ss_")}
-    items = replace_table(csv.read_items(spark, folder, **item_types), f"{out}/scd_item")
+    items = replace_table(csv.read_items(spark, folder, **wider), f"{out}/scd_item")
     versions = csv.as_versions(items)
     stored = {"scd_item": items, **load_dimensions(versions, out)}
     dates = csv.read_calendar(spark, folder).withColumn("d_datespan", span("d_date"))
     stored["date_dim"] = replace_table(dates, f"{out}/date_dim")
-    facts = csv.read_sales(spark, folder, **sales_types).withColumn("item_sk", F.col("ss_item_sk"))
+    facts = csv.read_sales(spark, folder, **wider).withColumn("item_sk", F.col("ss_item_sk"))
     facts = history.denormalise(facts, versions, row_bound(spark, f"{out}/scd_item"))
     facts = facts.drop("item_sk").withColumnRenamed("item_id", "ss_item_id")
     stored["store_sales"] = replace_table(facts, f"{out}/store_sales")

@@ -432,9 +432,8 @@ def oracle_sql() -> dict[str, str]:
     all_tables = ("scd", "sales", "sales_keys", "calendar")
     out = {
         "src_scd_item_csv": with_(
-            """SELECT CAST(item_sk AS INTEGER) AS item_sk, CAST(item_id AS VARCHAR) AS item_id,
-                      from_d, to_d, item_desc, price, brand_id, brand,
-                      CAST(cat_id AS INTEGER) AS cat_id, category FROM scd""",
+            """SELECT item_sk, CAST(item_id AS VARCHAR) AS item_id, from_d, to_d, item_desc,
+                      price, brand_id, brand, cat_id, category FROM scd""",
             "scd",
         ),
         "src_date_dim_csv": with_(
@@ -445,8 +444,8 @@ def oracle_sql() -> dict[str, str]:
             "calendar",
         ),
         "src_store_sales_csv": with_(
-            """SELECT CAST(item_sk AS INTEGER) AS ss_item_sk, date_sk AS ss_sold_date_sk,
-                      CAST(ticket AS INTEGER) AS ss_ticket_number, line AS ss_quantity,
+            """SELECT item_sk AS ss_item_sk, date_sk AS ss_sold_date_sk,
+                      ticket AS ss_ticket_number, line AS ss_quantity,
                       net_paid AS ss_net_paid, CAST(NULL AS INTEGER) AS ss_store_sk
                FROM sales_keys""",
             "sales_keys",
