@@ -57,13 +57,17 @@ def difference_within(
     return hold(levels_within(rel, keys, keep, remove), keys, _left_only(matched_only))
 
 
-def count_when(rel: DataFrame, entity: Keys, by: Keys, at_least: int) -> DataFrame:
-    """When at least so many entities are in the group at once.
+def count_coalesced(rel: DataFrame, by: Keys, at_least: int) -> DataFrame:
+    """When at least so many rows of the group hold at once.
 
-    ``rel`` has one row per (entity, group) period.  Groups may be few and
-    large: rows are first reduced to one per group and change day.
+    ``rel`` is coalesced per counted entity.  Groups may be few and large: rows
+    are first reduced to one per group and change day.
     """
     if at_least < 1:
         raise ValueError("at_least must be 1 or more")
-    rows = coalesce_periods(rel, [*entity, *by])
-    return sweep(rows, by, F.col("l") >= at_least)
+    return sweep(rel, by, F.col("l") >= at_least)
+
+
+def count_when(rel: DataFrame, entity: Keys, by: Keys, at_least: int) -> DataFrame:
+    """When at least so many entities are in the group at once."""
+    return count_coalesced(coalesce_periods(rel, [*entity, *by]), by, at_least)

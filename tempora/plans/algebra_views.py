@@ -33,23 +33,23 @@ class AlgebraViews:
         self.is_dear = F.col("price") > price
         self.more_than = more_than
 
-    def _brand_rows(self) -> DataFrame:
+    def brand_rows(self) -> DataFrame:
         return self.table("item_brand").where(self.is_brand)
 
-    def _dear_rows(self) -> DataFrame:
+    def dear_rows(self) -> DataFrame:
         return self.table("item_price").where(self.is_dear)
 
-    def _brand_sets(self) -> DataFrame:
+    def brand_sets(self) -> DataFrame:
         return self.table("item_brand_ss").where(self.is_brand)
 
-    def _dear_sets(self) -> DataFrame:
+    def dear_sets(self) -> DataFrame:
         return self.table("item_price_ss").where(self.is_dear)
 
     def _versions(self) -> DataFrame:
         return self.table("scd_item")
 
     def a1_selection_ss(self) -> DataFrame:
-        return self._brand_sets().select("item_id", "vt")
+        return self.brand_sets().select("item_id", "vt")
 
     def a1_selection_tdw(self) -> DataFrame:
         return algebra.selection(self.table("item_brand"), self.is_brand, ITEM)
@@ -67,21 +67,21 @@ class AlgebraViews:
         return algebra.projection(self._versions(), ITEM)
 
     def a3_join_ss(self) -> DataFrame:
-        both = algebra.join(unpack(self._brand_sets()), unpack(self._dear_sets()), ITEM)
+        both = algebra.join(unpack(self.brand_sets()), unpack(self.dear_sets()), ITEM)
         return pack(both, ITEM)
 
     def a3_join_tdw(self) -> DataFrame:
-        return algebra.join(self._brand_rows(), self._dear_rows(), ITEM)
+        return algebra.join(self.brand_rows(), self.dear_rows(), ITEM)
 
     def a3_join_scd(self) -> DataFrame:
         return algebra.selection(self._versions(), self.is_brand & self.is_dear, ITEM)
 
     def a4_union_ss(self) -> DataFrame:
-        either = algebra.union(unpack(self._brand_sets()), unpack(self._dear_sets()), ITEM)
+        either = algebra.union(unpack(self.brand_sets()), unpack(self.dear_sets()), ITEM)
         return pack(either, ITEM)
 
     def a4_union_tdw(self) -> DataFrame:
-        return algebra.union(self._brand_rows(), self._dear_rows(), ITEM)
+        return algebra.union(self.brand_rows(), self.dear_rows(), ITEM)
 
     def a4_union_scd(self) -> DataFrame:
         return algebra.selection(self._versions(), self.is_brand | self.is_dear, ITEM)
@@ -101,13 +101,13 @@ class AlgebraViews:
 
     def a5_difference_ss(self) -> DataFrame:
         """Parity: a day is removed only if every dear price covers it."""
-        rows = literal.difference_pairwise(unpack(self._brand_sets()), self._dear_sets(), ITEM)
+        rows = literal.difference_pairwise(unpack(self.brand_sets()), self.dear_sets(), ITEM)
         return pack(rows, ITEM)
 
     def a5_difference_tdw(self) -> DataFrame:
         """Parity: three unclipped cases."""
         return literal.difference_cases(
-            self._brand_rows(), self._dear_rows(), ITEM, guarded=False
+            self.brand_rows(), self.dear_rows(), ITEM, guarded=False
         )
 
     def a5_difference_scd(self) -> DataFrame:
@@ -120,17 +120,17 @@ class AlgebraViews:
     def a6_aggregation(self) -> DataFrame:
         """Intended meaning, as rows: more than the given number of items."""
         rows = self.table("item_category")
-        return algebra.count_when(rows, ITEM, CAT, at_least=self.more_than + 1)
+        return algebra.count_coalesced(rows, CAT, at_least=self.more_than + 1)
 
     def a6_aggregation_ss(self) -> DataFrame:
         """Strictly more than the given number of items."""
         rows = unpack(self.table("item_category_ss"))
-        return pack(algebra.count_when(rows, ITEM, CAT, at_least=self.more_than + 1), CAT)
+        return pack(algebra.count_coalesced(rows, CAT, at_least=self.more_than + 1), CAT)
 
     def a6_aggregation_tdw(self) -> DataFrame:
         """Parity: at least the given number of items."""
-        return algebra.count_when(
-            self.table("item_category"), ITEM, CAT, at_least=self.more_than
+        return algebra.count_coalesced(
+            self.table("item_category"), CAT, at_least=self.more_than
         )
 
     def a6_aggregation_scd(self) -> DataFrame:

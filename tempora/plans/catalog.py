@@ -28,11 +28,12 @@ from tempora.operators.periods import (
     unpack,
 )
 from tempora.plans import algebra_views
-from tempora.plans.algebra_views import AlgebraViews
+from tempora.plans.algebra_views import NAMES, AlgebraViews
 from tempora.plans.load import load
-from tempora.plans.stored import ROWS_PER_VERSION, from_load, statements
+from tempora.plans.statements import CATEGORY_TOTALS, STATEMENTS, Warehouse, statements
+from tempora.plans.stored import from_load
 from tempora.sources import csv, derived, schemas
-from tempora.sources.tables import append_table, replace_table, row_bound, scratch_dir
+from tempora.sources.tables import log_runs, replace_table, row_bound, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,8 +48,8 @@ WIDER = {
 }
 
 
-class Warehouse:
-    """Dimension tables and facts over one data folder, all lazy."""
+class Inputs:
+    """Dimension tables and facts over one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False) -> None:
         """``stored`` writes the versions once to shared storage, for queries
@@ -96,7 +97,7 @@ def as_text(df: DataFrame) -> DataFrame:
 
 def _history(name: str, named: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w = Warehouse(spark, sf_dir)
+        w = Inputs(spark, sf_dir)
         df = getattr(history, name)(w.named() if named else w.table("scd_item"))
         return as_text(df) if "vt" in df.columns else df
 
@@ -105,20 +106,20 @@ def _history(name: str, named: bool = False) -> Query:
 
 def hist_vt(entity: str, key: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w = Warehouse(spark, sf_dir)
+        w = Inputs(spark, sf_dir)
         return as_text(getattr(history, f"{entity}_ss")(w.named())).select(key, "vt")
 
     return run
 
 
 def dim_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = history.calendar_spans(Warehouse(spark, sf_dir).calendar())
+    days = history.calendar_spans(Inputs(spark, sf_dir).calendar())
     return days.select("date_sk", "d", "day_span.from_d", "day_span.to_d")
 
 
 def fact_denorm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fact with its natural key, NULL where the item key is unknown."""
-    w = Warehouse(spark, sf_dir)
+    w = Inputs(spark, sf_dir)
     return history.denormalise(w.sales_keys(), w.named(), w.version_bound())
 
 
@@ -127,7 +128,7 @@ def fact_denorm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chk_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every primary and unique key of the warehouse."""
-    w = Warehouse(spark, sf_dir, stored=True)
+    w = Inputs(spark, sf_dir, stored=True)
     named = w.named()
     keys = [
         ("scd_item", named, ["item_sk"]),
@@ -151,7 +152,7 @@ def chk_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chk_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference of the warehouse."""
-    w = Warehouse(spark, sf_dir, stored=True)
+    w = Inputs(spark, sf_dir, stored=True)
     named, facts = w.named(), w.sales_keys()
     item, brand, category = history.item(named), history.brand(named), history.category(named)
     refs = [
@@ -169,7 +170,7 @@ def chk_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chk_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Warehouse(spark, sf_dir, stored=True)
+    w = Inputs(spark, sf_dir, stored=True)
     named = w.named()
     facts = history.denormalise(w.sales_keys(), named, w.version_bound())
     tables = [
@@ -196,7 +197,7 @@ def _union(parts) -> DataFrame:
 
 def span_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both span constructors and both bounds, per version."""
-    v = Warehouse(spark, sf_dir).table("scd_item")
+    v = Inputs(spark, sf_dir).table("scd_item")
     period, first = span(FROM, TO), span(FROM)
     return v.select(
         "item_id",
@@ -209,35 +210,35 @@ def span_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coalesce_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few large groups: when each category has any item."""
-    return coalesce_periods(Warehouse(spark, sf_dir).table("scd_item"), ["cat_id"])
+    return coalesce_periods(Inputs(spark, sf_dir).table("scd_item"), ["cat_id"])
 
 
 def coalesce_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many small groups; the SQL counterpart is an anti-join formulation."""
-    return coalesce_periods(Warehouse(spark, sf_dir).table("scd_item"), ["item_id"])
+    return coalesce_periods(Inputs(spark, sf_dir).table("scd_item"), ["item_id"])
 
 
 def unpack_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unpack(Warehouse(spark, sf_dir).table("item_brand_ss"))
+    return unpack(Inputs(spark, sf_dir).table("item_brand_ss"))
 
 
 def pack_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = Warehouse(spark, sf_dir).table("scd_item")
+    v = Inputs(spark, sf_dir).table("scd_item")
     return as_text(pack(coalesce_periods(v, ["item_id"]), ["item_id"]))
 
 
 def intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Span set of the brand met with the span set of each dear price."""
-    views = Warehouse(spark, sf_dir, stored=True).views
-    b = views._brand_sets().select("item_id", F.col("vt").alias("b"))
-    p = views._dear_sets().select("item_id", "price", F.col("vt").alias("p"))
+    views = Inputs(spark, sf_dir, stored=True).views
+    b = views.brand_sets().select("item_id", F.col("vt").alias("b"))
+    p = views.dear_sets().select("item_id", "price", F.col("vt").alias("p"))
     both = b.join(p, "item_id").withColumn("vt", spans_intersect(F.col("b"), F.col("p")))
     return as_text(both.where(F.col("vt").isNotNull()).select("item_id", "price", "vt"))
 
 
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item, brand and category whose span sets share a day."""
-    w = Warehouse(spark, sf_dir, stored=True)
+    w = Inputs(spark, sf_dir, stored=True)
     b = w.table("item_brand_ss").withColumnRenamed("vt", "b")
     c = w.table("item_category_ss").withColumnRenamed("vt", "c")
     hit = b.join(c, "item_id").where(spans_overlap(F.col("b"), F.col("c")))
@@ -246,13 +247,13 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dear, but not of the brand; two relations."""
-    views = Warehouse(spark, sf_dir, stored=True).views
-    return algebra.difference(views._dear_rows(), views._brand_rows(), ["item_id"])
+    views = Inputs(spark, sf_dir, stored=True).views
+    return algebra.difference(views.dear_rows(), views.brand_rows(), ["item_id"])
 
 
 def contains_day_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales per brand that the item had on the day of the sale."""
-    w = Warehouse(spark, sf_dir)
+    w = Inputs(spark, sf_dir)
     facts = w.sales().groupBy("item_id", "sold_d").agg(
         F.count("*").alias("n"), F.sum("net_paid").alias("net_paid")
     )
@@ -267,80 +268,60 @@ def contains_day_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intersect_rows_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brand and category of an item over their common periods."""
-    w = Warehouse(spark, sf_dir, stored=True)
+    w = Inputs(spark, sf_dir, stored=True)
     return intersect_rows(w.table("item_brand"), w.table("item_category"), ["item_id"])
 
 
 def tcount_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of items per category over time."""
-    return tcount(Warehouse(spark, sf_dir).table("item_category"), ["cat_id"])
+    return tcount(Inputs(spark, sf_dir).table("item_category"), ["cat_id"])
 
 
 def tcount_when(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When the count is between 2 and the limit: compare, then keep the true part."""
-    steps = tcount(Warehouse(spark, sf_dir).table("item_category"), ["cat_id"])
+    steps = tcount(Inputs(spark, sf_dir).table("item_category"), ["cat_id"])
     held = steps.where(F.col("n").between(2, derived.MORE_THAN))
     return coalesce_periods(held, ["cat_id"])
 
 
 def split_timeline_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_timeline(Warehouse(spark, sf_dir).table("item_category"), ["cat_id"])
+    return split_timeline(Inputs(spark, sf_dir).table("item_category"), ["cat_id"])
 
 
 def global_blocks_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parity kernel: periods of the whole table that a brand opens and closes."""
-    return literal.global_blocks(Warehouse(spark, sf_dir, stored=True).table("scd_item"), ["brand_id"])
+    return literal.global_blocks(Inputs(spark, sf_dir, stored=True).table("scd_item"), ["brand_id"])
 
 
-# Relations that are built from the versions more than once.  For these the
+# Statements that derive several tables from the versions.  For these the
 # versions are stored first, so the order lines are read and shuffled once.
-TWO_SIDED = {
-    "a3_join_ss", "a3_join_tdw", "a4_union_ss", "a4_union_tdw",
-    "a5_difference_ss", "a5_difference_tdw", "a5_difference_scd", "a6_aggregation_scd",
+FROM_STORED = {
+    *("a3_join_ss", "a3_join_tdw", "a4_union_ss", "a4_union_tdw"),
+    *("o3_ss", "o3_tdw", "o4_ss", "o4_tdw"),
+    *("a5_difference_ss", "a5_difference_tdw", "a5_difference_scd"),
+    *("o5_ss", "o5_tdw", "o5_scd"),
+    "a6_aggregation_scd",
+    *CATEGORY_TOTALS,
 }
 
 
 # --- algebra and OLAP ------------------------------------------------------------
 
 
-def _algebra(name: str) -> Query:
+def _statement(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w = Warehouse(spark, sf_dir, stored=name in TWO_SIDED)
-        df = getattr(w.views, name)()
+        inputs = Inputs(spark, sf_dir, stored=name in FROM_STORED)
+        bound = None if name in NAMES else inputs.version_bound()
+        w = Warehouse(inputs.table, inputs.sales(), bound, inputs.views)
+        df = statements(w)[name]()
         return as_text(df) if "vt" in df.columns else df
 
     return run
 
 
-def _olap(name: str, total: Callable) -> Query:
-    """Totals over an item relation, as a final sorted report."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w = Warehouse(spark, sf_dir, stored=name in TWO_SIDED)
-        bound = w.version_bound() * ROWS_PER_VERSION[name[:2]]
-        out = total(w.sales(), getattr(w.views, name)(), bound)
-        if "vt" in out.columns:
-            return as_text(out).orderBy("item_id")
-        return out.orderBy("item_id", FROM)
-
-    return run
-
-
-def _olap_category(name: str, total: Callable, members: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w = Warehouse(spark, sf_dir, stored=True)
-        q = getattr(w.views, name)()
-        out = total(w.sales(), w.table(members), q, w.version_bound())
-        if "vt" in out.columns:
-            return as_text(out).orderBy("cat_id")
-        return out.orderBy("cat_id", FROM)
-
-    return run
-
-
 def olap_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full star join: surrogate keys resolved through both dimensions."""
-    w = Warehouse(spark, sf_dir)
+    w = Inputs(spark, sf_dir)
     bound = w.version_bound()
     facts = history.denormalise(w.sales_keys(), w.named(), bound).where(F.col("item_id").isNotNull())
     facts = olap.with_day(facts, w.calendar())
@@ -358,7 +339,7 @@ def olap_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named SQL views over the algebra, used from SQL text."""
-    w = Warehouse(spark, sf_dir)
+    w = Inputs(spark, sf_dir)
     algebra_views.register(w.views, ["a1_selection_tdw", "a2_projection_tdw"])
     return spark.sql(
         """
@@ -386,7 +367,7 @@ def _write_csv(df: DataFrame, schema, path: str) -> None:
 
 def write_files(spark: SparkSession, sf_dir: str, only: str | None = None) -> str:
     """The three input files, out of the derived tables, in a fresh folder."""
-    w = Warehouse(spark, sf_dir)
+    w = Inputs(spark, sf_dir)
     folder = scratch_dir(spark)
     if only in (None, "scd_item"):
         named = w.named().select(
@@ -451,7 +432,7 @@ def load_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sink_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that is filled twice holds the second fill only."""
-    w = Warehouse(spark, sf_dir)
+    w = Inputs(spark, sf_dir)
     path = scratch_dir(spark)
     replace_table(w.table("item_price"), path)
     return replace_table(w.table("item_brand"), path)
@@ -461,9 +442,9 @@ def sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run log: the first run replaces it, later runs are added."""
     log = reports.read_plans(derived.runlog(spark, sf_dir)).drop("duration", "seconds")
     path = f"{scratch_dir(spark)}/runs"
-    replace_table(log.where("run_id = 2"), path)
-    replace_table(log.where("run_id = 1"), path)
-    out = append_table(log.where("run_id > 1"), path)
+    log_runs(log.where("run_id = 2"), path)
+    log_runs(log.where("run_id = 1"), path)
+    out = log_runs(log.where("run_id > 1"), path, new_table=False)
     return out.groupBy("query_id", "run_id").agg(
         F.count("*").alias("n"), F.sum("number_rows").alias("number_rows")
     )
@@ -474,7 +455,7 @@ def sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rep_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds of the two sides per query and run, runs added up per side."""
-    w = Warehouse(spark, sf_dir)
+    w = Inputs(spark, sf_dir)
     sums = [
         w.side(s).groupBy("query_id", "run_id").agg(F.sum("seconds").cast("decimal(18,2)").alias("seconds"))
         for s in ("algebra", "olap")
@@ -483,12 +464,12 @@ def rep_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rep_avg_warm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Warehouse(spark, sf_dir)
+    w = Inputs(spark, sf_dir)
     return reports.warm_means(w.side("algebra"), w.side("olap")).orderBy("query_id")
 
 
 def rep_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Warehouse(spark, sf_dir)
+    w = Inputs(spark, sf_dir)
     return reports.all_means(w.side("algebra"), w.side("olap")).orderBy("query_id")
 
 
@@ -503,7 +484,7 @@ def rep_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rep_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every warehouse table."""
-    w = Warehouse(spark, sf_dir, stored=True)
+    w = Inputs(spark, sf_dir, stored=True)
     tables = {"store_sales": w.sales(), "date_dim": w.calendar(), **history.build(w.named())}
     return reports.profile(tables)
 
@@ -559,21 +540,7 @@ def queries() -> dict[str, Query]:
         "split_timeline": split_timeline_,
         "global_blocks": global_blocks_,
     }
-    out.update({name: _algebra(name) for name in algebra_views.NAMES})
-    relations = {
-        "o1": "a1_selection", "o2": "a2_projection", "o3": "a3_join", "o4": "a4_union",
-        "o5": "a5_difference",
-    }
-    for key, relation in relations.items():
-        packed = olap.by_span_set_any_day if key == "o5" else olap.by_span_set
-        out[f"{key}_ss"] = _olap(f"{relation}_ss", packed)
-        out[f"{key}_tdw"] = _olap(f"{relation}_tdw", olap.by_period)
-        out[f"{key}_scd"] = _olap(f"{relation}_scd", olap.by_period)
-    out["o5"] = _olap("a5_difference", olap.by_period)
-    out["o6_ss"] = _olap_category("a6_aggregation_ss", olap.by_category_span_set, "item_category_ss")
-    out["o6_tdw"] = _olap_category("a6_aggregation_tdw", olap.by_category_literal, "item_category")
-    out["o6_scd"] = _olap_category("a6_aggregation_scd", olap.by_category_literal, "item_category")
-    out["o6"] = _olap_category("a6_aggregation", olap.by_category, "item_category")
+    out.update({name: _statement(name) for name in STATEMENTS})
     out["olap_star"] = olap_star
     out["olap_loaded"] = olap_loaded
     out.update(

@@ -8,15 +8,13 @@ has at most one row per day.  Facts are not bucketed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.operators import olap
-from tempora.plans.algebra_views import NAMES, AlgebraViews
+from tempora.plans.algebra_views import AlgebraViews
 from tempora.plans.load import load_dimensions
+from tempora.plans.statements import Warehouse
 from tempora.sources import csv, derived
 from tempora.sources.tables import replace_bucketed, replace_table, row_bound, scratch_dir
 
@@ -25,18 +23,7 @@ from tempora.sources.tables import replace_bucketed, replace_table, row_bound, s
 BRAND, PRICE, MORE_THAN = 5004001, 80, 3
 
 
-@dataclass(frozen=True)
-class StoredWarehouse:
-    tables: dict[str, DataFrame]
-    sales: DataFrame  # item_id, sold_d, net_paid
-    versions: int  # rows of the versioned dimension, exact
-    views: AlgebraViews
-
-    def table(self, name: str) -> DataFrame:
-        return self.tables[name]
-
-
-def derive_and_store(spark: SparkSession, sf_dir: str, buckets: int) -> StoredWarehouse:
+def derive_and_store(spark: SparkSession, sf_dir: str, buckets: int) -> Warehouse:
     """Derive all tables of a data folder and store them in a fresh folder.
 
     The derived versions are unique per item and day by construction.
@@ -46,7 +33,7 @@ def derive_and_store(spark: SparkSession, sf_dir: str, buckets: int) -> StoredWa
     tables = {"scd_item": scd, **load_dimensions(scd, out, buckets)}
     sales = replace_table(derived.sales(spark, sf_dir), f"{out}/store_sales")
     views = AlgebraViews(tables.__getitem__, derived.BRAND, derived.PRICE, derived.MORE_THAN)
-    return StoredWarehouse(tables, sales, row_bound(spark, f"{out}/scd_item"), views)
+    return Warehouse(tables.__getitem__, sales, row_bound(spark, f"{out}/scd_item"), views)
 
 
 def from_load(
@@ -54,48 +41,11 @@ def from_load(
     brand: int = BRAND,
     price: int = PRICE,
     more_than: int = MORE_THAN,
-) -> StoredWarehouse:
+) -> Warehouse:
     """A warehouse over the tables of a CSV load; days come from the calendar."""
     versions = csv.as_versions(loaded["scd_item"])
     tables = {**loaded, "scd_item": versions}
     facts = csv.as_sales(loaded["store_sales"]).where(F.col("item_id").isNotNull())
     sales = olap.with_day(facts, csv.as_calendar(loaded["date_dim"]))
     views = AlgebraViews(tables.__getitem__, brand, price, more_than)
-    return StoredWarehouse(tables, sales, versions.count(), views)
-
-
-# Rows of an algebra relation per version, at most: selections and projections
-# only merge rows, two-sided operators cut each side by the other's periods.
-ROWS_PER_VERSION = {"a1": 1, "a2": 1, "a3": 2, "a4": 2, "a5": 3}
-
-
-def statements(w: StoredWarehouse) -> dict[str, Callable[[], DataFrame]]:
-    """Algebra and OLAP statements over the stored tables, by name."""
-    out: dict[str, Callable[[], DataFrame]] = {n: getattr(w.views, n) for n in NAMES}
-
-    def item(name: str, total: Callable) -> Callable[[], DataFrame]:
-        bound = w.versions * ROWS_PER_VERSION[name[:2]]
-        return lambda: total(w.sales, getattr(w.views, name)(), bound).orderBy("item_id")
-
-    def category(name: str, total: Callable, members: str) -> Callable[[], DataFrame]:
-        return lambda: total(
-            w.sales, w.table(members), getattr(w.views, name)(), w.versions
-        ).orderBy("cat_id")
-
-    for key, relation in (
-        ("o1", "a1_selection"),
-        ("o2", "a2_projection"),
-        ("o3", "a3_join"),
-        ("o4", "a4_union"),
-        ("o5", "a5_difference"),
-    ):
-        packed = olap.by_span_set_any_day if key == "o5" else olap.by_span_set
-        out[f"{key}_ss"] = item(f"{relation}_ss", packed)
-        out[f"{key}_tdw"] = item(f"{relation}_tdw", olap.by_period)
-        out[f"{key}_scd"] = item(f"{relation}_scd", olap.by_period)
-    out["o5"] = item("a5_difference", olap.by_period)
-    out["o6_ss"] = category("a6_aggregation_ss", olap.by_category_span_set, "item_category_ss")
-    out["o6_tdw"] = category("a6_aggregation_tdw", olap.by_category_literal, "item_category")
-    out["o6_scd"] = category("a6_aggregation_scd", olap.by_category_literal, "item_category")
-    out["o6"] = category("a6_aggregation", olap.by_category, "item_category")
-    return out
+    return Warehouse(tables.__getitem__, sales, versions.count(), views)

@@ -16,7 +16,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
     Only where the session names none (local tests) is a local folder made.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
@@ -36,6 +36,11 @@ def append_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def log_runs(log: DataFrame, path: str, new_table: bool = True) -> DataFrame:
+    """Start a run log, or add to it."""
+    return replace_table(log, path) if new_table else append_table(log, path)
+
+
 def replace_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
     """As :func:`replace_table`, hashed into ``buckets`` by ``key``.
 

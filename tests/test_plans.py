@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tempora.operators import algebra, history, olap
 from tempora.operators.periods import coalesce_periods
 from tempora.plans import catalog, stored
+from tempora.plans.statements import statements
 from tests.support import day_sets, from_sets, out, rel
 
 SF = "/root/testdata/sf0.001"
@@ -30,11 +31,11 @@ def warehouse(spark):
      "a5_difference", "a5_difference_ss", "a5_difference_tdw"],
 )
 def test_bucketed_tables_need_no_shuffle(warehouse, name):
-    assert "Exchange" not in physical(stored.statements(warehouse)[name]())
+    assert "Exchange" not in physical(statements(warehouse)[name]())
 
 
 def test_no_nested_loops(spark, warehouse):
-    for name, build in stored.statements(warehouse).items():
+    for name, build in statements(warehouse).items():
         plan = physical(build())
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 

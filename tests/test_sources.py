@@ -4,11 +4,14 @@ from decimal import Decimal
 
 import pytest
 
+from tempora.operators.periods import unpack
 from tempora.plans import catalog, stored
-from tempora.plans.load import load
+from tempora.plans.algebra_views import register
+from tempora.plans.statements import statements
+from tempora.plans.load import load, reopen
 from tempora.sources import csv, schemas
 from tempora.sources.tables import append_table, replace_bucketed, replace_table, row_bound, scratch_dir
-from tests.support import day
+from tests.support import day, out
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,6 +81,27 @@ def test_stored_tables_give_the_lazy_results(spark):
     w = stored.derive_and_store(spark, SF, buckets=4)
     lazy = catalog.queries()
     for name in ("a3_join_tdw", "a5_difference", "o1_tdw", "o6_tdw"):
-        mine = sorted(map(tuple, stored.statements(w)[name]().collect()), key=repr)
+        mine = sorted(map(tuple, statements(w)[name]().collect()), key=repr)
         other = sorted(map(tuple, lazy[name](spark, SF).collect()), key=repr)
         assert mine == other, name
+
+
+def test_designs_agree(spark):
+    w = stored.derive_and_store(spark, SF, buckets=4)
+    views = statements(w)
+    for name in ("a1_selection", "a2_projection", "a3_join", "a4_union"):
+        rows = out(views[f"{name}_tdw"]())
+        assert rows and rows == out(views[f"{name}_scd"]())
+        assert rows == out(unpack(views[f"{name}_ss"]()))
+    assert out(views["a6_aggregation"]()) == out(unpack(views["a6_aggregation_ss"]()))
+
+
+def test_later_session_reads_the_same_tables(spark):
+    folder = catalog.write_files(spark, SF)
+    tables = load(spark, folder, f"{folder}/tables", **catalog.WIDER)
+    again = reopen(spark, f"{folder}/tables")
+    assert set(again) == set(tables)
+    one, two = stored.from_load(tables, 3, 50000, 3), stored.from_load(again, 3, 50000, 3)
+    assert out(statements(one)["o3_ss"]().drop("vt")) == out(statements(two)["o3_ss"]().drop("vt"))
+    register(two.views, ["a4_union_tdw"])
+    assert spark.table("a4_union_tdw").count() == two.views.a4_union_tdw().count()
