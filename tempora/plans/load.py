@@ -11,13 +11,17 @@ from tempora.functions.spans import span
 from tempora.operators import history
 from tempora.operators.periods import pack
 from tempora.sources import csv
-from tempora.sources.tables import replace_bucketed, replace_table, row_bound
+from tempora.sources.tables import open_bucketed, replace_bucketed, replace_table, row_bound
 
 
 WRITERS = 4
 ATTRIBUTES = {"brand_id": "item_brand", "cat_id": "item_category", "price": "item_price"}
 
 
+def _per_item(name: str) -> bool:
+    return name.startswith("item_")
+
+
 def _with_set(entities: DataFrame, periods: DataFrame, key: str) -> DataFrame:
     return entities.join(pack(periods, [key]), key, "left")
 
@@ -34,7 +38,7 @@ def load_dimensions(
 
     def put(name: str, df: DataFrame) -> tuple[str, DataFrame]:
         path = f"{out}/{name}"
-        if buckets and name.startswith("item_"):
+        if buckets and _per_item(name):
             return name, replace_bucketed(df, path, "item_id", buckets)
         return name, replace_table(df, path)
 
@@ -60,14 +64,18 @@ def load_dimensions(
     return {**stored, **put_all(packed)}
 
 
-def load(spark: SparkSession, folder: str, out: str, **wider: str) -> dict[str, DataFrame]:
+def load(
+    spark: SparkSession, folder: str, out: str, buckets: int | None = None, **wider: str
+) -> dict[str, DataFrame]:
     """Read the three CSV files of ``folder`` and store 16 tables under ``out``.
 
     ``wider`` overrides declared column types, for files with larger amounts.
+    Versions and facts are stored as read; only derived tables, in which the
+    rows of an item are bounded, can be bucketed.
     """
     items = replace_table(csv.read_items(spark, folder, **wider), f"{out}/scd_item")
     versions = csv.as_versions(items)
-    stored = {"scd_item": items, **load_dimensions(versions, out)}
+    stored = {"scd_item": items, **load_dimensions(versions, out, buckets)}
     dates = csv.read_calendar(spark, folder).withColumn("d_datespan", span("d_date"))
     stored["date_dim"] = replace_table(dates, f"{out}/date_dim")
     facts = csv.read_sales(spark, folder, **wider).withColumn("item_sk", F.col("ss_item_sk"))
@@ -77,9 +85,15 @@ def load(spark: SparkSession, folder: str, out: str, **wider: str) -> dict[str,
     return stored
 
 
-def reopen(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """The tables of an earlier :func:`load`."""
+def reopen(spark: SparkSession, out: str, buckets: int | None = None) -> dict[str, DataFrame]:
+    """The tables of an earlier :func:`load` with the same ``buckets``."""
     names = ["scd_item", "date_dim", "store_sales", "item", "item_ls", "brand", "category"]
     names += [*ATTRIBUTES.values(), *(f"{name}_ss" for name in ATTRIBUTES.values())]
     names += ["item_ss", "brand_ss", "category_ss"]
-    return {name: spark.read.parquet(f"{out}/{name}") for name in names}
+
+    def table(name: str) -> DataFrame:
+        if buckets and _per_item(name):
+            return open_bucketed(spark, f"{out}/{name}", "item_id", buckets)
+        return spark.read.parquet(f"{out}/{name}")
+
+    return {name: table(name) for name in names}

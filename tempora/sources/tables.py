@@ -41,21 +41,39 @@ def log_runs(log: DataFrame, path: str, new_table: bool = True) -> DataFrame:
     return replace_table(log, path) if new_table else append_table(log, path)
 
 
+def _bucketed_name(path: str) -> str:
+    return "t_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Aliased columns carry no table qualifier; with one, a union of two
+    bucketed tables is not seen to keep their common partitioning."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def replace_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
     """As :func:`replace_table`, hashed into ``buckets`` by ``key``.
 
     Later grouping, windows and joins on the key read without a shuffle.  Only
     for tables in which the rows of one key are bounded.
     """
-    spark = df.sparkSession
-    name = "t_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
+    spark, name = df.sparkSession, _bucketed_name(path)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     hashed = df.repartition(buckets, key)
     writer = hashed.write.mode("overwrite").format("parquet").bucketBy(buckets, key)
     writer.option("path", path).saveAsTable(name)
-    # Aliased columns carry no table qualifier; with one, a union of two such
-    # tables is not seen to keep their common partitioning.
-    return spark.table(name).select(*[F.col(c).alias(c) for c in df.columns])
+    return _plain(spark.table(name))
+
+
+def open_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """A table that :func:`replace_bucketed` wrote, in a later session."""
+    name, schema = _bucketed_name(path), spark.read.parquet(path).schema
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+        f"CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return _plain(spark.table(name))
 
 
 def row_bound(spark: SparkSession, *paths: str) -> int:

@@ -3,20 +3,21 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tempora.operators.periods import unpack
 from tempora.plans import catalog, stored
 from tempora.plans.algebra_views import register
 from tempora.plans.statements import statements
 from tempora.plans.load import load, reopen
-from tempora.sources import csv, schemas
+from tempora.sources import csv, schemas, tables
 from tempora.sources.tables import append_table, replace_bucketed, replace_table, row_bound, scratch_dir
 from tests.support import day, out
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_declared_schemas():
+def test_declared_schemas(spark):
     item = schemas.item_schema()
     assert len(item) == 22 and len(schemas.calendar_schema()) == 28 and len(schemas.sales_schema()) == 23
     assert item["i_current_price"].dataType.simpleString() == "decimal(7,2)"
@@ -68,11 +69,11 @@ def test_bucketed_table_can_be_refilled(spark):
 
 def test_load_stores_sixteen_tables(spark):
     folder = catalog.write_files(spark, SF)
-    tables = load(spark, folder, f"{folder}/tables", **catalog.WIDER)
-    assert len(tables) == 16
-    facts = tables["store_sales"]
+    loaded = load(spark, folder, f"{folder}/tables", **catalog.WIDER)
+    assert len(loaded) == 16
+    facts = loaded["store_sales"]
     assert len(facts.columns) == 24 and facts.columns[-1] == "ss_item_id"
-    assert len(tables["scd_item"].columns) == 22
+    assert len(loaded["scd_item"].columns) == 22
     known = csv.as_sales(facts).where("item_id IS NOT NULL")
     assert 0 < known.count() < facts.count()
 
@@ -96,12 +97,26 @@ def test_designs_agree(spark):
     assert out(views["a6_aggregation"]()) == out(unpack(views["a6_aggregation_ss"]()))
 
 
-def test_later_session_reads_the_same_tables(spark):
+@pytest.mark.parametrize("buckets", [None, 4])
+def test_later_session_reads_the_same_tables(spark, buckets):
     folder = catalog.write_files(spark, SF)
-    tables = load(spark, folder, f"{folder}/tables", **catalog.WIDER)
-    again = reopen(spark, f"{folder}/tables")
-    assert set(again) == set(tables)
-    one, two = stored.from_load(tables, 3, 50000, 3), stored.from_load(again, 3, 50000, 3)
+    loaded = load(spark, folder, f"{folder}/tables", buckets, **catalog.WIDER)
+    again = reopen(spark.newSession(), f"{folder}/tables", buckets)
+    assert set(again) == set(loaded)
+    one, two = stored.from_load(loaded, 3, 50000, 3), stored.from_load(again, 3, 50000, 3)
     assert out(statements(one)["o3_ss"]().drop("vt")) == out(statements(two)["o3_ss"]().drop("vt"))
     register(two.views, ["a4_union_tdw"])
-    assert spark.table("a4_union_tdw").count() == two.views.a4_union_tdw().count()
+    later = again["item"].sparkSession
+    assert later.table("a4_union_tdw").count() == two.views.a4_union_tdw().count()
+    plan = two.views.a3_join_tdw()._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange" in plan) == (buckets is None)
+
+
+def test_open_bucketed_declares_the_buckets(spark):
+    path = scratch_dir(spark)
+    replace_bucketed(spark.range(50).withColumn("v", F.col("id") % 3), path, "id", 4)
+    spark.sql(f"DROP TABLE {tables._bucketed_name(path)}")
+    again = tables.open_bucketed(spark, path, "id", 4)
+    assert again.count() == 50
+    plan = again.groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
