@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Interval rows are a key, two dates and at most one short attribute, so this
-# many stay well below 200 MB as a hash table on each executor.
-BROADCAST_ROWS = 1_000_000
+# Interval rows are a key, two dates and at most one short attribute, some 80
+# bytes in a hash table: this many take about 160 MB on each executor.
+BROADCAST_ROWS = 2_000_000
 
 
 def is_small(rows: int | None) -> bool:

@@ -30,7 +30,7 @@ from tempora.operators.periods import (
 from tempora.plans import algebra_views
 from tempora.plans.algebra_views import NAMES, AlgebraViews
 from tempora.plans.load import load
-from tempora.plans.statements import CATEGORY_TOTALS, STATEMENTS, Warehouse, statements
+from tempora.plans.statements import CATEGORY_TOTALS, STATEMENTS, VersionRows, Warehouse, statements
 from tempora.plans.stored import from_load
 from tempora.sources import csv, derived, schemas
 from tempora.sources.tables import log_runs, replace_table, row_bound, scratch_dir
@@ -311,7 +311,7 @@ FROM_STORED = {
 def _statement(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         inputs = Inputs(spark, sf_dir, stored=name in FROM_STORED)
-        bound = None if name in NAMES else inputs.version_bound()
+        bound = None if name in NAMES else VersionRows(*[inputs.version_bound()] * 3)
         w = Warehouse(inputs.table, inputs.sales(), bound, inputs.views)
         df = statements(w)[name]()
         return as_text(df) if "vt" in df.columns else df

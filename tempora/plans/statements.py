@@ -6,51 +6,69 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tempora.functions.spans import FROM
 from tempora.operators import olap
 from tempora.plans.algebra_views import NAMES, AlgebraViews
 
-# Rows of an algebra relation per version, at most: selections and projections
-# only merge rows, two-sided operators cut each side by the other's periods.
-ROWS_PER_VERSION = {
-    "a1_selection": 1,
-    "a2_projection": 1,
-    "a3_join": 2,
-    "a4_union": 2,
-    "a5_difference": 3,
+
+@dataclass(frozen=True)
+class VersionRows:
+    """Upper bounds: all versions, those of the brand, and the dear ones."""
+
+    every: int
+    brand: int
+    dear: int
+
+
+# Rows of an item relation, at most: selection and projection only merge rows,
+# two-sided operators cut the periods of one side by those of the other.
+RELATION_ROWS: dict[str, Callable[[VersionRows], int]] = {
+    "a1_selection": lambda n: n.brand,
+    "a2_projection": lambda n: n.every,
+    "a3_join": lambda n: n.brand + n.dear,
+    "a4_union": lambda n: n.brand + n.dear,
+    "a5_difference": lambda n: 2 * n.brand + n.dear,
 }
 
 
 @dataclass(frozen=True)
 class Warehouse:
-    """Tables of all designs by name, facts, and an upper bound of the rows of
-    versions; None if none is known, then nothing is broadcast."""
+    """Tables of all designs by name, facts, and the bounds on version rows;
+    without bounds nothing is broadcast."""
 
     table: Callable[[str], DataFrame]
     sales: DataFrame  # item_id, sold_d, net_paid
-    versions: int | None
+    rows: VersionRows | None
     views: AlgebraViews
 
 
+def count_versions(views: AlgebraViews) -> VersionRows:
+    """Exact bounds, in one pass over two columns of the stored versions."""
+    flags = (F.count_if(views.is_brand), F.count_if(views.is_dear))
+    return VersionRows(*views.table("scd_item").agg(F.count("*"), *flags).first())
+
+
 def _sorted(df: DataFrame) -> DataFrame:
     """Totals are final reports: by entity, then by time."""
     return df.orderBy(*[c for c in ("item_id", "cat_id", FROM) if c in df.columns])
 
 
 def _by_item(w: Warehouse, relation: str, design: str, total: Callable) -> Callable[[], DataFrame]:
-    bound = None if w.versions is None else w.versions * ROWS_PER_VERSION[relation]
+    bound = RELATION_ROWS[relation](w.rows) if w.rows else None
     view = getattr(w.views, f"{relation}{design}")
     return lambda: _sorted(total(w.sales, view(), bound))
 
 
 def _by_category(w: Warehouse, view: str, members: str, total: Callable) -> Callable[[], DataFrame]:
-    return lambda: _sorted(total(w.sales, w.table(members), getattr(w.views, view)(), w.versions))
+    bound = w.rows.every if w.rows else None
+    return lambda: _sorted(total(w.sales, w.table(members), getattr(w.views, view)(), bound))
 
 
 def statements(w: Warehouse) -> dict[str, Callable[[], DataFrame]]:
     out: dict[str, Callable[[], DataFrame]] = {n: getattr(w.views, n) for n in NAMES}
-    for i, relation in enumerate(ROWS_PER_VERSION, start=1):
+    for i, relation in enumerate(RELATION_ROWS, start=1):
         any_day = relation == "a5_difference"
         packed = olap.by_span_set_any_day if any_day else olap.by_span_set
         out[f"o{i}_ss"] = _by_item(w, relation, "_ss", packed)

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from tempora.operators import olap
 from tempora.plans.algebra_views import AlgebraViews
 from tempora.plans.load import load_dimensions
-from tempora.plans.statements import Warehouse
+from tempora.plans.statements import Warehouse, count_versions
 from tempora.sources import csv, derived
-from tempora.sources.tables import replace_bucketed, replace_table, row_bound, scratch_dir
+from tempora.sources.tables import replace_bucketed, replace_table, scratch_dir
 
 
 # Parameters of the published statements.
@@ -33,7 +33,7 @@ def derive_and_store(spark: SparkSession, sf_dir: str, buckets: int) -> Warehous
     tables = {"scd_item": scd, **load_dimensions(scd, out, buckets)}
     sales = replace_table(derived.sales(spark, sf_dir), f"{out}/store_sales")
     views = AlgebraViews(tables.__getitem__, derived.BRAND, derived.PRICE, derived.MORE_THAN)
-    return Warehouse(tables.__getitem__, sales, row_bound(spark, f"{out}/scd_item"), views)
+    return Warehouse(tables.__getitem__, sales, count_versions(views), views)
 
 
 def from_load(
@@ -43,9 +43,8 @@ def from_load(
     more_than: int = MORE_THAN,
 ) -> Warehouse:
     """A warehouse over the tables of a CSV load; days come from the calendar."""
-    versions = csv.as_versions(loaded["scd_item"])
-    tables = {**loaded, "scd_item": versions}
+    tables = {**loaded, "scd_item": csv.as_versions(loaded["scd_item"])}
     facts = csv.as_sales(loaded["store_sales"]).where(F.col("item_id").isNotNull())
     sales = olap.with_day(facts, csv.as_calendar(loaded["date_dim"]))
     views = AlgebraViews(tables.__getitem__, brand, price, more_than)
-    return Warehouse(tables.__getitem__, sales, versions.count(), views)
+    return Warehouse(tables.__getitem__, sales, count_versions(views), views)
