@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import linededup, sharding, topk, urls
+from tempora.llm import decontaminate, licenses, linededup, neardup, packing, quality, sharding, topk, toxicity, urls
 
 # Rules of the URL query.
 RULES = (
@@ -24,12 +24,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of a benchmark item."""
+    found = decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     out = urls.judge(_table(spark, sf_dir, "pages"), RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four of five folds."""
+    out = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in 40 shards of equal row counts."""
     out = sharding.interleave(_table(spark, sf_dir, "documents"), SHARDS)
@@ -42,16 +61,59 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_recurring_lines(_table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near duplicates at a similarity of 0.85."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from three of four folds."""
+    out = quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces in sequences of 2048."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest products of every hundredth vector with all others."""
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_products(vectors, F.col("vec_id") % 100 == 0, k=10)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document: exact places of the base phrases, and all labels."""
+    found = licenses.find_notices(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    first = F.transform(base, lambda x: x["first_word"])
+
+    def labels(spans):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["label"]))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(first).alias("first_word"),
+        F.array_max(first).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels("spans").alias("labels"),
+        "score",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_url_filter": op2_url_filter,
+        "op3_toxicity": op3_toxicity,
         "op4_sharding": op4_sharding,
         "op5_line_dedup": op5_line_dedup,
+        "op6_near_duplicates": op6_near_duplicates,
+        "op7_quality": op7_quality,
+        "op8_packing": op8_packing,
         "op9_topk_search": op9_topk_search,
+        "op10_license_scan": op10_license_scan,
     }

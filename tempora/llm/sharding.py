@@ -15,9 +15,10 @@ gives no rows.  Other columns are ignored unless named in ``carry``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.llm.ranks import ranked
 from tempora.sources.tables import replace_table, scratch_dir
 
 # Ranges that digests and fractional ranks are cut into: three hexadecimal digits.
@@ -25,25 +26,6 @@ CELLS = 4096
 ROW_BYTES = 16
 
 
-def _ranked(rows: DataFrame, group: list[str], cell: str, order: list[str], rank: str, total: str) -> DataFrame:
-    """Rank from 0 by ``cell``, then ``order``, within ``group``, and the group's size."""
-    counts = rows.groupBy(*group, cell).agg(F.count("*").alias("_in_cell"))
-    over = Window.partitionBy(*group)
-    before = over.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        *group,
-        cell,
-        F.coalesce(F.sum("_in_cell").over(before), F.lit(0)).alias("_start"),
-        F.sum("_in_cell").over(over).alias(total),
-    )
-    inside = Window.partitionBy(*group, cell).orderBy(*order)
-    return (
-        rows.join(starts, [*group, cell])
-        .withColumn(rank, F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_start", cell)
-    )
-
-
 def interleave(docs: DataFrame, shards: int, seed: str = "0", carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, size, text_crc32, source``, then ``shard`` and ``slot``.
 
@@ -61,12 +43,12 @@ def interleave(docs: DataFrame, shards: int, seed: str = "0", carry: tuple[str,
         F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_digest"),
         F.xxhash64(text).alias("_tie"),
     ).withColumn("_cell", F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int"))
-    ranked = _ranked(rows, ["_stratum"], "_cell", ["_digest", "text_crc32", "size", "_tie"], "_rank", "_rows")
-    spread = ranked.withColumn("_share", (2 * F.col("_rank") + 1).cast("double") / (2 * F.col("_rows")))
+    within = ranked(rows, ["_stratum"], "_cell", ["_digest", "text_crc32", "size", "_tie"], "_rank", "_rows")
+    spread = within.withColumn("_share", (2 * F.col("_rank") + 1).cast("double") / (2 * F.col("_rows")))
     # Read twice below, so kept: without texts, a few dozen bytes a row.
     spread = replace_table(spread.drop("_digest", "_tie", "_rows"), f"{scratch_dir(docs.sparkSession)}/ranked")
     spread = spread.withColumn("_part", F.floor(F.col("_share") * CELLS).cast("int"))
-    placed = _ranked(spread.withColumn("_all", F.lit(0)), ["_all"], "_part", ["_share", "_stratum", "_rank"], "_at", "_total")
+    placed = ranked(spread.withColumn("_all", F.lit(0)), ["_all"], "_part", ["_share", "_stratum", "_rank"], "_at", "_total")
     shard = F.expr(f"(_at * {shards}) div _total")
     placed = placed.withColumn("shard", shard.cast("int"))
     slot = F.col("_at") - F.expr(f"(shard * _total + {shards - 1}) div {shards}")
