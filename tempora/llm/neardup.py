@@ -10,8 +10,8 @@ the buckets: at 0.85 a pair shares none of them once in ten million times, at
 Documents of equal sets are one class; classes meet in buckets.  No bucket is
 ever paired off: in each round it names one centre, compares it with members of
 other components than its own, and links join components.  After ``STARS`` such
-rounds, members outside a bucket's largest component are compared with all the
-others that are still apart, so that no link between components is left out.
+rounds the members of buckets that still hold several components are compared by
+their rarest shingles, which leaves out no link between components.
 
 Results: a document with fewer words than a shingle is one shingle of them all,
 one without words is linked with nothing.  Repeated rows are linked.  Rows of
@@ -124,6 +124,31 @@ def _close(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _prefix_matches(rest: DataFrame, sets: DataFrame, percent: int, scratch: str) -> DataFrame:
+    """Pairs that may be similar enough, of those in different components.
+
+    Shingles are put in order of rarity.  Similar sets share one among their
+    first n - ceil(t * n) + 1, and what is left from it on must be as many as
+    they have to share.  Sets that have more shingles of their own than a link
+    allows, as edited copies do, thus meet nobody.
+    """
+    tokens = rest.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "n", "component", F.explode("members").alias("token"))
+    # Written first, so that the join below can split a shingle that is everywhere.
+    often = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    often = replace_table(often, f"{scratch}/often")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "token")))
+    ordered = tokens.join(often, "token", "left").groupBy("rep", "n", "component").agg(order.alias("order"))
+    length = F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 as int)")
+    prefix = ordered.select("rep", "n", "component", F.posexplode(F.slice("order", F.lit(1), length)).alias("i", "t"))
+    prefix = replace_table(prefix.where("t.k > 1").select("rep", "n", "component", "i", "t.token"), f"{scratch}/prefixes")
+    other = prefix.select("token", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("i").alias("j"))
+    needed = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
+    enough = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= needed
+    apart = (F.struct("n", "rep") < F.struct(F.col("m").alias("n"), F.col("other").alias("rep"))) & (F.col("component") != F.col("c"))
+    left, right = prefix.alias("left"), other.alias("right")
+    return left.join(right, (F.col("left.token") == F.col("right.token")) & apart & enough & _close("n", "m", percent))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
     scratch = scratch_dir(docs.sparkSession)
@@ -160,12 +185,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
             open_ = apart.groupBy("bucket").agg(F.min_by(one, turn).alias("x"), F.min("component").alias("lo"), F.max("component").alias("hi"))
             met = apart.join(open_.where("lo <> hi").select("bucket", F.col("x.rep").alias("other"), "x.m", "x.c"), "bucket")
         else:
-            apart = replace_table(apart, f"{scratch}/apart")
-            sizes = apart.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-            most = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("x.component").alias("main"))
-            outside = apart.join(most, "bucket").where("component <> main")
-            outside = outside.select("bucket", "main", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("c"))
-            met = apart.join(outside, "bucket").where("component = main or rep < other")
+            mixed = apart.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+            rest = apart.join(mixed.select("bucket"), "bucket", "left_semi").select("rep", "n", "component").distinct()
+            met = _prefix_matches(replace_table(rest, f"{scratch}/rest"), sets, percent, scratch)
         pairs = met.where((F.col("component") != F.col("c")) & _close("n", "m", percent))
         pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         if tried is not None:
