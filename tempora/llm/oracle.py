@@ -78,5 +78,150 @@ SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE plac
 """
 
 
+# crc32 by its rule: a table of 256 entries, then one step a byte.
+CRC_STEP = "CASE WHEN {c} & 1 = 1 THEN xor({c} >> 1, 3988292384) ELSE {c} >> 1 END"
+CRC_TABLE = "WITH t0 AS (SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c FROM range(256) r(i))" + "".join(
+    f", t{k + 1} AS (SELECT i, {CRC_STEP.format(c='c')} AS c FROM t{k})" for k in range(8)
+)
+
+SHARDING = f"""
+{CRC_TABLE}, crc AS (SELECT list(c ORDER BY i) AS t FROM t8), doc AS (
+  SELECT doc_id, source, text, coalesce('s' || source, '') AS stratum, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+         hex(encode(coalesce(text, ''))) AS bytes, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+  FROM documents
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY digest) - 1 AS r, count(*) OVER (PARTITION BY stratum) AS n FROM doc
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY CAST(2 * r + 1 AS DOUBLE) / (2 * n), stratum, r) - 1 AS g, count(*) OVER () AS total FROM ranked
+), cut AS (SELECT *, (g * 40) // total AS shard FROM placed)
+SELECT doc_id, source, CAST(size AS BIGINT) AS size,
+       xor(list_reduce(list_transform(range(0, size - 16), lambda i: CAST('0x' || bytes[2 * i + 1:2 * i + 2] AS BIGINT)),
+                       lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295) AS text_crc32,
+       'rows' AS law, CAST(shard AS INTEGER) AS shard, g - (shard * total + 39) // 40 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cut, crc
+"""
+
+LINE_DEDUP = """
+WITH doc AS (
+  SELECT *, string_split(text, chr(10)) AS parts FROM documents
+), line AS (
+  SELECT doc_id, i - 1 AS line, regexp_replace(trim(parts[i], ' '), '[0-9]+', '0', 'g') AS masked
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM doc)
+), sized AS (
+  SELECT *, string_split(masked, ' ') AS tokens FROM line
+), parsed AS (
+  SELECT doc_id, line, masked, len(tokens) AS n, len(tokens) || ':' || array_to_string(tokens[1:3], ' ') AS leaf, tokens
+  FROM sized WHERE len(tokens) >= 8
+), template AS (
+  SELECT DISTINCT leaf, masked, n, tokens FROM parsed
+), several AS (
+  SELECT leaf, count(*) AS m FROM template GROUP BY leaf HAVING count(*) > 1
+), token AS (
+  SELECT leaf, masked, n, m, i, tokens[i] AS token
+  FROM (SELECT t.*, m, unnest(range(1, n + 1)) AS i FROM template t JOIN several ON t.leaf = several.leaf)
+), constant AS (
+  SELECT leaf, i, token FROM token GROUP BY leaf, i, token, m HAVING 2 * count(*) > m
+), alike AS (
+  SELECT token.leaf, masked FROM token JOIN constant c ON token.leaf = c.leaf AND token.i = c.i AND token.token = c.token
+  GROUP BY token.leaf, masked, n HAVING count(*) >= 0.8 * n
+), member AS (
+  SELECT DISTINCT doc_id, line, CASE WHEN a.leaf IS NULL THEN 't' || p.masked ELSE 'l' || a.leaf END AS grp
+  FROM parsed p LEFT JOIN alike a ON p.masked = a.masked AND p.leaf = a.leaf
+), spread AS (
+  SELECT grp, min(doc_id) AS first FROM member GROUP BY grp HAVING count(DISTINCT doc_id) >= 2
+), dropped AS (
+  SELECT doc_id, list(line) AS drops FROM member JOIN spread ON member.grp = spread.grp AND doc_id <> first GROUP BY doc_id
+), kept AS (
+  SELECT doc.*, drops, array_to_string(list_transform(list_filter(range(len(parts)), lambda i: NOT list_contains(drops, i)), lambda i: parts[i + 1]), chr(10)) AS rest
+  FROM doc LEFT JOIN dropped ON doc.doc_id = dropped.doc_id
+)
+SELECT doc_id, CASE WHEN drops IS NULL THEN text ELSE rest END AS text, lang, source,
+       CASE WHEN drops IS NULL THEN n_chars ELSE CAST(length(rest) AS BIGINT) END AS n_chars,
+       CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(drops), 0) AS BIGINT) AS n_dropped
+FROM kept
+"""
+
+
+def _model(order: int) -> str:
+    """Probabilities of one more character of context, after the ``order - 1`` model."""
+    sides = "".join(
+        f", CASE WHEN n_{s} >= 2 THEN (k_{s} + t_{s} * p_{s}) / (n_{s} + t_{s}) ELSE p_{s} END AS p_{s}" for s in ("good", "bad")
+    )
+    return f""", seen{order} AS (
+  SELECT right(gram, {order + 1}) AS key, sum(good) AS k_good, sum(bad) AS k_bad FROM counts GROUP BY 1
+), context{order} AS (
+  SELECT left(key, {order}) AS context, count(*) FILTER (k_good > 0) AS t_good, count(*) FILTER (k_bad > 0) AS t_bad,
+         sum(k_good) AS n_good, sum(k_bad) AS n_bad
+  FROM seen{order} GROUP BY 1
+), model{order + 1} AS (
+  SELECT gram{sides}
+  FROM model{order} JOIN seen{order} ON key = right(gram, {order + 1}) JOIN context{order} ON context = left(right(gram, {order + 1}), {order})
+)"""
+
+
+URL_FILTER = (
+    """
+WITH page AS (
+  SELECT page_id, coalesce(url, '') AS url,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), part AS (
+  SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM page
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'block example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'block example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'allow com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'block com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'allow org/' END AS decided
+  FROM part
+), listed AS (
+  SELECT *, len(list_filter(string_split(replace(host, '-', '.'), '.'),
+    lambda x: x IN ('ads', 'bets', 'casino', 'pills', 'porn', 'spam', 'track', 'viagra', 'warez', 'win'))) > 0 AS named
+  FROM ruled
+), urls AS (
+  SELECT DISTINCT url, CAST(coalesce(starts_with(decided, 'allow'), false) AND NOT named AS INTEGER) AS good,
+         CAST(coalesce(starts_with(decided, 'block'), false) OR named AS INTEGER) AS bad,
+         CAST('0x' || substr(md5(url), 1, 4) AS INTEGER) % 5 = 0 AS kept_out,
+         '^^^' || translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') || '$' AS padded
+  FROM listed
+), grams AS (
+  SELECT url, good, bad, kept_out, substr(padded, i, 4) AS gram
+  FROM (SELECT *, unnest(range(1, length(padded) - 2)) AS i FROM urls)
+), counts AS (
+  SELECT gram, sum(CASE WHEN kept_out THEN 0 ELSE good END) AS good, sum(CASE WHEN kept_out THEN 0 ELSE bad END) AS bad
+  FROM grams GROUP BY gram
+), model0 AS (
+  SELECT gram, CAST(1 AS DOUBLE) / 128 AS p_good, CAST(1 AS DOUBLE) / 128 AS p_bad FROM counts
+)"""
+    + "".join(_model(order) for order in range(4))
+    + """, scores AS (
+  SELECT url, good, bad, kept_out, CAST(sum(CAST(round((ln(p_good) - ln(p_bad)) * 1000000000) AS BIGINT)) AS DOUBLE) / count(*) / 1000000000 AS score
+  FROM grams JOIN model4 ON grams.gram = model4.gram GROUP BY url, good, bad, kept_out
+), bins AS (
+  SELECT greatest(-1000, least(1000, CAST(floor(score * 100) AS INTEGER))) AS step, sum(good) AS good, sum(bad) AS bad
+  FROM scores WHERE kept_out GROUP BY 1
+), above AS (
+  SELECT step, lag(step) OVER (ORDER BY step) AS prev, sum(good) OVER up AS good, sum(bad) OVER up AS bad, sum(good) OVER () AS all_good, sum(bad) OVER () AS all_bad
+  FROM bins WINDOW up AS (ORDER BY step DESC)
+), best AS (
+  SELECT CAST(floor((step + coalesce(prev + 1, step)) / 2.0) AS INTEGER) AS step FROM above WHERE all_good > 0 AND all_bad > 0
+  ORDER BY CAST(good AS DOUBLE) / all_good - CAST(bad AS DOUBLE) / all_bad DESC, above.step LIMIT 1
+)
+SELECT page_id, host, path, substr(decided, strpos(decided, ' ') + 1) AS rule,
+       coalesce(substr(decided, 1, strpos(decided, ' ') - 1),
+                CASE WHEN floor(score * 100) >= coalesce((SELECT step FROM best), -1001) THEN 'allow' ELSE 'block' END) AS verdict
+FROM listed JOIN scores ON listed.url = scores.url
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": DECONTAMINATION, "op6_near_duplicates": NEAR_DUPLICATES, "op9_topk_search": TOPK}
+    return {
+        "op1_decontamination": DECONTAMINATION,
+        "op2_url_filter": URL_FILTER,
+        "op4_sharding": SHARDING,
+        "op5_line_dedup": LINE_DEDUP,
+        "op6_near_duplicates": NEAR_DUPLICATES,
+        "op9_topk_search": TOPK,
+    }

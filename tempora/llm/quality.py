@@ -192,6 +192,15 @@ def trained(docs: DataFrame, labels: DataFrame) -> Machine:
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """The documents that score ``least`` or more; columns as they are."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(whole, F.col("text"), _stated(docs).alias("n_chars"))
-    return score(rows, trained(docs, labels), "_row").where(F.col("score") >= least).select("_row.*")
+    machine = trained(docs, labels)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([batch.column("_row").field("text")], ["text"])
+            for row, end, data, offsets in chunks(own, "text"):
+                x = features(data, offsets, np.maximum(np.asarray(batch.column("stated"))[row:end], 0))
+                kept = pa.array(machine.score(x) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column("_row").slice(row, end - row).filter(kept)], ["_row"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _stated(docs).alias("stated"))
+    return rows.mapInArrow(run, rows.select("_row").schema).select("_row.*")

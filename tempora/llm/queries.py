@@ -58,7 +58,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that recur across documents."""
-    return linededup.drop_recurring_lines(_table(spark, sf_dir, "documents"))
+    out = linededup.clean_lines(_table(spark, sf_dir, "documents"))
+    return out.withColumnsRenamed({"_lines": "n_lines", "_dropped": "n_dropped"})
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

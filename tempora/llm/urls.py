@@ -5,7 +5,8 @@ one of rejected URLs, score every URL by the difference of its log-likelihoods
 divided by its length.  Accepted are the URLs that an allow rule decides;
 rejected those that a block rule decides, and those whose host has one of
 ``REJECT_WORDS``.  A fifth of both is kept out of the counts and sets the cut:
-the score with the largest difference of the two shares above it.
+the score with the largest difference of the two shares above it, in the middle
+of the gap to the next lower one.
 
 Probabilities interpolate orders 0 to ``ORDER`` after Witten and Bell; a
 context is used only where it was seen ``MIN_SEEN`` times.  Log ratios are whole
@@ -103,11 +104,13 @@ def _cut(scored: DataFrame) -> int:
     good, bad = sum(b["good"] for b in bins), sum(b["bad"] for b in bins)
     if not good or not bad:
         return -EDGE - 1
-    best, cut, kept_good, kept_bad = -1.0, 0, good, bad
+    best, cut, kept_good, kept_bad, before = -1.0, 0, good, bad, None
     for b in bins:
         if kept_good / good - kept_bad / bad > best:
-            best, cut = kept_good / good - kept_bad / bad, b["step"]
-        kept_good, kept_bad = kept_good - b["good"], kept_bad - b["bad"]
+            best = kept_good / good - kept_bad / bad
+            # In the middle of the gap below.
+            cut = b["step"] if before is None else (b["step"] + before + 1) // 2
+        kept_good, kept_bad, before = kept_good - b["good"], kept_bad - b["bad"], b["step"]
     return cut
 
 
@@ -118,7 +121,7 @@ def judge(pages: DataFrame, rules: Rules, id_col: str = "page_id") -> DataFrame:
     listed = F.exists(F.split("host", "[.-]"), lambda x: x.isin(*REJECT_WORDS))
     bad = (F.coalesce(F.col("action"), F.lit("")) == "block") | listed
     good = (F.coalesce(F.col("action"), F.lit("")) == "allow") & ~listed
-    kept_out = F.crc32("url") % 5 == 0
+    kept_out = F.conv(F.substring(F.md5("url"), 1, 4), 16, 10).cast("int") % 5 == 0
     # Verdicts depend on the URL alone: score each distinct one.
     urls = ruled.select("url", good.cast("int").alias("good"), bad.cast("int").alias("bad"), kept_out.alias("kept_out")).dropDuplicates(["url"])
     urls = replace_table(urls, f"{scratch}/urls")
