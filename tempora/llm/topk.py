@@ -105,10 +105,8 @@ def _search(k: int):
     return block
 
 
-def _scored(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Queries have ``block`` (of vectors) and ``part`` (of queries) to meet in."""
-    parts = queries.select("part", "block").distinct()
-    copies = vectors.join(parts, "block")
+def _scored(queries: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """Both sides have the ``block`` of vectors and the ``part`` of queries to meet in."""
     # Fresh column ids: both sides come from one table.
     own = queries.select(*[F.col(c).alias(c) for c in queries.columns])
     return own.groupBy("part", "block").cogroup(copies.groupBy("part", "block")).applyInPandas(
@@ -152,7 +150,8 @@ def top_products(vectors: DataFrame, is_query: Column, k: int, scale: int = 1024
     # First thresholds from one block of the longest vectors.
     longest = table[-1][2]
     start = asking.withColumn("block", F.lit(longest)).withColumn("least", F.lit(None).cast("double"))
-    found = replace_table(_scored(start, placed.where(F.col("block") == longest), k), f"{scratch}/first")
+    copies = placed.where(F.col("block") == longest).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    found = replace_table(_scored(start, copies, k), f"{scratch}/first")
     if block > 1:
         least = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("least"))
         known = asking.join(least.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
@@ -161,7 +160,8 @@ def top_products(vectors: DataFrame, is_query: Column, k: int, scale: int = 1024
         known = known.withColumn("met", F.explode(reached))
         each = F.explode(F.expr("sequence(met.start, met.start + met.deal - 1)")).alias("block")
         met = known.select("vec_id", "v", "norm", "part", "least", each).where(F.col("block") != longest)
-        found = found.unionByName(_scored(met, placed.where(F.col("block") != longest), k))
+        copies = placed.join(met.select("part", "block").distinct(), "block")
+        found = found.unionByName(_scored(met, copies, k))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
