@@ -100,7 +100,7 @@ def global_blocks(rel: DataFrame, keys: Keys) -> DataFrame:
     row that starts with it and a row that ends with it.
     """
     rows = valid(rel)
-    # One row per distinct day at most, so one task and a broadcast are safe.
+    # One row per distinct day at most, so one task is enough.
     blocks = coalesce_periods(
         rows.groupBy(FROM).agg(F.max(TO).alias(TO)).withColumn("all", F.lit(0)), ["all"]
     ).select(F.col(FROM).alias("g_from"), F.col(TO).alias("g_to"))
@@ -111,7 +111,7 @@ def global_blocks(rel: DataFrame, keys: Keys) -> DataFrame:
     block_edges = blocks.select("*", F.explode(edges).alias("x")).select("g_from", "g_to", "x.*")
     row_edges = rows.select(*keys, F.col(FROM).alias("g_from"), F.col(TO).alias("g_to"))
     row_edges = row_edges.select(*keys, F.explode(edges).alias("x")).select(*keys, "x.*")
-    hits = row_edges.join(F.broadcast(block_edges), ["edge", "t"])
+    hits = row_edges.join(block_edges, ["edge", "t"])
     both = hits.groupBy(*keys, "g_from", "g_to").agg(
         F.max(F.col("edge") == "s").alias("s"), F.max(F.col("edge") == "e").alias("e")
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.functions.spans import FROM, TO, contains_day, spans_contain
+from tempora.functions.spans import FROM, TO, contains_day
 from tempora.operators.periods import Keys, intersect_rows, pack, unpack
 from tempora.operators.sized import is_small, salted, small
 
@@ -44,7 +44,7 @@ def join_facts(
 
     ``rel_rows`` is an upper bound of the rows of ``rel``.
     """
-    if not is_small(rel_rows):
+    if not is_small(rel, rel_rows):
         facts = per_day(facts, key)
     f, r = facts.alias("f"), small(rel, rel_rows).alias("r")
     on = F.col(f"f.{key}") == F.col(f"r.{key}")
@@ -63,17 +63,27 @@ def by_period(facts: DataFrame, periods: DataFrame, rel_rows: int | None = None)
     return total(join_facts(facts, periods, inside, rel_rows), ["item_id", FROM, TO])
 
 
+def _with_sets(joined: DataFrame, packed: DataFrame) -> DataFrame:
+    """Sum facts per item, then put the item's set beside the sum."""
+    return packed.select("item_id", "vt").join(total(joined, ["item_id"]), "item_id")
+
+
 def by_span_set(facts: DataFrame, packed: DataFrame, rel_rows: int | None = None) -> DataFrame:
-    """Total per item and span set of the sales on a day of the set."""
-    inside = spans_contain(F.col("vt"), F.col("sold_d"))
-    return total(join_facts(facts, packed, inside, rel_rows), ["item_id", "vt"])
+    """Total per item and span set of the sales on a day of the set.
+
+    ``packed`` has one set per item.  Facts meet its periods as rows, of which
+    at most one holds a day; ``rel_rows`` bounds those.
+    """
+    inside = contains_day(F.col(FROM), F.col(TO), F.col("sold_d"))
+    periods = unpack(packed.select("item_id", "vt"))
+    return _with_sets(join_facts(facts, periods, inside, rel_rows), packed)
 
 
 def by_span_set_any_day(
     facts: DataFrame, packed: DataFrame, rel_rows: int | None = None
 ) -> DataFrame:
     """As :func:`by_span_set` without a day test: all sales of the item."""
-    return total(join_facts(facts, packed, None, rel_rows), ["item_id", "vt"])
+    return _with_sets(join_facts(facts, packed.select("item_id"), None, rel_rows), packed)
 
 
 def _members(
@@ -86,7 +96,7 @@ def _members(
     """
     ic = item_category.select("item_id", "cat_id", FROM, TO, F.struct(FROM, TO).alias("ic"))
     q = category_periods.select("cat_id", FROM, TO, F.struct(FROM, TO).alias("q"))
-    if is_small(category_rows):
+    if is_small(q, category_rows):
         return intersect_rows(ic, small(q, category_rows), ["cat_id"])
     ic, q = salted(ic, q)
     return intersect_rows(ic, q, ["cat_id", "salt"]).drop("salt")
@@ -96,7 +106,7 @@ def _periods_of(
     members: DataFrame, category_periods: DataFrame, category_rows: int | None
 ) -> DataFrame:
     """All periods of the category of each member."""
-    if is_small(category_rows):
+    if is_small(category_periods, category_rows):
         return members.join(small(category_periods, category_rows), "cat_id")
     members, periods = salted(members, category_periods)
     return members.join(periods, ["cat_id", "salt"]).drop("salt")
@@ -132,20 +142,21 @@ def by_category_literal(
 def by_category_span_set(
     facts: DataFrame,
     item_category_ss: DataFrame,
-    category_ss: DataFrame,
+    category_periods: DataFrame,
     category_rows: int | None = None,
 ) -> DataFrame:
     """Packed parity form: grouped by the value of the common span set, the
     day again tested against the category's set only.
 
     Sales meet the category's periods as rows and are summed per item and
-    category; the sets join only those sums.
+    category; the sets join only those sums.  ``category_periods`` are the
+    category's set as rows.
     """
     member = ["item_id", "cat_id"]
-    met = _members(unpack(item_category_ss), unpack(category_ss), category_rows)
+    met = _members(unpack(item_category_ss), category_periods, category_rows)
     sets = pack(met, member)
     # Every period of the category's set counts, met by the item or not.
-    periods = _periods_of(sets.select(*member), unpack(category_ss), category_rows)
+    periods = _periods_of(sets.select(*member), category_periods, category_rows)
     inside = contains_day(F.col(FROM), F.col(TO), F.col("sold_d"))
     paid = join_facts(facts, periods, inside).groupBy(*member)
     paid = paid.agg(F.sum("net_paid").alias("net_paid"))

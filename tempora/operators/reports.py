@@ -36,6 +36,12 @@ def read_plans(log: DataFrame) -> DataFrame:
     )
 
 
+def interval_text(duration: Column) -> Column:
+    """``HH:mm:ss.ffffff`` of a time shorter than a day."""
+    zero = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.date_format(zero + duration, "HH:mm:ss.SSSSSS")
+
+
 def paired(algebra: DataFrame, olap: DataFrame, run: int | None = None) -> DataFrame:
     """Seconds of both sides for the same query and run."""
     a = algebra.select("query_id", "run_id", F.col("seconds").alias("algebra"))

@@ -1,27 +1,43 @@
-"""Broadcast only behind a proven bound on the rows; salt few-valued keys."""
+"""Broadcast only behind a proven bound on the bytes; salt few-valued keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Interval rows are a key, two dates and at most one short attribute, some 80
-# bytes in a hash table: this many take about 160 MB on each executor.
-BROADCAST_ROWS = 2_000_000
+# What one executor may hold of a broadcast side, and the driver while it builds it.
+BROADCAST_BYTES = 160_000_000
 
+# A row in a hash table: its header, 8 bytes a column, and the content of a key
+# or name, which the declared schemas bound; longer types have no such bound.
+ROW_BYTES, TEXT_BYTES = 48, 64
 
-def is_small(rows: int | None) -> bool:
+
+def row_bytes(df: DataFrame) -> int | None:
+    """Upper bound of a row's size in memory; None where the types give none."""
+    size = ROW_BYTES
+    for field in df.schema:
+        if isinstance(field.dataType, T.ArrayType | T.MapType | T.BinaryType):
+            return None
+        nested = len(field.dataType) if isinstance(field.dataType, T.StructType) else 1
+        size += 8 * nested + (TEXT_BYTES if isinstance(field.dataType, T.StringType) else 0)
+    return size
+
+
+def is_small(df: DataFrame, rows: int | None, limit: int = BROADCAST_BYTES) -> bool:
     """``rows`` is an upper bound known before the plan runs; None = unknown."""
-    return rows is not None and rows <= BROADCAST_ROWS
+    width = row_bytes(df)
+    return rows is not None and width is not None and rows * width <= limit
 
 
-def small(df: DataFrame, rows: int | None) -> DataFrame:
+def small(df: DataFrame, rows: int | None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast when ``rows`` proves it small.
 
     Otherwise the plan is left to the optimizer, which shuffles both sides and
     splits skewed partitions at run time.
     """
-    return F.broadcast(df) if is_small(rows) else df
+    return F.broadcast(df) if is_small(df, rows, limit) else df
 
 
 # Tasks that one key value of a salted join is spread over.

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempora.functions.sizes import pretty_size
 from tempora.functions.spans import (
     FROM,
     TO,
@@ -30,8 +31,15 @@ from tempora.operators.periods import (
 from tempora.plans import algebra_views
 from tempora.plans.algebra_views import NAMES, AlgebraViews
 from tempora.plans.load import load
-from tempora.plans.statements import CATEGORY_TOTALS, STATEMENTS, VersionRows, Warehouse, statements
-from tempora.plans.stored import from_load
+from tempora.plans.statements import (
+    CATEGORY_TOTALS,
+    ITEM_TOTALS,
+    STATEMENTS,
+    Warehouse,
+    count_versions,
+    statements,
+)
+from tempora.plans.stored import derive_and_store, from_load, reopened
 from tempora.sources import csv, derived, schemas
 from tempora.sources.tables import log_runs, replace_table, row_bound, scratch_dir
 
@@ -51,27 +59,40 @@ WIDER = {
 class Inputs:
     """Dimension tables and facts over one data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False) -> None:
-        """``stored`` writes the versions once to shared storage, for queries
-        that derive many tables from them."""
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(
+        self, spark: SparkSession, sf_dir: str, store: str = "", coarse: bool = False
+    ) -> None:
+        """``store`` writes versions once to shared storage, for queries that
+        derive many tables from them: ``"versions"`` their periods and
+        attributes only, ``"named"`` also keys and names.  ``coarse``: see
+        :func:`derived.item_days`."""
+        self.spark, self.sf_dir, self._coarse = spark, sf_dir, coarse
+        self._versions = derived.versions(spark, sf_dir, coarse)
         self._named = derived.scd(spark, sf_dir)
-        if stored:
+        if store == "versions":
+            self._versions = replace_table(self._versions, f"{scratch_dir(spark)}/versions")
+        elif store:
             self._named = replace_table(self._named, f"{scratch_dir(spark)}/scd_item")
-        self._stored = stored
-        self.views = AlgebraViews(self.table, derived.BRAND, derived.PRICE, derived.MORE_THAN)
+            self._versions = self._named
+        more_than = derived.COARSE_MORE_THAN if coarse else derived.MORE_THAN
+        self.views = AlgebraViews(self.table, derived.BRAND, derived.PRICE, more_than)
 
     def table(self, name: str) -> DataFrame:
         if name == "scd_item":
-            return self._named if self._stored else derived.versions(self.spark, self.sf_dir)
+            return self._versions
         build = getattr(history, name)
         return build(self.table("scd_item"))
 
     def named(self) -> DataFrame:
         return self._named
 
+    def facts(self) -> DataFrame:
+        """Facts as the star has them: an item, a date key and an amount."""
+        return derived.sales(self.spark, self.sf_dir, self._coarse)
+
     def sales(self) -> DataFrame:
-        return derived.sales(self.spark, self.sf_dir)
+        """Facts with their day, which the calendar has."""
+        return olap.with_day(self.facts(), self.calendar())
 
     def sales_keys(self) -> DataFrame:
         return derived.sales_keys(self.spark, self.sf_dir)
@@ -120,7 +141,7 @@ def dim_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fact_denorm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fact with its natural key, NULL where the item key is unknown."""
     w = Inputs(spark, sf_dir)
-    return history.denormalise(w.sales_keys(), w.named(), w.version_bound())
+    return history.denormalise(w.sales_keys().drop("item_id"), w.named(), w.version_bound())
 
 
 # --- checks ------------------------------------------------------------------
@@ -128,53 +149,76 @@ def fact_denorm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chk_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every primary and unique key of the warehouse."""
-    w = Inputs(spark, sf_dir, stored=True)
+    w = Inputs(spark, sf_dir, store="named")
     named = w.named()
     keys = [
-        ("scd_item", named, ["item_sk"]),
-        ("scd_item", named, ["item_id", FROM]),
-        ("item", history.item(named), ["item_id"]),
-        ("item_ls", w.table("lifespan"), ["item_id", FROM]),
-        ("brand", history.brand(named), ["brand_id"]),
-        ("category", history.category(named), ["cat_id"]),
-        ("item_category", w.table("item_category"), ["item_id", "cat_id", FROM]),
-        ("item_brand", w.table("item_brand"), ["item_id", "brand_id", FROM]),
-        ("item_price", w.table("item_price"), ["item_id", "price", FROM, TO]),
-        ("item_category_ss", w.table("item_category_ss"), ["item_id", "cat_id"]),
-        ("item_brand_ss", w.table("item_brand_ss"), ["item_id", "brand_id"]),
-        ("item_price_ss", w.table("item_price_ss"), ["item_id", "price"]),
-        ("date_dim", w.calendar(), ["date_sk"]),
-        ("store_sales", w.sales_keys(), ["item_sk", "date_sk", "ticket"]),
-        ("lines", w.sales_keys(), ["ticket", "line"]),
+        (named, [("scd_item", ["item_sk"]), ("scd_item", ["item_id", FROM])]),
+        (history.item(named), [("item", ["item_id"])]),
+        (w.table("item_ss"), [("item_ss", ["item_id"])]),
+        (w.table("lifespan"), [("item_ls", ["item_id", FROM])]),
+        (history.brand(named), [("brand", ["brand_id"])]),
+        (w.table("brand_ss"), [("brand_ss", ["brand_id"])]),
+        (history.category(named), [("category", ["cat_id"])]),
+        (w.table("category_ss"), [("category_ss", ["cat_id"])]),
+        (w.table("item_category"), [("item_category", ["item_id", "cat_id", FROM])]),
+        (w.table("item_brand"), [("item_brand", ["item_id", "brand_id", FROM])]),
+        (w.table("item_price"), [("item_price", ["item_id", "price", FROM, TO])]),
+        (w.table("item_category_ss"), [("item_category_ss", ["item_id", "cat_id"])]),
+        (w.table("item_brand_ss"), [("item_brand_ss", ["item_id", "brand_id"])]),
+        (w.table("item_price_ss"), [("item_price_ss", ["item_id", "price"])]),
+        (w.calendar(), [("date_dim", ["date_sk"])]),
+        (w.sales_keys(), [("store_sales", ["item_sk", "date_sk", "ticket"]), ("lines", ["ticket", "line"])]),
     ]
-    return _union(quality.unique_report(df, table, cols) for table, df, cols in keys)
+    return _union(quality.unique_report(df, own) for df, own in keys)
 
 
 def chk_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference of the warehouse."""
-    w = Inputs(spark, sf_dir, stored=True)
-    named, facts = w.named(), w.sales_keys()
-    item, brand, category = history.item(named), history.brand(named), history.category(named)
-    refs = [
-        ("item_ls -> item", w.table("lifespan"), "item_id", item, "item_id"),
-        ("item_category -> item", w.table("item_category"), "item_id", item, "item_id"),
-        ("item_category -> category", w.table("item_category"), "cat_id", category, "cat_id"),
-        ("item_brand -> item", w.table("item_brand"), "item_id", item, "item_id"),
-        ("item_brand -> brand", w.table("item_brand"), "brand_id", brand, "brand_id"),
-        ("item_price -> item", w.table("item_price"), "item_id", item, "item_id"),
-        ("store_sales -> date_dim", facts, "date_sk", w.calendar(), "date_sk"),
-        ("store_sales -> scd_item", facts, "item_sk", named, "item_sk"),
-        ("store_sales -> item", w.sales(), "item_id", item, "item_id"),
+    w = Inputs(spark, sf_dir, store="named")
+    named = w.named()
+    parents = {
+        "item": (history.item(named), "item_id"),
+        "item_ss": (w.table("item_ss"), "item_id"),
+        "brand": (history.brand(named), "brand_id"),
+        "brand_ss": (w.table("brand_ss"), "brand_id"),
+        "category": (history.category(named), "cat_id"),
+        "category_ss": (w.table("category_ss"), "cat_id"),
+        "date_dim": (w.calendar(), "date_sk"),
+        "scd_item": (named, "item_sk"),
+    }
+    pointing = [
+        (w.table("lifespan"), "item_ls", {"item": "item_id"}),
+        (w.table("item_category"), "item_category", {"item": "item_id", "category": "cat_id"}),
+        (w.table("item_brand"), "item_brand", {"item": "item_id", "brand": "brand_id"}),
+        (w.table("item_price"), "item_price", {"item": "item_id"}),
+        (w.table("item_category_ss"), "item_category_ss", {"item_ss": "item_id", "category_ss": "cat_id"}),
+        (w.table("item_brand_ss"), "item_brand_ss", {"item_ss": "item_id", "brand_ss": "brand_id"}),
+        (w.table("item_price_ss"), "item_price_ss", {"item": "item_id"}),
+        (w.sales_keys(), "store_sales", {"date_dim": "date_sk", "scd_item": "item_sk", "item": "item_id"}),
+    ]
+    children = [
+        (df, [(f"{name} -> {parent}", fk, parent) for parent, fk in own.items()])
+        for df, name, own in pointing
     ]
-    return _union(quality.reference_report(c, fk, p, pk, name) for name, c, fk, p, pk in refs)
+    return quality.reference_report(children, parents)
 
 
 def chk_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Inputs(spark, sf_dir, stored=True)
+    w = Inputs(spark, sf_dir, store="named")
     named = w.named()
-    facts = history.denormalise(w.sales_keys(), named, w.version_bound())
+    facts = history.denormalise(w.sales_keys().drop("item_id"), named, w.version_bound())
     tables = [
-        ("scd_item", named, ["item_id"]),
+        ("scd_item", named, ["item_sk", "item_id"]),
+        ("item", history.item(named), ["item_id"]),
+        ("item_ss", w.table("item_ss"), ["item_id"]),
+        ("brand", history.brand(named), ["brand_id"]),
+        ("brand_ss", w.table("brand_ss"), ["brand_id"]),
+        ("category", history.category(named), ["cat_id"]),
+        ("category_ss", w.table("category_ss"), ["cat_id"]),
+        ("item_category_ss", w.table("item_category_ss"), ["item_id", "cat_id"]),
+        ("item_brand_ss", w.table("item_brand_ss"), ["item_id", "brand_id"]),
+        ("item_price_ss", w.table("item_price_ss"), ["item_id", "price"]),
+        ("date_dim", _with_date_id(w.calendar()), ["date_sk", "d_date_id"]),
         ("item_ls", w.table("lifespan"), ["item_id", FROM, TO]),
         ("item_category", w.table("item_category"), ["item_id", "cat_id", FROM]),
         ("item_brand", w.table("item_brand"), ["item_id", "brand_id", FROM]),
@@ -184,6 +228,10 @@ def chk_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union(quality.null_report(df, table, cols) for table, df, cols in tables)
 
 
+def _with_date_id(days: DataFrame) -> DataFrame:
+    return days.withColumn("d_date_id", F.lpad(F.col("date_sk").cast("string"), 16, "0"))
+
+
 def _union(parts) -> DataFrame:
     parts = list(parts)
     out = parts[0]
@@ -229,7 +277,7 @@ def pack_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Span set of the brand met with the span set of each dear price."""
-    views = Inputs(spark, sf_dir, stored=True).views
+    views = Inputs(spark, sf_dir, store="versions").views
     b = views.brand_sets().select("item_id", F.col("vt").alias("b"))
     p = views.dear_sets().select("item_id", "price", F.col("vt").alias("p"))
     both = b.join(p, "item_id").withColumn("vt", spans_intersect(F.col("b"), F.col("p")))
@@ -238,7 +286,7 @@ def intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item, brand and category whose span sets share a day."""
-    w = Inputs(spark, sf_dir, stored=True)
+    w = Inputs(spark, sf_dir, store="versions")
     b = w.table("item_brand_ss").withColumnRenamed("vt", "b")
     c = w.table("item_category_ss").withColumnRenamed("vt", "c")
     hit = b.join(c, "item_id").where(spans_overlap(F.col("b"), F.col("c")))
@@ -247,7 +295,7 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dear, but not of the brand; two relations."""
-    views = Inputs(spark, sf_dir, stored=True).views
+    views = Inputs(spark, sf_dir, store="versions").views
     return algebra.difference(views.dear_rows(), views.brand_rows(), ["item_id"])
 
 
@@ -268,7 +316,7 @@ def contains_day_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intersect_rows_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brand and category of an item over their common periods."""
-    w = Inputs(spark, sf_dir, stored=True)
+    w = Inputs(spark, sf_dir, store="versions")
     return intersect_rows(w.table("item_brand"), w.table("item_category"), ["item_id"])
 
 
@@ -290,28 +338,32 @@ def split_timeline_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def global_blocks_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parity kernel: periods of the whole table that a brand opens and closes."""
-    return literal.global_blocks(Inputs(spark, sf_dir, stored=True).table("scd_item"), ["brand_id"])
+    return literal.global_blocks(Inputs(spark, sf_dir, store="versions").table("scd_item"), ["brand_id"])
 
 
-# Statements that derive several tables from the versions.  For these the
-# versions are stored first, so the order lines are read and shuffled once.
+# Statements that derive several tables from the versions, or first count them.
+# For these the versions are stored, so the order lines are read and shuffled once.
 FROM_STORED = {
     *("a3_join_ss", "a3_join_tdw", "a4_union_ss", "a4_union_tdw"),
-    *("o3_ss", "o3_tdw", "o4_ss", "o4_tdw"),
     *("a5_difference_ss", "a5_difference_tdw", "a5_difference_scd"),
-    *("o5_ss", "o5_tdw", "o5_scd"),
     "a6_aggregation_scd",
+    *ITEM_TOTALS,
     *CATEGORY_TOTALS,
 }
+# Their text asks for categories that open and close with all data.
+ON_COARSE = {"a6_aggregation_scd", "o6_scd"}
 
 
 # --- algebra and OLAP ------------------------------------------------------------
 
 
-def _statement(name: str) -> Query:
+def _statement(name: str, broadcast: bool = True) -> Query:
+    """``broadcast=False`` runs the form for relations too large to broadcast."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        inputs = Inputs(spark, sf_dir, stored=name in FROM_STORED)
-        bound = None if name in NAMES else VersionRows(*[inputs.version_bound()] * 3)
+        store = "versions" if name in FROM_STORED else ""
+        inputs = Inputs(spark, sf_dir, store, coarse=name in ON_COARSE)
+        bound = count_versions(inputs.views) if broadcast and name not in NAMES else None
         w = Warehouse(inputs.table, inputs.sales(), bound, inputs.views)
         df = statements(w)[name]()
         return as_text(df) if "vt" in df.columns else df
@@ -323,7 +375,7 @@ def olap_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full star join: surrogate keys resolved through both dimensions."""
     w = Inputs(spark, sf_dir)
     bound = w.version_bound()
-    facts = history.denormalise(w.sales_keys(), w.named(), bound).where(F.col("item_id").isNotNull())
+    facts = history.denormalise(w.sales_keys().drop("item_id"), w.named(), bound).where(F.col("item_id").isNotNull())
     facts = olap.with_day(facts, w.calendar())
     out = olap.by_period(facts, w.views.a1_selection_tdw(), bound)
     return out.orderBy("item_id", FROM)
@@ -337,6 +389,12 @@ def olap_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements(w)["o1_tdw"]()
 
 
+def olap_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement over bucketed tables that another application had stored."""
+    stored = derive_and_store(spark, sf_dir, buckets=8)
+    return statements(reopened(spark, stored.path))["o2_tdw"]()
+
+
 def view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named SQL views over the algebra, used from SQL text."""
     w = Inputs(spark, sf_dir)
@@ -375,7 +433,8 @@ def write_files(spark: SparkSession, sf_dir: str, only: str | None = None) -> st
             F.rpad(F.col("item_id").cast("string"), 16, " ").alias("i_item_id"),
             F.col(FROM).alias("i_rec_start_date"),
             F.col(TO).alias("i_rec_end_date"),
-            F.col("item_desc").alias("i_item_desc"),
+            # Blanks at the end of a varchar are data.
+            F.concat("item_desc", F.lit("  ")).alias("i_item_desc"),
             F.col("price").alias("i_current_price"),
             F.col("brand_id").alias("i_brand_id"),
             F.col("brand").alias("i_brand"),
@@ -384,9 +443,9 @@ def write_files(spark: SparkSession, sf_dir: str, only: str | None = None) -> st
         )
         _write_csv(named, schemas.item_schema(), f"{folder}/scd_item.csv")
     if only in (None, "date_dim"):
-        days = w.calendar().select(
+        days = _with_date_id(w.calendar()).select(
             F.col("date_sk").alias("d_date_sk"),
-            F.lpad(F.col("date_sk").cast("string"), 16, "0").alias("d_date_id"),
+            "d_date_id",
             F.col("d").alias("d_date"),
             F.year("d").alias("d_year"),
             F.month("d").alias("d_moy"),
@@ -478,21 +537,37 @@ def rep_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = reports.read_plans(derived.runlog(spark, sf_dir))
     return log.select(
         "query_id", "run_id", "start_time", "planning_ms", "execution_ms",
-        F.round("seconds", 6).alias("seconds"), "number_rows",
+        F.round("seconds", 6).alias("seconds"),
+        reports.interval_text(F.col("duration")).alias("duration"),
+        "number_rows",
     )
 
 
 def rep_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every warehouse table."""
-    w = Inputs(spark, sf_dir, stored=True)
-    tables = {"store_sales": w.sales(), "date_dim": w.calendar(), **history.build(w.named())}
+    w = Inputs(spark, sf_dir, store="named")
+    tables = {"store_sales": w.facts(), "date_dim": w.calendar(), **history.build(w.named())}
     return reports.profile(tables)
 
 
+def profile_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, bytes and readable size of the 16 tables of a load."""
+    folder = write_files(spark, sf_dir)
+    return reports.profile_stored(load(spark, folder, f"{folder}/tables", **WIDER))
+
+
 def rep_profile_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and stored size of the given files."""
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-    return reports.profile_stored({n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    """As :func:`profile_sizes`; bytes depend on the file format, so that only
+    whether a table has any, and a readable size, is shown."""
+    sized = (F.col("size_bytes") > 0) & F.col("size").rlike("^[0-9]+ (bytes|kB|MB|GB|TB)$")
+    return profile_sizes(spark, sf_dir).select("table_name", "rows", sized.alias("sized"))
+
+
+def rep_pretty_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable sizes of numbers from a few units up to many billions."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    n = F.expr("shiftleft(cast(l_orderkey as bigint), cast(5 * (l_linenumber - 1) as int))")
+    return lines.select(n.alias("n")).distinct().select("n", pretty_size(F.col("n")).alias("size"))
 
 
 def queries() -> dict[str, Query]:
@@ -541,6 +616,9 @@ def queries() -> dict[str, Query]:
         "global_blocks": global_blocks_,
     }
     out.update({name: _statement(name) for name in STATEMENTS})
+    for name in (*ITEM_TOTALS, *CATEGORY_TOTALS):
+        out[f"{name}_shuffled"] = _statement(name, broadcast=False)
+    out["olap_reopened"] = olap_reopened
     out["olap_star"] = olap_star
     out["olap_loaded"] = olap_loaded
     out.update(
@@ -550,6 +628,7 @@ def queries() -> dict[str, Query]:
             "rep_full": rep_full,
             "rep_profile": rep_profile,
             "rep_profile_size": rep_profile_size,
+            "rep_pretty_size": rep_pretty_size,
             "rep_runlog": rep_runlog,
         }
     )

@@ -18,8 +18,14 @@ WRITERS = 4
 ATTRIBUTES = {"brand_id": "item_brand", "cat_id": "item_category", "price": "item_price"}
 
 
-def _per_item(name: str) -> bool:
-    return name.startswith("item_")
+TABLES = ["scd_item", "date_dim", "store_sales", "item", "item_ls", "brand", "category"]
+TABLES += [*ATTRIBUTES.values(), *(f"{name}_ss" for name in ATTRIBUTES.values())]
+TABLES += ["item_ss", "brand_ss", "category_ss"]
+
+
+def per_item(name: str) -> bool:
+    """Tables with a bounded number of rows per item; versions where they are unique."""
+    return name.startswith("item_") or name == "scd_item"
 
 
 def _with_set(entities: DataFrame, periods: DataFrame, key: str) -> DataFrame:
@@ -27,25 +33,26 @@ def _with_set(entities: DataFrame, periods: DataFrame, key: str) -> DataFrame:
 
 
 def load_dimensions(
-    versions: DataFrame, out: str, buckets: int | None = None
+    versions: DataFrame, out: str, buckets: int | None = None, hashed: bool = False
 ) -> dict[str, DataFrame]:
     """Derive and store the dimension tables of both designs.
 
     Each attribute is coalesced once: packed tables and the lifespans of
     brands and categories are built from the stored interval rows.  With
-    ``buckets`` the per-item tables are bucketed by item.
+    ``buckets`` the per-item tables are bucketed by item; ``hashed`` tells that
+    the versions are so already.
     """
 
-    def put(name: str, df: DataFrame) -> tuple[str, DataFrame]:
+    def put(name: str, df: DataFrame, is_hashed: bool) -> tuple[str, DataFrame]:
         path = f"{out}/{name}"
-        if buckets and _per_item(name):
-            return name, replace_bucketed(df, path, "item_id", buckets)
+        if buckets and per_item(name):
+            return name, replace_bucketed(df, path, "item_id", buckets, is_hashed)
         return name, replace_table(df, path)
 
-    def put_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    def put_all(tables: dict[str, DataFrame], is_hashed: bool) -> dict[str, DataFrame]:
         # The writes do not depend on each other; Spark runs their jobs together.
         with ThreadPoolExecutor(WRITERS) as pool:
-            return dict(pool.map(lambda t: put(*t), tables.items()))
+            return dict(pool.map(lambda t: put(*t, is_hashed), tables.items()))
 
     stored = put_all(
         {
@@ -54,26 +61,37 @@ def load_dimensions(
             "brand": history.brand(versions),
             "category": history.category(versions),
             **{name: history.attribute(versions, attr) for attr, name in ATTRIBUTES.items()},
-        }
+        },
+        hashed,
     )
     packed = {f"{name}_ss": pack(stored[name], ["item_id", attr]) for attr, name in ATTRIBUTES.items()}
     packed["item_ss"] = _with_set(stored["item"], stored["item_ls"], "item_id")
     for key, entity in (("brand_id", "brand"), ("cat_id", "category")):
         periods = history.lifespan(stored[ATTRIBUTES[key]], key)
         packed[f"{entity}_ss"] = _with_set(stored[entity], periods, key)
-    return {**stored, **put_all(packed)}
+    # Packed from the tables just stored, which are bucketed where asked for.
+    return {**stored, **put_all(packed, buckets is not None)}
 
 
 def load(
-    spark: SparkSession, folder: str, out: str, buckets: int | None = None, **wider: str
+    spark: SparkSession,
+    folder: str,
+    out: str,
+    buckets: int | None = None,
+    scale: int | None = None,
+    multi_line: bool = False,
+    **wider: str,
 ) -> dict[str, DataFrame]:
     """Read the three CSV files of ``folder`` and store 16 tables under ``out``.
 
+    ``scale`` takes the files of that scale factor below ``folder``;
+    ``multi_line`` allows line breaks in quoted fields of the items;
     ``wider`` overrides declared column types, for files with larger amounts.
     Versions and facts are stored as read; only derived tables, in which the
     rows of an item are bounded, can be bucketed.
     """
-    items = replace_table(csv.read_items(spark, folder, **wider), f"{out}/scd_item")
+    folder = folder if scale is None else csv.scale_dir(folder, scale)
+    items = replace_table(csv.read_items(spark, folder, multi_line, **wider), f"{out}/scd_item")
     versions = csv.as_versions(items)
     stored = {"scd_item": items, **load_dimensions(versions, out, buckets)}
     dates = csv.read_calendar(spark, folder).withColumn("d_datespan", span("d_date"))
@@ -86,14 +104,15 @@ def load(
 
 
 def reopen(spark: SparkSession, out: str, buckets: int | None = None) -> dict[str, DataFrame]:
-    """The tables of an earlier :func:`load` with the same ``buckets``."""
-    names = ["scd_item", "date_dim", "store_sales", "item", "item_ls", "brand", "category"]
-    names += [*ATTRIBUTES.values(), *(f"{name}_ss" for name in ATTRIBUTES.values())]
-    names += ["item_ss", "brand_ss", "category_ss"]
+    """The tables of an earlier :func:`load`.
+
+    ``buckets`` must be what they were loaded with; None reads plain files.
+    """
 
     def table(name: str) -> DataFrame:
-        if buckets and _per_item(name):
+        # Versions are stored as read, unbucketed.
+        if buckets and per_item(name) and name != "scd_item":
             return open_bucketed(spark, f"{out}/{name}", "item_id", buckets)
         return spark.read.parquet(f"{out}/{name}")
 
-    return {name: table(name) for name in names}
+    return {name: table(name) for name in TABLES}

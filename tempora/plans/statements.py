@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tempora.functions.spans import FROM
 from tempora.operators import olap
+from tempora.operators.periods import unpack
 from tempora.plans.algebra_views import NAMES, AlgebraViews
+from tempora.sources.tables import replace_table, scratch_dir
 
 
 @dataclass(frozen=True)
@@ -39,9 +41,10 @@ class Warehouse:
     without bounds nothing is broadcast."""
 
     table: Callable[[str], DataFrame]
-    sales: DataFrame  # item_id, sold_d, net_paid
+    sales: DataFrame  # item_id, sold_d, net_paid: facts joined with the calendar
     rows: VersionRows | None
     views: AlgebraViews
+    path: str | None = None  # where it is stored
 
 
 def count_versions(views: AlgebraViews) -> VersionRows:
@@ -62,8 +65,15 @@ def _by_item(w: Warehouse, relation: str, design: str, total: Callable) -> Calla
 
 
 def _by_category(w: Warehouse, view: str, members: str, total: Callable) -> Callable[[], DataFrame]:
-    bound = w.rows.every if w.rows else None
-    return lambda: _sorted(total(w.sales, w.table(members), getattr(w.views, view)(), bound))
+    def run() -> DataFrame:
+        # Used twice and small beside versions and facts: worked out and counted once.
+        periods = getattr(w.views, view)()
+        periods = unpack(periods) if "vt" in periods.columns else periods
+        periods = replace_table(periods, f"{scratch_dir(periods.sparkSession)}/{view}")
+        bound = periods.count() if w.rows else None
+        return _sorted(total(w.sales, w.table(members), periods, bound))
+
+    return run
 
 
 def statements(w: Warehouse) -> dict[str, Callable[[], DataFrame]]:

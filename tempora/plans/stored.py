@@ -13,27 +13,41 @@ from pyspark.sql import functions as F
 
 from tempora.operators import olap
 from tempora.plans.algebra_views import AlgebraViews
-from tempora.plans.load import load_dimensions
+from tempora.plans.load import TABLES, load_dimensions, per_item
 from tempora.plans.statements import Warehouse, count_versions
 from tempora.sources import csv, derived
-from tempora.sources.tables import replace_bucketed, replace_table, scratch_dir
+from tempora.sources.tables import open_bucketed, replace_bucketed, replace_table, scratch_dir
 
 
 # Parameters of the published statements.
 BRAND, PRICE, MORE_THAN = 5004001, 80, 3
 
 
+def _warehouse(tables: dict[str, DataFrame], path: str) -> Warehouse:
+    sales = olap.with_day(tables["store_sales"], tables["date_dim"])
+    views = AlgebraViews(tables.__getitem__, derived.BRAND, derived.PRICE, derived.MORE_THAN)
+    return Warehouse(tables.__getitem__, sales, count_versions(views), views, path)
+
+
 def derive_and_store(spark: SparkSession, sf_dir: str, buckets: int) -> Warehouse:
     """Derive all tables of a data folder and store them in a fresh folder.
 
-    The derived versions are unique per item and day by construction.
+    The derived versions are unique per item and day by construction.  Facts
+    keep their date key; statements join the calendar.
     """
     out = scratch_dir(spark)
     scd = replace_bucketed(derived.scd(spark, sf_dir), f"{out}/scd_item", "item_id", buckets)
-    tables = {"scd_item": scd, **load_dimensions(scd, out, buckets)}
-    sales = replace_table(derived.sales(spark, sf_dir), f"{out}/store_sales")
-    views = AlgebraViews(tables.__getitem__, derived.BRAND, derived.PRICE, derived.MORE_THAN)
-    return Warehouse(tables.__getitem__, sales, count_versions(views), views)
+    tables = {"scd_item": scd, **load_dimensions(scd, out, buckets, hashed=True)}
+    tables["store_sales"] = replace_table(derived.sales(spark, sf_dir), f"{out}/store_sales")
+    tables["date_dim"] = replace_table(derived.calendar(spark, sf_dir), f"{out}/date_dim")
+    return _warehouse(tables, out)
+
+
+def reopened(spark: SparkSession, path: str) -> Warehouse:
+    """The warehouse that :func:`derive_and_store` left in ``path``."""
+    tables = {n: spark.read.parquet(f"{path}/{n}") for n in TABLES if not per_item(n)}
+    tables |= {n: open_bucketed(spark, f"{path}/{n}") for n in TABLES if per_item(n)}
+    return _warehouse(tables, path)
 
 
 def from_load(

@@ -13,12 +13,28 @@ from tempora.sources import schemas
 _EMPTY = "\u0001"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _text(field: T.StructField) -> Column:
+    """A string as declared: ``char`` loses its padding, ``varchar`` keeps its
+    blanks, and what is longer than declared, blanks at its end aside, is an error."""
+    value = F.when(F.col(field.name) == _EMPTY, "").otherwise(F.col(field.name))
+    kind, length = (field.metadata.get(k) for k in ("kind", "length"))
+    if kind is None:
+        return value.alias(field.name)
+    full, bare = value, F.rtrim(value)
+    fitting = bare if kind == "char" else F.substring(full, 1, length)
+    error = F.raise_error(F.concat(F.lit(f"{field.name} is longer than {length}: "), bare))
+    return F.when(F.length(bare) > length, error.cast("string")).otherwise(fitting).alias(field.name)
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
     """Comma-separated file with a header row.
 
     An empty unquoted field is NULL, a quoted one is the empty string, a quote
-    is escaped by doubling, and a malformed row aborts the read.  Trailing
-    blanks of strings are padding and are removed.
+    is escaped by doubling.  A row with a malformed field aborts the read, also
+    where the column is not used later.  ``multi_line`` allows line breaks in
+    quoted fields; a file is then read by one task.
     """
     df = (
         spark.read.schema(schema)
@@ -26,15 +42,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         .option("nullValue", "")
         .option("emptyValue", _EMPTY)
         .option("escape", '"')
+        .option("multiLine", multi_line)
         .option("mode", "FAILFAST")
         .csv(path)
     )
-
-    def text(name: str) -> Column:
-        return F.rtrim(F.when(F.col(name) == _EMPTY, "").otherwise(F.col(name))).alias(name)
-
-    return df.select(
-        *[text(f.name) if f.dataType == T.StringType() else F.col(f.name) for f in schema]
+    # Always true, but it takes every field, so none is skipped unparsed.
+    whole = df.where(F.xxhash64(*df.columns) >= F.lit(-(1 << 63)))
+    return whole.select(
+        *[_text(f) if f.dataType == T.StringType() else F.col(f.name) for f in schema]
     )
 
 
@@ -43,8 +58,10 @@ def scale_dir(root: str, sf: int) -> str:
     return f"{root.rstrip('/')}/sf{sf}"
 
 
-def read_items(spark: SparkSession, folder: str, **wider: str) -> DataFrame:
-    return read_csv(spark, f"{folder}/scd_item.csv", schemas.item_schema(**wider))
+def read_items(
+    spark: SparkSession, folder: str, multi_line: bool = False, **wider: str
+) -> DataFrame:
+    return read_csv(spark, f"{folder}/scd_item.csv", schemas.item_schema(**wider), multi_line)
 
 
 def read_calendar(spark: SparkSession, folder: str, **wider: str) -> DataFrame:

@@ -6,7 +6,7 @@ the date dimension and ``runlog`` the log of timed queries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # End of the open version of an item, day 0 of date keys, and
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 OPEN_END = "2002-01-01"
 EPOCH = "1990-01-01"
 BRAND = 3
-PRICE = 50000
+PRICE = 95000
 MORE_THAN = 3
+COARSE_MORE_THAN = 1
 LOG_ONLY_OLAP = "signup"
 
 
@@ -23,13 +24,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def item_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per item and ship day, valid until the item's next day."""
+def item_days(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
+    """One row per item and ship day, valid until the item's next day.
+
+    ``coarse``: suppliers are the items and line numbers their categories, few
+    of each, so that some item keeps its category from the first day on.
+    """
+    key, category = ("l_suppkey", "l_linenumber") if coarse else ("l_partkey", "l_suppkey")
     days = (
         _table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_partkey").alias("item_id"), F.col("l_shipdate").cast("date").alias("from_d"))
+        .groupBy(F.col(key).alias("item_id"), F.col("l_shipdate").cast("date").alias("from_d"))
         .agg(
-            F.min("l_suppkey").alias("cat_id"),
+            F.min(category).alias("cat_id"),
             F.min("l_linenumber").alias("brand_id"),
             F.min(F.col("l_extendedprice").cast("decimal(12,2)")).alias("price"),
             # The smallest flag is R if some row has it and none a smaller one;
@@ -42,10 +48,10 @@ def item_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.withColumn("to_d", F.coalesce(nxt, F.lit(OPEN_END).cast("date")))
 
 
-def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def versions(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
     """Item versions; days flagged R are left out, which makes gaps."""
     return (
-        item_days(spark, sf_dir)
+        item_days(spark, sf_dir, coarse)
         .where(F.col("has_less") | ~F.col("has_r"))
         .select("item_id", "from_d", "to_d", "cat_id", "brand_id", "price")
     )
@@ -68,27 +74,31 @@ def scd(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with the natural item key and the order day."""
+def _date_key(day: Column) -> Column:
+    return F.date_diff(day, F.lit(EPOCH).cast("date"))
+
+
+def sales(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
+    """Facts with the natural item key and a date key."""
     lines = _table(spark, sf_dir, "lineitem")
     orders = _table(spark, sf_dir, "orders")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
-        F.col("l_partkey").alias("item_id"),
-        F.col("o_orderdate").cast("date").alias("sold_d"),
+        F.col("l_suppkey" if coarse else "l_partkey").alias("item_id"),
+        _date_key(F.col("o_orderdate").cast("date")).alias("date_sk"),
         F.col("l_extendedprice").cast("decimal(12,2)").alias("net_paid"),
     )
 
 
 def sales_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with surrogate keys only; some item keys match no version."""
+    """Facts with surrogate keys, of which some match no version, and the item."""
     lines = _table(spark, sf_dir, "lineitem")
     orders = _table(spark, sf_dir, "orders")
-    sold = F.col("o_orderdate").cast("date")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         (F.col("l_partkey") * 100000 + 1 + F.col("l_orderkey") % 30).alias("item_sk"),
-        F.date_diff(sold, F.lit(EPOCH).cast("date")).alias("date_sk"),
+        _date_key(F.col("o_orderdate").cast("date")).alias("date_sk"),
         F.col("l_orderkey").alias("ticket"),
         F.col("l_linenumber").alias("line"),
+        F.col("l_partkey").alias("item_id"),
         F.col("l_extendedprice").cast("decimal(12,2)").alias("net_paid"),
     )
 
@@ -103,7 +113,7 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.col("lo").isNotNull())
     )
     return ends.select(F.explode(F.sequence("lo", "hi")).alias("d")).select(
-        F.date_diff("d", F.lit(EPOCH).cast("date")).alias("date_sk"), "d"
+        _date_key(F.col("d")).alias("date_sk"), "d"
     )
 
 

@@ -37,13 +37,18 @@ ss_net_paid_inc_tax decimal(7,2), ss_net_profit decimal(7,2)
 
 
 def _declare(text: str, **wider: str) -> T.StructType:
-    """Blank-padded and bounded strings are read as plain strings."""
+    """Padded and bounded strings are plain strings, with their declared kind noted."""
     fields = []
     for part in text.replace("\n", " ").split(", "):
         name, kind = part.split()
         kind = wider.get(name, kind)
-        fields.append(f"{name} {'string' if 'char' in kind else kind}")
-    return T.StructType.fromDDL(", ".join(fields))
+        if "char" in kind:
+            kind, length = kind.rstrip(")").split("(")
+            field = T.StructField(name, T.StringType(), metadata={"kind": kind, "length": int(length)})
+        else:
+            field = T.StructType.fromDDL(f"{name} {kind}")[0]
+        fields.append(field)
+    return T.StructType(fields)
 
 
 def item_schema(**wider: str) -> T.StructType:

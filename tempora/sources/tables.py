@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,19 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_MADE: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    Only where the session names none (local tests) is a local folder made.
+    Only where the session names none and runs in one process (``local``,
+    ``local[n]``) is a folder of this machine taken.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/tempora-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/tempora-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders that this process has asked for so far.
+
+    To be called when every result that reads them has been consumed.
+    """
+    gone = 0
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        gone += bool(files.delete(path, True))
+    return gone
 
 
 def replace_table(df: DataFrame, path: str) -> DataFrame:
@@ -51,29 +69,62 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def replace_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+def _bucket_note(path: str) -> str:
+    return f"{path.rstrip('/')}.buckets"
+
+
+def _declare(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """Declare the files as a bucketed table, in place of any earlier declaration."""
+    name, schema = _bucketed_name(path), spark.read.parquet(path).schema
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet "
+        f"CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return _plain(spark.table(name))
+
+
+def replace_bucketed(
+    df: DataFrame, path: str, key: str, buckets: int, hashed: bool = False
+) -> DataFrame:
     """As :func:`replace_table`, hashed into ``buckets`` by ``key``.
 
     Later grouping, windows and joins on the key read without a shuffle.  Only
-    for tables in which the rows of one key are bounded.
+    for tables in which the rows of one key are bounded.  Key and bucket count
+    are noted beside the table; a wrong count would hide rows from a reader.
+    ``hashed`` saves the shuffle of rows read from a table of the same buckets.
     """
     spark, name = df.sparkSession, _bucketed_name(path)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    hashed = df.repartition(buckets, key)
-    writer = hashed.write.mode("overwrite").format("parquet").bucketBy(buckets, key)
+    # One file a bucket, unless each task has one bucket's rows already.
+    rows = df if hashed else df.repartition(buckets, key)
+    writer = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, key)
     writer.option("path", path).saveAsTable(name)
+    note = spark.range(1).select(F.lit(key).alias("key"), F.lit(buckets).alias("buckets"))
+    note.coalesce(1).write.mode("overwrite").json(_bucket_note(path))
     return _plain(spark.table(name))
 
 
-def open_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
-    """A table that :func:`replace_bucketed` wrote, in a later session."""
-    name, schema = _bucketed_name(path), spark.read.parquet(path).schema
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
-        f"CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
-    )
-    return _plain(spark.table(name))
+def bucketed_by(spark: SparkSession, path: str) -> tuple[str, int]:
+    """Key and bucket count that a bucketed table was written with."""
+    note = spark.read.schema("key string, buckets int").json(_bucket_note(path)).first()
+    if note is None:
+        raise ValueError(f"{path} has no note of its buckets")
+    return note["key"], note["buckets"]
+
+
+def open_bucketed(
+    spark: SparkSession, path: str, key: str | None = None, buckets: int | None = None
+) -> DataFrame:
+    """A table that :func:`replace_bucketed` wrote, in a later session.
+
+    Key and count are read from beside the table; those given must be the same.
+    """
+    own_key, own_buckets = bucketed_by(spark, path)
+    if key not in (None, own_key) or buckets not in (None, own_buckets):
+        raise ValueError(f"{path} has {own_buckets} buckets by {own_key}, not {buckets} by {key}")
+    return _declare(spark, path, own_key, own_buckets)
 
 
 def row_bound(spark: SparkSession, *paths: str) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
@@ -40,6 +41,50 @@ def test_no_nested_loops(spark, warehouse):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
+OLAP = [f"o{i}_{d}" for i in range(1, 7) for d in ("ss", "tdw", "scd")] + ["o5", "o6"]
+
+
+@pytest.mark.parametrize("name", OLAP)
+def test_facts_join_the_calendar(warehouse, name):
+    plan = warehouse_plan(warehouse, name)
+    assert any("Join" in line and "date_sk" in line for line in plan.splitlines())
+
+
+def warehouse_plan(warehouse, name, bounded=True) -> str:
+    w = warehouse if bounded else replace(warehouse, rows=None)
+    return statements(w)[name]()._jdf.queryExecution().optimizedPlan().toString() + physical(statements(w)[name]())
+
+
+@pytest.mark.parametrize("name", ["o1_ss", "o2_ss", "o3_ss", "o4_ss", "o5_ss"])
+@pytest.mark.parametrize("bounded", [True, False])
+def test_packed_totals_join_rows_and_group_by_item(warehouse, name, bounded):
+    for line in warehouse_plan(warehouse, name, bounded).splitlines():
+        assert not ("Join" in line and "exists(" in line), line
+        assert not ("Aggregate" in line and "net_paid" in line and "vt#" in line), line
+
+
+@pytest.mark.parametrize("name", OLAP)
+def test_shuffled_form_gives_the_same_rows(spark, warehouse, name):
+    def rows(w):
+        return sorted(map(repr, statements(w)[name]().collect()))
+
+    expected = rows(warehouse)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = replace(warehouse, rows=None)
+        assert "BroadcastHashJoin" not in physical(statements(shuffled)[name]())
+        assert rows(shuffled) == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["chk_unique", "chk_fk", "chk_not_null"])
+def test_checks_read_the_facts_once(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x for x in plan.splitlines() if "Relation" in x and "l_linenumber" in x]
+    assert len(lines) <= 2  # the facts, and the first and last day of the calendar
+
+
 def test_coalesce_reduces_before_it_windows(spark, tmp_path):
     path = str(tmp_path / "r")
     rel(spark, [("a", 0, 1)]).write.parquet(path)

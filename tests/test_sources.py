@@ -120,3 +120,101 @@ def test_open_bucketed_declares_the_buckets(spark):
     assert again.count() == 50
     plan = again.groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("wrong", [2, 8, 16])
+def test_reopening_with_another_bucket_count_is_refused(spark, wrong):
+    path = scratch_dir(spark)
+    replace_bucketed(spark.range(500), path, "id", 4)
+    spark.sql(f"DROP TABLE {tables._bucketed_name(path)}")
+    with pytest.raises(ValueError, match="4 buckets"):
+        tables.open_bucketed(spark, path, "id", wrong)
+    with pytest.raises(ValueError, match="by id"):
+        tables.open_bucketed(spark, path, "other", 4)
+    for again in (tables.open_bucketed(spark, path), tables.open_bucketed(spark, path, "id", 4)):
+        assert again.join(spark.range(500), "id").count() == 500
+
+
+def test_an_earlier_declaration_does_not_survive(spark):
+    path = scratch_dir(spark)
+    replace_bucketed(spark.range(500), path, "id", 4)
+    name = tables._bucketed_name(path)
+    spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"CREATE TABLE {name} (id bigint) USING parquet CLUSTERED BY (id) INTO 16 BUCKETS LOCATION '{path}'")
+    assert tables.open_bucketed(spark, path).join(spark.range(500), "id").count() == 500
+
+
+def test_reopened_warehouse_has_every_row(spark):
+    w = stored.derive_and_store(spark, SF, buckets=8)
+    for name in ("item_ls", "item_brand", "item_price_ss"):
+        spark.sql(f"DROP TABLE {tables._bucketed_name(f'{w.path}/{name}')}")
+    again = stored.reopened(spark, w.path)
+    for name in ("a2_projection_tdw", "a3_join_ss", "o1_tdw"):
+        assert out(statements(again)[name]().drop("vt")) == out(statements(w)[name]().drop("vt"))
+
+
+def test_scratch_needs_a_shared_folder_unless_local(spark, monkeypatch):
+    class Conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class Session:
+        conf = Conf
+
+        def __init__(self, master):
+            self.sparkContext = type("C", (), {"master": master})
+
+    for master in ("local", "local[4]", "local[*]"):
+        assert scratch_dir(Session(master))
+    for master in ("local-cluster[2,1,512]", "spark://x:7077", "yarn"):
+        with pytest.raises(ValueError, match="share"):
+            scratch_dir(Session(master))
+
+
+def _items(tmp_path, *rows):
+    head = ",".join(schemas.item_schema().names)
+    (tmp_path / "scd_item.csv").write_text("\n".join([head, *rows]) + "\n")
+    return str(tmp_path)
+
+
+def test_only_char_loses_its_blanks(spark, tmp_path):
+    folder = _items(tmp_path, f"1,AAAA            ,,,abc  ,,,,x   {',' * 13}")
+    r = csv.read_items(spark, folder).first()
+    assert (r["i_item_id"], r["i_item_desc"], r["i_brand"]) == ("AAAA", "abc  ", "x")
+
+
+def test_a_bad_field_in_an_unread_column_aborts(spark, tmp_path):
+    folder = _items(tmp_path, f"1,A,,,d,,,xx{',' * 14}")
+    for use in (lambda df: df.count(), lambda df: df.select("i_item_sk").collect()):
+        with pytest.raises(Exception, match="MALFORMED|malformed"):
+            use(csv.read_items(spark, folder))
+
+
+@pytest.mark.parametrize("row", [f"1,{'A' * 17},,,d", f"1,A,,,{'d' * 201}"])
+def test_too_long_a_string_aborts(spark, tmp_path, row):
+    row += "," * (21 - row.count(","))
+    with pytest.raises(Exception, match="is longer than"):
+        csv.read_items(spark, _items(tmp_path, row)).collect()
+
+
+def test_blanks_beyond_the_length_are_cut(spark, tmp_path):
+    folder = _items(tmp_path, f"1,{'A' * 16}  ,,,{'d' * 199}   {',' * 17}")
+    r = csv.read_items(spark, folder).first()
+    assert r["i_item_id"] == "A" * 16 and r["i_item_desc"] == "d" * 199 + " "
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    folder = _items(tmp_path, f'1,A,,,"a\nb"{"," * 17}')
+    assert csv.read_items(spark, folder, multi_line=True).first()["i_item_desc"] == "a\nb"
+
+
+def test_load_takes_a_scale_factor(spark):
+    folder = catalog.write_files(spark, SF)
+    root, name = folder.rsplit("/", 1)
+    import os
+
+    os.makedirs(f"{root}/scales")
+    os.symlink(folder, f"{root}/scales/sf7")
+    loaded = load(spark, f"{root}/scales", f"{folder}/out", scale=7, **catalog.WIDER)
+    assert loaded["scd_item"].count() == spark.read.option("header", True).csv(f"{folder}/scd_item.csv").count()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tempora.functions.sizes import pretty_size
 from tempora.operators import history, olap, quality, reports
 from tempora.operators.periods import pack
-from tempora.operators.sized import BROADCAST_ROWS
+from tempora.operators.sized import BROADCAST_BYTES, is_small, row_bytes
 from tests.support import day, out, rel
 
 SCD = (
@@ -119,8 +119,7 @@ def test_category_totals(spark, rows):
     assert out(olap.by_category(sales(spark), ic, q, rows)) == [(1, 3, 5, Decimal("2.00"))]
     assert out(olap.by_category_literal(sales(spark), ic, q, rows)) == [(1, 3, 5, Decimal("6.00"))]
     ic_ss = pack(ic, ["item_id", "cat_id"])
-    q_ss = pack(q, ["cat_id"])
-    got = olap.by_category_span_set(sales(spark), ic_ss, q_ss, rows).collect()
+    got = olap.by_category_span_set(sales(spark), ic_ss, q, rows).collect()
     assert [(r["vt"], r["total_sales"]) for r in got] == [([(day(3), day(5))], Decimal("6.00"))]
 
 
@@ -145,9 +144,22 @@ def test_checks(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "c")], "k int, v string")
     parent = spark.createDataFrame([(2,)], "p int")
     assert [tuple(r) for r in quality.duplicates(df, ["k", "v"]).collect()] == [(1, "a", 2)]
-    assert tuple(quality.unique_report(df, "t", ["k"]).first()) == ("t", "k", 1, 2)
-    assert [tuple(r) for r in quality.orphans(df, "k", parent, "p").collect()] == [(1, 3)]
-    assert tuple(quality.reference_report(parent, "p", parent, "p", "r").first()) == ("r", 0, 0)
+    keys = [("t", ["k"]), ("t", ["k", "v"]), ("u", ["v"])]
+    assert sorted(map(tuple, quality.unique_report(df, keys).collect())) == [
+        ("t", "k", 1, 2),
+        ("t", "k, v", 1, 1),
+        ("u", "v", 1, 1),
+    ]
+    empty = quality.unique_report(df.where("false"), keys).collect()
+    assert [tuple(r)[2:] for r in empty] == [(0, 0)] * 3
+    parents = {"p": (parent, "p"), "q": (df, "v")}
+    children = [(df, [("d -> p", "k", "p"), ("d -> q", "v", "q")]), (parent, [("p -> p", "p", "p")])]
+    assert [tuple(r) for r in quality.orphans(children, parents).collect()] == [("d -> p", "1", 3)]
+    assert sorted(map(tuple, quality.reference_report(children, parents).collect())) == [
+        ("d -> p", 1, 3),
+        ("d -> q", 0, 0),
+        ("p -> p", 0, 0),
+    ]
     assert sorted(map(tuple, quality.null_report(df, "t", ["k", "v"]).collect())) == [
         ("t", "k", 1),
         ("t", "v", 0),
@@ -227,6 +239,13 @@ def test_unknown_size_is_not_broadcast(spark):
         df = olap.by_period(sales(spark), periods, rows)
         return df._jdf.queryExecution().optimizedPlan().toString()
 
-    assert "strategy=broadcast" in plan(BROADCAST_ROWS)
-    assert "strategy=broadcast" not in plan(BROADCAST_ROWS + 1)
+    most = BROADCAST_BYTES // row_bytes(periods)
+    assert "strategy=broadcast" in plan(most)
+    assert "strategy=broadcast" not in plan(most + 1)
     assert "strategy=broadcast" not in plan(None)
+    assert not is_small(pack(periods, ["item_id"]), 1)  # sets have no bound
+
+
+def test_interval_text(spark):
+    df = spark.range(1).select(F.make_dt_interval(mins=F.lit(62), secs=F.lit(3.000004)).alias("d"))
+    assert df.select(reports.interval_text(F.col("d"))).first()[0] == "01:02:03.000004"
