@@ -4,10 +4,10 @@ Texts are folded: lower case, homoglyphs and full-width letters to Latin ones,
 digits and signs that stand for letters to those letters, everything else to one
 blank between words.  The lexicon's entries are whole words and beginnings of
 words, each weighted with the log ratio of the shares of toxic and clean training
-documents that have it.  Exception phrases are an entry with the word before or
+documents that have it, less one standard error.  Exception phrases are an entry with the word before or
 after it that clean documents have and toxic ones have not; a match inside one
-does not count.  The weights found, as a sum and per word of the text, go through
-a logistic curve fitted to the training documents.
+does not count.  The weights found, as a sum, per word of the text, and the
+heaviest, go through a logistic curve fitted to the training documents.
 
 Training takes at most ``SAMPLE`` labelled documents; the lexicon has at most
 ``ENTRIES`` entries.  Scoring reads every whole text.
@@ -39,8 +39,9 @@ SAMPLE = 20_000
 ENTRIES = 20_000
 # Beginnings of words, in letters.
 STEMS = range(4, 8)
-# An entry is in this share of the toxic rows, and so much likelier there than in clean ones.
-SUPPORT, LIKELIER = 0.005, 4.0
+# An entry is in this share of the toxic rows at least; its weight is the log ratio less so many
+# standard errors, as thousands of beginnings are tried and some recur by chance.
+SUPPORT, CHANCE, LEAST_WEIGHT = 0.005, 1.0, 0.7
 EXCEPTION_SUPPORT = 3
 FOLDS, FOLD = 5, 0
 # Letters of other scripts that look like Latin ones, and digits and signs used for letters.
@@ -64,7 +65,7 @@ def fold(text: str | None) -> str:
 class Model(NamedTuple):
     entries: dict[str, float]  # `` word `` or `` beginning``
     exceptions: frozenset[str]  # `` word word ``
-    curve: tuple[float, float, float]
+    curve: tuple[float, ...]  # bias, then a factor for each feature
 
 
 def candidates(folded: str) -> set[str]:
@@ -101,10 +102,11 @@ def matched(folded: str, machine: ahocorasick.Automaton) -> Iterator[tuple[int,
             yield begin, last, weight
 
 
-def _features(folded: str, machine: ahocorasick.Automaton) -> tuple[float, float]:
-    total = sum(w for _, _, w in matched(folded, machine))
+def _features(folded: str, machine: ahocorasick.Automaton) -> tuple[float, float, float]:
+    """Sum of the weights, the same per word, and the heaviest."""
+    weights = [w for _, _, w in matched(folded, machine)]
     words = max(1, folded.count(" ") - 1)
-    return np.log1p(total), 100 * total / words
+    return np.log1p(sum(weights)), 100 * sum(weights) / words, max(weights, default=0.0)
 
 
 def _counted(pick: Callable[[str], Iterable[str]]) -> Callable[[Batches], Batches]:
@@ -141,16 +143,27 @@ def _contexts(machine: ahocorasick.Automaton) -> Callable[[str], Iterator[str]]:
     return pick
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, ...]:
-    """Logistic regression with a little ridge, by Newton's method; the bias first."""
-    x = np.column_stack([np.ones(len(x)), x])
-    b = np.zeros(x.shape[1])
+def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, ...]:
+    """Logistic regression with a ridge, by damped Newton steps; the bias first."""
+    mean, spread = x.mean(0), np.maximum(x.std(0), 1e-9)
+    z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
+    ridge = np.diag([1e-6, *[0.1] * x.shape[1]])
+
+    def loss(b: np.ndarray) -> float:
+        return float(np.logaddexp(0, z @ b).sum() - y @ (z @ b) + b @ ridge @ b / 2)
+
+    b = np.zeros(z.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        ridge = np.diag([1e-6, *[1e-2] * (x.shape[1] - 1)])
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ b)
-        b += np.clip(step, -5, 5)
-    return tuple(map(float, b))
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(len(b)), z.T @ (y - p) - ridge @ b)
+        size = 1.0
+        while size > 1e-4 and loss(b + size * step) > loss(b):
+            size /= 2
+        if size <= 1e-4:
+            break
+        b = b + size * step
+    factors = b[1:] / spread
+    return (float(b[0] - mean @ factors), *map(float, factors))
 
 
 def train(sample: DataFrame) -> Model:
@@ -158,18 +171,20 @@ def train(sample: DataFrame) -> Model:
     clean, toxic = totals.get(False, 0), totals.get(True, 0)
     if not clean or not toxic:
         rate = (toxic + 1e-3) / (clean + toxic + 1e-2) if toxic else 1e-3
-        return Model({}, frozenset(), (float(np.log(rate / max(1 - rate, 1e-3))), 0.0, 0.0))
+        return Model({}, frozenset(), (float(np.log(rate / max(1 - rate, 1e-3))), 0.0, 0.0, 0.0))
     support = max(3, SUPPORT * toxic)
     common = _sums(sample.where("_y > 0"), candidates).where(F.col("toxic") >= support)
     names = frozenset(r["key"] for r in common.orderBy(F.desc("toxic"), "key").limit(ENTRIES).collect())
     weights = {}
     for r in _sums(sample, lambda folded: candidates(folded) & names).collect():  # at most ENTRIES rows
-        ratio = (r["toxic"] + 0.5) / (toxic + 1) / ((r["clean"] + 0.5) / (clean + 1))
-        if ratio >= LIKELIER:
-            weights[r["key"]] = float(np.log(ratio))
+        a, b = r["toxic"] + 0.5, r["clean"] + 0.5
+        # What is left of the log ratio when chance is taken off.
+        weight = np.log(a / (toxic + 1)) - np.log(b / (clean + 1)) - CHANCE * np.sqrt(1 / a + 1 / b)
+        if weight >= LEAST_WEIGHT:
+            weights[r["key"]] = float(weight)
     # A longer entry that says no more than a beginning of it is left out.
     entries = {k: w for k, w in weights.items() if not any(weights.get(k[: n + 1], 0) >= w - 0.1 for n in STEMS if n + 1 < len(k.rstrip()))}
-    model = Model(entries, frozenset(), (0.0, 0.0, 0.0))
+    model = Model(entries, frozenset(), (0.0,) * 4)
     contexts = _sums(sample, _contexts(automaton(model))).where((F.col("toxic") == 0) & (F.col("clean") >= EXCEPTION_SUPPORT))
     exceptions = frozenset(r["key"] for r in contexts.orderBy(F.desc("clean"), "key").limit(ENTRIES).collect())
     model = model._replace(exceptions=exceptions)
@@ -177,11 +192,11 @@ def train(sample: DataFrame) -> Model:
     def features(batches: Batches) -> Batches:
         machine = automaton(model)
         for batch in batches:
-            x = np.array([_features(fold(t), machine) for t in batch.column("text").to_pylist()]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("_y")], ["a", "b", "y"])
+            x = np.array([_features(fold(t), machine) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), batch.column("_y")], ["a", "b", "c", "y"])
 
-    rows = sample.select("text", "_y").mapInArrow(features, "a double, b double, y double").toPandas()  # at most SAMPLE rows
-    return model._replace(curve=fit_curve(rows[["a", "b"]].to_numpy(), (rows["y"] > 0).to_numpy(float)))
+    rows = sample.select("text", "_y").mapInArrow(features, "a double, b double, c double, y double").toPandas()  # at most SAMPLE rows
+    return model._replace(curve=fit_curve(rows[["a", "b", "c"]].to_numpy(), (rows["y"] > 0).to_numpy(float)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -189,13 +204,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     span = pa.list_(pa.struct([("match", pa.string()), ("weight", pa.float64())]))
 
     def run(batches: Batches) -> Batches:
-        machine, (bias, a, b) = automaton(model), model.curve
+        machine, (bias, *factors) = automaton(model), model.curve
         for batch in batches:
             scores, spans = [], []
             for text in batch.column("text"):
                 folded = fold(text.as_py())
-                x, y = _features(folded, machine)
-                scores.append(1 / (1 + np.exp(-np.clip(bias + a * x + b * y, -30, 30))))
+                margin = bias + np.dot(factors, _features(folded, machine))
+                scores.append(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
                 spans.append([{"match": folded[i : j + 1].strip(), "weight": w} for i, j, w in matched(folded, machine)])
             arrays = [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spans, span)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "spans"])

@@ -73,7 +73,7 @@ def test_folding():
 
 
 def test_exceptions_cover_matches():
-    model = toxicity.Model({" scum ": 2.0, " scu": 1.0}, frozenset({" scum bag "}), (0.0, 1.0, 1.0))
+    model = toxicity.Model({" scum ": 2.0, " scu": 1.0}, frozenset({" scum bag "}), (0.0, 1.0, 1.0, 0.0))
     machine = toxicity.automaton(model)
     assert [w for *_, w in toxicity.matched(" scum bag scum scully ", machine)] == [2.0, 1.0]
 
