@@ -128,7 +128,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Machine:
     mean[:WORD_CELLS] = 0.0
     scale = np.where(spread > 1e-9, 1 / np.maximum(spread, 1e-9), 0.0)
     scale[:WORD_CELLS] = 1.0
-    x = np.clip((x - mean) * scale, -5, 5)
+    x = np.clip((x - mean) * scale, -5, 5).astype(np.float32)
     rng = np.random.default_rng(seed)
     rate = y.mean()
     p = [np.array([np.log(rate / (1 - rate))]), np.zeros(x.shape[1]), rng.normal(0, 0.01, (x.shape[1], RANK))]
@@ -136,7 +136,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Machine:
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for rows in (order[i : i + BATCH] for i in range(0, len(y), BATCH)):
-            a, sums = x[rows], x[rows] @ p[2]
+            a = x[rows].astype(float)
+            sums = a @ p[2]
             margin = p[0] + a @ p[1] + ((sums**2) - (a**2) @ (p[2] ** 2)).sum(1) / 2
             g = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[rows]) / len(rows)
             slopes = [np.array([g.sum()]), a.T @ g + DECAY * p[1], a.T @ (g[:, None] * sums) - ((a**2).T @ g)[:, None] * p[2] + DECAY * p[2]]
@@ -165,11 +166,13 @@ def _per_chunk(make: Callable[[np.ndarray], pa.Array], extra: str, name: str) ->
 def train(sample: DataFrame) -> Machine:
     """Fit to a bounded sample with the label in ``_y``."""
     rows = sample.select("text", _stated(sample).alias("stated"), "_y")
-    listed = rows.mapInArrow(_per_chunk(lambda x: pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), "_y", "x"), "_y double, x array<float>")
-    got = listed.toPandas()  # at most SAMPLE rows of WORD_CELLS + STRUCTURE numbers
-    if not len(got):
+    packed = _per_chunk(lambda x: pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary()), "_y", "x")
+    # At most SAMPLE rows of WORD_CELLS + STRUCTURE numbers of four bytes.
+    got = rows.mapInArrow(packed, "_y double, x binary").collect()
+    if not got:
         return constant(0.5)
-    return fit(np.stack(got["x"].to_list()).astype(float), (got["_y"] > 0).to_numpy(float))
+    x = np.stack([np.frombuffer(r["x"], np.float32) for r in got])
+    return fit(x, np.array([r["_y"] > 0 for r in got], float))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id") -> DataFrame:
