@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
     several = placed.groupBy("id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where("size(all) > 1")
     links = replace_table(several.select("a", F.explode("all").alias("b")).where("a <> b"), f"{scratch}/shared")
     tried = labels = None
-    for step in range(STARS + 1):
+    for step in () if members.isEmpty() else range(STARS + 1):
         if labels is None:
             apart = members.withColumn("component", F.col("rep"))
         else:
@@ -194,13 +194,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = replace_table(pairs, f"{scratch}/pairs{step}")
         if pairs.isEmpty():
-            if step < STARS and step:
-                continue
-            break
+            continue
         tried = pairs if tried is None else tried.unionAll(pairs)
         found = replace_table(_confirmed(pairs, sets, percent), f"{scratch}/links{step}")
-        links = links.unionAll(found)
-        labels = replace_table(components(links), f"{scratch}/labels{step}")
+        if found.isEmpty():
+            continue
+        # Components so far are stars, to which the new links are added.
+        known = links if labels is None else labels.select(F.col("component").alias("a"), F.col("id").alias("b"))
+        labels = replace_table(components(known.unionAll(found)), f"{scratch}/labels{step}")
 
     labels = components(links) if labels is None else labels
     reps = placed.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
