@@ -57,8 +57,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that recur across documents."""
-    out = linededup.clean_lines(_table(spark, sf_dir, "documents"))
+    """Every document without the lines of 8 tokens or more that recur across documents, as its SQL has it."""
+    out = linededup.clean_lines(_table(spark, sf_dir, "documents"), short_docs=None)
     return out.withColumnsRenamed({"_lines": "n_lines", "_dropped": "n_dropped"})
 
 
