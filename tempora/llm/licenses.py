@@ -111,20 +111,34 @@ def _matches(notice: Notice, text: bytes, bounds: np.ndarray) -> Iterator[tuple[
             while at >= 0:
                 before, after = text[at - 1 : at] if at > bounds[row] else b"\n", text[at + size : at + size + 1]
                 if before in (b" ", b"\n") and after == b" ":
-                    exact.append((at, at + size))
+                    exact.append(at)
                     yield row, at, at + size, 0
                 at = text.find(notice.phrase, at + 1, high)
             part = b"\n" + text[max(low, int(bounds[row])) : high]
             shift = max(low, int(bounds[row])) - 1
             if low >= bounds[row] and low > 0:
                 part, shift = text[low:high], low
-            for m in notice.pattern.finditer(part) if k else ():
-                begin, end, edits = m.start() + shift, m.end() + shift, sum(m.fuzzy_counts)
-                if edits and not any(x < end and begin < y for x, y in exact):
-                    yield row, begin, end, edits
+            for begin, end, edits in _edited(notice, part, [x - shift for x in exact]) if k else ():
+                yield row, begin + shift, end + shift, edits
             row += 1
 
 
+def _edited(notice: Notice, part: bytes, exact: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Begin, end and edits of the edited matches beside the exact ones.
+
+    A search gives the closest match of all, so what is before it is searched again, and what is after it.
+    """
+    size, k = len(notice.phrase), notice.edits
+    todo = list(zip([0, *(x + size for x in exact)], [*exact, len(part)], strict=True))
+    while todo:
+        low, high = todo.pop()
+        m = notice.pattern.search(part, low, high) if high - low >= size - k else None
+        if m:
+            if edits := sum(m.fuzzy_counts):
+                yield m.start(), m.end(), edits
+            todo += [(low, m.start()), (m.end(), high)]
+
+
 def _closest(found: list[tuple[int, int, int, Notice]]) -> Iterator[tuple[int, int, int, Notice]]:
     """Without those that overlap a closer match of another label: versions differ by one letter."""
     for begin, end, edits, notice in found:

@@ -80,6 +80,29 @@ def test_edits_up_to_the_bound_are_found(spark):
     assert 10 < hits < 80
 
 
+def test_edited_notices_beside_closer_ones_are_found(spark):
+    got = found(spark, ["under the gnu genral public licens version 2 or gnu general public license version 3"])
+    assert spans(got[1]) == [("gpl-2", 2, 6, 2, False), ("gpl-3", 9, 6, 0, False)]
+    rnd = random.Random(3)
+    phrase, label = licenses.NOTICES[8]
+    texts, edits = [], []
+    for _ in range(60):
+        copies, own = [], []
+        for _ in range(rnd.randint(2, 5)):
+            letters = list(phrase)
+            for i in rnd.sample([i for i, c in enumerate(phrase[1:-1], 1) if c != " "], rnd.randint(0, 3)):
+                letters[i] = "q"
+            copies.append("".join(letters))
+            own.append(sum(a != b for a, b in zip(copies[-1], phrase, strict=True)))
+        texts.append(rnd.choice([" ", " or "]).join(copies))
+        edits.append(own)
+    got = found(spark, texts)
+    for i, (text, own) in enumerate(zip(texts, edits, strict=True), 1):
+        words, step = len(phrase.split()), len(phrase.split()) + (" or " in text)
+        expected = [(label, j * step, words, e, False) for j, e in enumerate(own)]
+        assert [s for s in spans(got[i]) if s[0] == label] == expected, text
+
+
 @pytest.mark.parametrize("n", [licenses.LETTERS_PER_EDIT * k for k in (1, 2, 4)])
 def test_seeds_cover_the_phrase(n):
     notice = licenses.compile_notice("a" * n, "x", False)
