@@ -42,6 +42,8 @@ SHORT_DOCS = 10
 # Beyond plain blanks: control and Unicode white space, and what has no width.
 SPACE = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}\x{200B}\x{2060}\x{FEFF}]"
 SLOW = r"\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+# Text of nothing else has neither, which one cheap pass tells; the classes are dear.
+USUAL = r"\A[\n -~\u00A1-\u0DFF]*+\z"
 # Whatever may be such white space or such a letter, in plain ranges: classes by property are slow.
 ODD = r"[\x00-\x09\x0B-\x1F\x85\xA0\u0E00-\u0EFF\u1000-\u109F\u1680\u1780-\u17FF\u19E0-\u19FF\u2000-\u200B\u2028\u2029\u202F\u205F\u2060\u2E80-\u9FFF\uA9E0-\uA9FF\uAA60-\uAA7F\uF900-\uFAFF\uFEFF\uFF65-\uFF9F\x{16FE0}-\x{3FFFF}]"
 DOC = ["_id", "_tx"]
@@ -50,7 +52,7 @@ DOC = ["_id", "_tx"]
 def _lines(docs: DataFrame, min_tokens: int, short: bool) -> DataFrame:
     """Masked lines with their place in the tree."""
     # Looked for once a document: most have plain single blanks only.
-    odd = (F.contains(F.col("text"), F.lit("  ")) | F.col("text").rlike(ODD)).alias("odd")
+    odd = (F.contains(F.col("text"), F.lit("  ")) | (~F.col("text").rlike(USUAL) & F.col("text").rlike(ODD))).alias("odd")
     keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tx"), "text", odd)
     keyed = keyed.select(*DOC, "odd", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     apart = F.regexp_replace("raw", rf"([\p{{IsHan}}{SLOW}])", " $1 ")
