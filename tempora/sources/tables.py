@@ -36,12 +36,17 @@ def remove_scratch(spark: SparkSession) -> int:
     """
     gone = 0
     while _MADE:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        gone += bool(files.delete(path, True))
+        gone += remove_table(spark, _MADE.pop())
     return gone
 
 
+def remove_table(spark: SparkSession, path: str) -> bool:
+    """Delete a table, or a folder of them, that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(files.delete(folder, True))
+
+
 def replace_table(df: DataFrame, path: str) -> DataFrame:
     """Drop-and-fill: the table holds exactly the rows of ``df`` afterwards."""
     df.write.mode("overwrite").parquet(path)
