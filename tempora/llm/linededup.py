@@ -11,9 +11,10 @@ position and the rest are variable fields; templates that agree with it in at
 least ``ALIKE`` of the positions become one generalised template.  A leaf that
 holds others besides is split: templates that agree with each other in as many
 positions become one generalised template too, however many the leaf holds.
-Such templates share one of their rarest tokens (prefix filter), which keys a
-bucket; buckets are compared with one centre a round, and what ``STARS`` rounds
-leave apart pair by pair.
+Such templates agree in all of one block of positions (pigeonhole), which keys
+a bucket; each bucket of several names a centre to compare with.  Buckets that
+are mixed after that are cut by a second block, and what then is left of them is
+compared pair by pair.
 
 A template that occurs in ``min_docs`` documents is dropped from all of them
 but, with ``keep_first``, the one of the smallest id.  Lines of fewer than
@@ -28,15 +29,15 @@ one text, so repeated rows are treated alike and all stay.  Only ``text`` (and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm.components import components
-from tempora.sources.tables import replace_table, scratch_dir
+from tempora.sources.tables import remove_table, replace_table, scratch_dir
 
 DEPTH = 3
-ALIKE = 0.8
-STARS = 3
+# So many positions of so many.
+ALIKE = (4, 5)
 MIN_TOKENS = 8
 SHORT_DOCS = 10
 # Beyond plain blanks: control and Unicode white space, and what has no width.
@@ -68,92 +69,138 @@ def _lines(docs: DataFrame, min_tokens: int, short: bool) -> DataFrame:
     return sized.select(*DOC, "line", "n", "short", leaf.alias("leaf"), F.xxhash64("masked").alias("t1"), F.xxhash64(F.lit(1), "masked").alias("t2"), "masked")
 
 
-def _generalised(lines: DataFrame, texts: DataFrame, scratch: str) -> DataFrame:
-    """``t1, t2, leaf`` of templates that belong to a generalised one, which ``leaf`` names."""
-    templates = lines.select("leaf", "t1", "t2").distinct()
-    several = templates.groupBy("leaf").agg(F.count("*").alias("m")).where("m > 1")
-    hashes = F.transform(F.split("masked", " "), lambda x: F.xxhash64(x))
-    found = texts.join(several, "leaf").groupBy("t1", "t2", "leaf", "n", "m").agg(F.first("masked").alias("masked"))
-    found = replace_table(found.select("t1", "t2", "leaf", "n", "m", hashes.alias("tokens")), f"{scratch}/templates")
-    tokens = found.select("leaf", "m", "n", "t1", "t2", F.posexplode("tokens").alias("at", "token"))
-    shares = tokens.groupBy("leaf", "m", "at", "token").agg(F.count("*").alias("c"))
-    constant = shares.where("2 * c > m").select("leaf", "at", "token")
-    agree = tokens.join(constant, ["leaf", "at", "token"]).groupBy("leaf", "t1", "t2", "n").agg(F.count("*").alias("same"))
-    alike = agree.where(F.col("same") >= ALIKE * F.col("n")).select("t1", "t2", "leaf")
-    return _split(found, replace_table(alike, f"{scratch}/majority"), scratch)
-
-
-def _split(found: DataFrame, alike: DataFrame, scratch: str) -> DataFrame:
-    """``alike``, with the further generalised templates of leaves that hold others besides."""
-    own = found.join(alike.select("t1", "t2", F.lit(True).alias("major")), ["t1", "t2"], "left")
-    open_ = own.where("major is null").select("leaf").distinct()
-    own = own.join(open_, "leaf").withColumn("component", F.when(F.col("major"), F.col("leaf")).otherwise(F.col("t1")))
-    own = replace_table(own.select("leaf", "t1", "t2", "n", "tokens", "component"), f"{scratch}/open")
-    # Two that agree in ALIKE of the positions share one of so many of their rarest tokens.
-    tokens = own.select("leaf", "t1", "n", "component", F.posexplode("tokens").alias("at", "token"))
-    often = tokens.groupBy("leaf", "at", "token").agg(F.count("*").alias("c")).where("c > 1")
-    often = replace_table(often, f"{scratch}/often")
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "at", "token")))
-    ordered = tokens.join(often, ["leaf", "at", "token"], "left").groupBy("leaf", "t1", "n", "component").agg(order.alias("order"))
-    length = (F.col("n") - F.ceil(ALIKE * F.col("n")) + 1).cast("int")
-    prefix = ordered.select("leaf", "t1", "component", F.explode(F.slice("order", F.lit(1), length)).alias("x")).where("x.c > 1")
-    members = prefix.select(F.xxhash64("leaf", "x.at", "x.token").alias("bucket"), F.col("t1").alias("id"), "component")
-    members = replace_table(members, f"{scratch}/members")
-    tried = labels = None
-    for step in () if members.isEmpty() else range(STARS + 1):
-        apart = members
-        if labels is not None:
-            apart = members.join(labels, "component", "left").withColumn("component", F.coalesce("label", "component")).drop("label")
-        mixed = apart.groupBy("bucket").agg(
-            F.min_by(F.struct("id", "component"), F.xxhash64("id", "bucket", F.lit(step))).alias("x"), F.min("component").alias("lo"), F.max("component").alias("hi")
-        ).where("lo <> hi")
-        if step < STARS:
-            met = apart.join(mixed.select("bucket", F.col("x.id").alias("other"), F.col("x.component").alias("c")), "bucket").where("component <> c")
+def _alike(a: str, b: str) -> Column:
+    """Lines of ``n`` tokens agree in at least ``ALIKE`` of the positions."""
+    same, of = ALIKE
+    return of * F.size(F.array_intersect(a, b)) >= same * F.col("n")
+
+
+def _generalised(several: DataFrame, texts: DataFrame, scratch: str) -> DataFrame:
+    """``t1, t2, leaf`` of templates that belong to a generalised one, which ``leaf`` names.
+
+    ``several`` are the leaves of more than one template; no other text is kept.
+    """
+    found = texts.join(several, "leaf").groupBy("t1", "t2", "leaf", "n").agg(F.first("masked").alias("masked"))
+    # A token and its place are one number, so positions that agree are an intersection.
+    tokens = F.transform(F.split("masked", " "), lambda x, i: F.xxhash64(i, x))
+    found = replace_table(found.select("t1", "t2", "leaf", "n", tokens.alias("tokens")), f"{scratch}/found")
+    held = found.groupBy("leaf").agg(F.count("*").alias("m"))
+    shares = found.select("leaf", F.explode("tokens").alias("token")).groupBy("leaf", "token").agg(F.count("*").alias("c"))
+    # At most one token a position.
+    constant = shares.where("c > 1").join(held, "leaf").where("2 * c > m").groupBy("leaf").agg(F.collect_list("token").alias("constant"))
+    constant = replace_table(constant, f"{scratch}/constant")
+    major = F.coalesce(_alike("tokens", "constant"), F.lit(False)).alias("major")
+    judged = replace_table(found.join(constant, "leaf", "left").select("t1", "t2", "leaf", "n", "tokens", major), f"{scratch}/judged")
+    alike = judged.where("major").select("t1", "t2", "leaf")
+    open_ = replace_table(judged.where("not major").select("leaf").distinct(), f"{scratch}/open")
+    if open_.isEmpty():
+        return alike
+    component = F.when(F.col("major"), F.col("leaf")).otherwise(F.col("t1")).alias("component")
+    own = replace_table(judged.join(open_, "leaf").select("leaf", "t1", "t2", "n", "tokens", component), f"{scratch}/own")
+    labels = _linked(own, scratch)
+    if labels is None:
+        return alike
+    linked = own.join(labels, "component").select("t1", "t2", F.col("label").alias("leaf"))
+    return linked.unionAll(alike.join(linked.select("t1", "t2"), ["t1", "t2"], "left_anti"))
+
+
+def _blocks(rest: str, *key: str) -> Column:
+    """``block, bucket`` of one block of positions more than alike lines may differ in."""
+    same, of = ALIKE
+    count = F.floor((of - same) * F.col("n") / of).cast("int") + 1
+
+    def cut(i: Column) -> Column:
+        return F.floor(i * F.size(rest) / count).cast("int")
+
+    def bucket(i: Column) -> Column:
+        return F.xxhash64(*key, i, F.slice(rest, cut(i) + 1, cut(i + 1) - cut(i)))
+
+    spans = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(cut(i).alias("low"), cut(i + 1).alias("high"), bucket(i).alias("bucket")))
+    return F.explode(spans).alias("x")
+
+
+def _current(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members
+    return members.join(labels, "component", "left").withColumn("component", F.coalesce("label", "component")).drop("label")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Buckets of several components, with a member as their centre."""
+    centre = F.min_by(F.struct("id", "component"), F.xxhash64("id", "bucket")).alias("centre")
+    return members.groupBy("bucket").agg(centre, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+
+
+def _linked(own: DataFrame, scratch: str) -> DataFrame | None:
+    """``component, label`` of the components that links join; None without links."""
+    # Alike lines agree in a whole block of the positions after the leaf's own.
+    rest = own.select("leaf", F.col("t1").alias("id"), "n", "component", F.slice("tokens", F.lit(DEPTH + 1), F.size("tokens")).alias("rest"))
+    members = rest.select("id", "component", _blocks("rest", "leaf")).select("id", "component", "x.*")
+    members, labels = replace_table(members, f"{scratch}/members"), None
+    for step in range(3):
+        apart = _current(members, labels)
+        mixed = _mixed(apart)
+        if step == 1:
+            # Within a bucket, they agree in a block of the other positions too.
+            other = F.concat(F.slice("rest", F.lit(1), F.col("low")), F.slice("rest", F.col("high") + 1, F.size("rest"))).alias("other")
+            met = apart.join(mixed.select("bucket"), "bucket").join(rest.select("id", "n", "rest"), "id").select("id", "component", "bucket", "n", other)
+            members = met.select("id", "component", _blocks("other", "bucket")).select("id", "component", "x.*")
+            apart = members = replace_table(members, f"{scratch}/finer")
+            mixed = _mixed(apart)
+        if step < 2:
+            met = apart.join(mixed.select("bucket", F.col("centre.id").alias("other"), F.col("centre.component").alias("c")), "bucket").where("component <> c")
         else:
-            rest = replace_table(apart.join(mixed.select("bucket"), "bucket", "left_semi"), f"{scratch}/rest")
-            other = rest.select("bucket", F.col("id").alias("other"), F.col("component").alias("c"))
-            met = rest.join(other, "bucket").where("id < other and component <> c")
-        pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = replace_table(pairs, f"{scratch}/pairs{step}")
+            left = replace_table(apart.join(mixed.select("bucket"), "bucket", "left_semi"), f"{scratch}/left")
+            met = left.join(left.select("bucket", F.col("id").alias("other"), F.col("component").alias("c")), "bucket").where("id < other and component <> c")
+        pairs = replace_table(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), f"{scratch}/pairs{step}")
         if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        left = own.select(F.col("t1").alias("a"), "n", F.col("tokens").alias("of_a"), F.col("component").alias("x"))
-        right = own.select(F.col("t1").alias("b"), F.col("tokens").alias("of_b"), F.col("component").alias("y"))
-        same = F.size(F.filter(F.zip_with("of_a", "of_b", lambda x, y: x == y), lambda x: x))
-        links = pairs.join(left, "a").join(right, "b").where(same >= ALIKE * F.col("n")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+            break
+        a = own.select(F.col("t1").alias("a"), "n", F.col("tokens").alias("of_a"), F.col("component").alias("x"))
+        b = own.select(F.col("t1").alias("b"), F.col("tokens").alias("of_b"), F.col("component").alias("y"))
+        links = pairs.join(a, "a").join(b, "b").where(_alike("of_a", "of_b")).select(F.col("x").alias("a"), F.col("y").alias("b"))
         links = replace_table(links, f"{scratch}/links{step}")
         if links.isEmpty():
             continue
         # Components so far are stars, to which the new links are added.
         known = links if labels is None else links.unionAll(labels.select(F.col("label").alias("a"), F.col("component").alias("b")))
         labels = replace_table(components(known).select(F.col("id").alias("component"), F.col("component").alias("label")), f"{scratch}/labels{step}")
-    if labels is None:
-        return alike
-    linked = own.join(labels, "component").select("t1", "t2", F.col("label").alias("leaf"))
-    return linked.unionAll(alike.join(linked.select("t1", "t2"), ["t1", "t2"], "left_anti"))
+    return labels
+
+
+def _groups(lines: DataFrame, texts: DataFrame, scratch: str) -> DataFrame:
+    """``t1, t2, g1, g2``: the groups, of one template or generalised, that lie in several documents."""
+    doc = F.xxhash64(*DOC)
+    templates = lines.groupBy("leaf", "t1", "t2", "short").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"))
+    templates = replace_table(templates, f"{scratch}/templates")
+    several = templates.where("not short").groupBy("leaf").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).where("a <> b")
+    # Written first: a join of two plain shuffles can split a leaf that holds much.
+    several = replace_table(several.select("leaf"), f"{scratch}/several")
+    alike = replace_table(_generalised(several, texts, scratch), f"{scratch}/alike")
+    many = templates.select("t1", "t2", "lo", "hi").join(alike.withColumnRenamed("leaf", "g1"), ["t1", "t2"])
+    many = replace_table(many, f"{scratch}/many")
+    spread = many.groupBy("g1").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("g1")
+    generalised = many.join(spread, "g1").select("t1", "t2", "g1", F.lit(0).cast("long").alias("g2"))
+    single = templates.where("lo <> hi").join(alike, ["t1", "t2"], "left_anti")
+    return generalised.unionAll(single.select("t1", "t2", F.col("t1").alias("g1"), F.col("t2").alias("g2")))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 2, min_tokens: int = MIN_TOKENS, keep_first: bool = True, short_docs: int | None = SHORT_DOCS) -> DataFrame:
     """``_id, _tx, lines``: the numbers, from 0, of the lines to drop."""
+    spark, scratch = docs.sparkSession, scratch_dir(docs.sparkSession)
     texts = _lines(docs, min_tokens, short_docs is not None)
-    scratch = scratch_dir(docs.sparkSession)
     lines = replace_table(texts.drop("masked"), f"{scratch}/lines")
-    alike = replace_table(_generalised(lines.where("not short"), texts.where("not short"), scratch), f"{scratch}/alike")
-    group = [F.coalesce("leaf_of", "t1").alias("g1"), F.when(F.col("leaf_of").isNull(), F.col("t2")).otherwise(F.lit(0)).alias("g2")]
-    grouped = lines.join(alike.withColumnRenamed("leaf", "leaf_of"), ["t1", "t2"], "left").select(*DOC, "line", "short", *group)
-    per_doc = grouped.groupBy("g1", "g2", "short", *DOC).agg(F.collect_list("line").alias("lines"))
+    groups = replace_table(_groups(lines, texts.where("not short"), scratch), f"{scratch}/groups")
+    per_doc = lines.join(groups, ["t1", "t2"]).groupBy("g1", "g2", "short", *DOC).agg(F.collect_list("line").alias("lines"))
     per_doc = replace_table(per_doc, f"{scratch}/per_doc")
     least = F.when(F.col("short"), max(min_docs, short_docs or 0)).otherwise(min_docs)
     spread = per_doc.groupBy("g1", "g2", "short").agg(F.count("*").alias("docs"), F.min(F.struct(*DOC)).alias("first")).where(F.col("docs") >= least)
-    # Written first: a join of two plain shuffles can split a template that is everywhere.
     spread = replace_table(spread, f"{scratch}/recurring")
     dropped = per_doc.join(spread, ["g1", "g2", "short"])
     if keep_first:
         dropped = dropped.where(F.struct(*DOC) != F.col("first"))
-    return dropped.groupBy(*DOC).agg(F.flatten(F.collect_list("lines")).alias("lines"))
+    dropped = replace_table(dropped.groupBy(*DOC).agg(F.flatten(F.collect_list("lines")).alias("lines")), f"{scratch}-dropped")
+    remove_table(spark, scratch)
+    return dropped
 
 
 def clean_lines(docs: DataFrame, min_docs: int = 2, min_tokens: int = MIN_TOKENS, keep_first: bool = True, short_docs: int | None = SHORT_DOCS) -> DataFrame:
