@@ -101,19 +101,25 @@ SELECT doc_id, source, CAST(size AS BIGINT) AS size,
 FROM cut, crc
 """
 
-LINE_DEDUP = """
-WITH doc AS (
+# Letters of scripts without blanks, and what counts as white space.
+SLOW = r"\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}\x{200B}\x{2060}\x{FEFF}]"
+
+LINE_DEDUP = rf"""
+WITH RECURSIVE doc AS (
   SELECT *, string_split(text, chr(10)) AS parts FROM documents
 ), line AS (
-  SELECT doc_id, i - 1 AS line, regexp_replace(trim(parts[i], ' '), '[0-9]+', '0', 'g') AS masked
+  SELECT doc_id, i - 1 AS line, trim(regexp_replace(regexp_replace(parts[i], '([\p{{Han}}{SLOW}])', ' \1 ', 'g'), '{SPACE}+', ' ', 'g'), ' ') AS bare
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM doc)
 ), sized AS (
-  SELECT *, string_split(masked, ' ') AS tokens FROM line
+  SELECT doc_id, line, regexp_replace(bare, '[0-9]+', '0', 'g') AS masked, len(string_split(bare, ' ')) AS n, length(regexp_replace(bare, '[^{SLOW}]', '', 'g')) AS slow
+  FROM line WHERE bare <> ''
 ), parsed AS (
-  SELECT doc_id, line, masked, len(tokens) AS n, len(tokens) || ':' || array_to_string(tokens[1:3], ' ') AS leaf, tokens
-  FROM sized WHERE len(tokens) >= 8
+  SELECT doc_id, line, masked, n, n - slow + CAST(ceil(slow / 4.0) AS BIGINT) < 8 AS short, string_split(masked, ' ') AS tokens,
+         n || ':' || array_to_string(string_split(masked, ' ')[1:3], ' ') AS leaf
+  FROM sized
 ), template AS (
-  SELECT DISTINCT leaf, masked, n, tokens FROM parsed
+  SELECT DISTINCT leaf, masked, n, tokens FROM parsed WHERE NOT short
 ), several AS (
   SELECT leaf, count(*) AS m FROM template GROUP BY leaf HAVING count(*) > 1
 ), token AS (
@@ -123,12 +129,24 @@ WITH doc AS (
   SELECT leaf, i, token FROM token GROUP BY leaf, i, token, m HAVING 2 * count(*) > m
 ), alike AS (
   SELECT token.leaf, masked FROM token JOIN constant c ON token.leaf = c.leaf AND token.i = c.i AND token.token = c.token
-  GROUP BY token.leaf, masked, n HAVING count(*) >= 0.8 * n
+  GROUP BY token.leaf, masked, n HAVING 5 * count(*) >= 4 * n
+), own AS (
+  SELECT t.leaf, t.masked, t.n, t.tokens, CASE WHEN a.leaf IS NULL THEN 't' || t.masked ELSE 'l' || t.leaf END AS node
+  FROM template t JOIN several ON t.leaf = several.leaf LEFT JOIN alike a ON a.leaf = t.leaf AND a.masked = t.masked
+), link AS (
+  SELECT DISTINCT x.node AS a, y.node AS b FROM own x JOIN own y ON x.leaf = y.leaf AND x.node <> y.node
+  WHERE 5 * len(list_filter(range(1, x.n + 1), lambda i: x.tokens[i] = y.tokens[i])) >= 4 * x.n
+), reach AS (
+  SELECT DISTINCT node, node AS other FROM own
+  UNION
+  SELECT reach.node, link.b FROM reach JOIN link ON reach.other = link.a
+), component AS (
+  SELECT node, min(other) AS grp FROM reach GROUP BY node
 ), member AS (
-  SELECT DISTINCT doc_id, line, CASE WHEN a.leaf IS NULL THEN 't' || p.masked ELSE 'l' || a.leaf END AS grp
-  FROM parsed p LEFT JOIN alike a ON p.masked = a.masked AND p.leaf = a.leaf
+  SELECT DISTINCT p.doc_id, p.line, p.short, coalesce(component.grp, 't' || p.masked) AS grp
+  FROM parsed p LEFT JOIN own ON p.masked = own.masked AND p.leaf = own.leaf LEFT JOIN component ON component.node = own.node
 ), spread AS (
-  SELECT grp, min(doc_id) AS first FROM member GROUP BY grp HAVING count(DISTINCT doc_id) >= 2
+  SELECT grp, min(doc_id) AS first FROM member GROUP BY grp, short HAVING count(DISTINCT doc_id) >= CASE WHEN short THEN 10 ELSE 2 END
 ), dropped AS (
   SELECT doc_id, list(line) AS drops FROM member JOIN spread ON member.grp = spread.grp AND doc_id <> first GROUP BY doc_id
 ), kept AS (
