@@ -8,13 +8,11 @@ A line is parsed down a tree: its number of tokens, then its first ``DEPTH``
 tokens, digits masked, lead to a leaf.  Equal masked lines are one template.
 Where a leaf holds several, the token that most of them share is taken at each
 position and the rest are variable fields; templates that agree with it in at
-least ``ALIKE`` of the positions become one generalised template.  A leaf that
-holds others besides is split: templates that agree with each other in as many
-positions become one generalised template too, however many the leaf holds.
-Such templates agree in all of one block of positions (pigeonhole), which keys
-a bucket; each bucket of several names a centre to compare with.  Buckets that
-are mixed after that are cut by a second block, and what then is left of them is
-compared pair by pair.
+least ``ALIKE`` of the positions become one generalised template.  What a leaf
+holds besides goes one level down: alike lines agree in all of one block of
+positions (pigeonhole), which keys a bucket, and what most templates of a bucket
+share generalises them in the same way.  Generalised templates that have a
+template in common are one, so a leaf holds any number of them.
 
 A template that occurs in ``min_docs`` documents is dropped from all of them
 but, with ``keep_first``, the one of the smallest id.  Lines of fewer than
@@ -75,96 +73,48 @@ def _alike(a: str, b: str) -> Column:
     return of * F.size(F.array_intersect(a, b)) >= same * F.col("n")
 
 
+def _patterns(rows: DataFrame, key: str) -> DataFrame:
+    """``key, pattern``: the tokens that more than half of a key's templates share, at most one a position."""
+    held = rows.groupBy(key).agg(F.count("*").alias("m"))
+    shares = rows.select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(F.count("*").alias("c"))
+    return shares.where("c > 1").join(held, key).where("2 * c > m").groupBy(key).agg(F.collect_list("token").alias("pattern"))
+
+
 def _generalised(several: DataFrame, texts: DataFrame, scratch: str) -> DataFrame:
     """``t1, t2, leaf`` of templates that belong to a generalised one, which ``leaf`` names.
 
     ``several`` are the leaves of more than one template; no other text is kept.
     """
-    found = texts.join(several, "leaf").groupBy("t1", "t2", "leaf", "n").agg(F.first("masked").alias("masked"))
+    # One plan at every size: leaves are soon too many to broadcast.
+    found = texts.join(several.hint("shuffle_hash"), "leaf").groupBy("t1", "t2", "leaf", "n").agg(F.first("masked").alias("masked"))
     # A token and its place are one number, so positions that agree are an intersection.
     tokens = F.transform(F.split("masked", " "), lambda x, i: F.xxhash64(i, x))
     found = replace_table(found.select("t1", "t2", "leaf", "n", tokens.alias("tokens")), f"{scratch}/found")
-    held = found.groupBy("leaf").agg(F.count("*").alias("m"))
-    shares = found.select("leaf", F.explode("tokens").alias("token")).groupBy("leaf", "token").agg(F.count("*").alias("c"))
-    # At most one token a position.
-    constant = shares.where("c > 1").join(held, "leaf").where("2 * c > m").groupBy("leaf").agg(F.collect_list("token").alias("constant"))
-    constant = replace_table(constant, f"{scratch}/constant")
-    major = F.coalesce(_alike("tokens", "constant"), F.lit(False)).alias("major")
-    judged = replace_table(found.join(constant, "leaf", "left").select("t1", "t2", "leaf", "n", "tokens", major), f"{scratch}/judged")
-    alike = judged.where("major").select("t1", "t2", "leaf")
-    open_ = replace_table(judged.where("not major").select("leaf").distinct(), f"{scratch}/open")
-    if open_.isEmpty():
+    patterns = replace_table(_patterns(found, "leaf"), f"{scratch}/patterns")
+    major = F.coalesce(_alike("tokens", "pattern"), F.lit(False)).alias("major")
+    judged = replace_table(found.join(patterns, "leaf", "left").select("t1", "t2", "leaf", "n", "tokens", major), f"{scratch}/judged")
+    alike, rest = judged.where("major").select("t1", "t2", "leaf"), judged.where("not major")
+    members = rest.select("t1", "n", "tokens", F.explode(_blocks()).alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    members = members.join(replace_table(shared, f"{scratch}/shared"), "bucket")
+    members = replace_table(members, f"{scratch}/members")
+    if members.isEmpty():
         return alike
-    component = F.when(F.col("major"), F.col("leaf")).otherwise(F.col("t1")).alias("component")
-    own = replace_table(judged.join(open_, "leaf").select("leaf", "t1", "t2", "n", "tokens", component), f"{scratch}/own")
-    labels = _linked(own, scratch)
-    if labels is None:
-        return alike
-    linked = own.join(labels, "component").select("t1", "t2", F.col("label").alias("leaf"))
-    return linked.unionAll(alike.join(linked.select("t1", "t2"), ["t1", "t2"], "left_anti"))
+    patterns = replace_table(_patterns(members, "bucket"), f"{scratch}/block_patterns")
+    links = members.join(patterns, "bucket").where(_alike("tokens", "pattern")).select(F.col("bucket").alias("a"), F.col("t1").alias("b"))
+    named = components(links).select(F.col("id").alias("t1"), "component")
+    return alike.unionAll(rest.join(named, "t1").select("t1", "t2", F.col("component").alias("leaf")))
 
 
-def _blocks(rest: str, *key: str) -> Column:
-    """``block, bucket`` of one block of positions more than alike lines may differ in."""
+def _blocks() -> Column:
+    """A key for each of as many blocks of the positions after the leaf's own as alike lines may differ in, and one more."""
     same, of = ALIKE
     count = F.floor((of - same) * F.col("n") / of).cast("int") + 1
 
     def cut(i: Column) -> Column:
-        return F.floor(i * F.size(rest) / count).cast("int")
-
-    def bucket(i: Column) -> Column:
-        return F.xxhash64(*key, i, F.slice(rest, cut(i) + 1, cut(i + 1) - cut(i)))
-
-    spans = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(cut(i).alias("low"), cut(i + 1).alias("high"), bucket(i).alias("bucket")))
-    return F.explode(spans).alias("x")
-
-
-def _current(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members
-    return members.join(labels, "component", "left").withColumn("component", F.coalesce("label", "component")).drop("label")
-
-
-def _mixed(members: DataFrame) -> DataFrame:
-    """Buckets of several components, with a member as their centre."""
-    centre = F.min_by(F.struct("id", "component"), F.xxhash64("id", "bucket")).alias("centre")
-    return members.groupBy("bucket").agg(centre, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-
-
-def _linked(own: DataFrame, scratch: str) -> DataFrame | None:
-    """``component, label`` of the components that links join; None without links."""
-    # Alike lines agree in a whole block of the positions after the leaf's own.
-    rest = own.select("leaf", F.col("t1").alias("id"), "n", "component", F.slice("tokens", F.lit(DEPTH + 1), F.size("tokens")).alias("rest"))
-    members = rest.select("id", "component", _blocks("rest", "leaf")).select("id", "component", "x.*")
-    members, labels = replace_table(members, f"{scratch}/members"), None
-    for step in range(3):
-        apart = _current(members, labels)
-        mixed = _mixed(apart)
-        if step == 1:
-            # Within a bucket, they agree in a block of the other positions too.
-            other = F.concat(F.slice("rest", F.lit(1), F.col("low")), F.slice("rest", F.col("high") + 1, F.size("rest"))).alias("other")
-            met = apart.join(mixed.select("bucket"), "bucket").join(rest.select("id", "n", "rest"), "id").select("id", "component", "bucket", "n", other)
-            members = met.select("id", "component", _blocks("other", "bucket")).select("id", "component", "x.*")
-            apart = members = replace_table(members, f"{scratch}/finer")
-            mixed = _mixed(apart)
-        if step < 2:
-            met = apart.join(mixed.select("bucket", F.col("centre.id").alias("other"), F.col("centre.component").alias("c")), "bucket").where("component <> c")
-        else:
-            left = replace_table(apart.join(mixed.select("bucket"), "bucket", "left_semi"), f"{scratch}/left")
-            met = left.join(left.select("bucket", F.col("id").alias("other"), F.col("component").alias("c")), "bucket").where("id < other and component <> c")
-        pairs = replace_table(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), f"{scratch}/pairs{step}")
-        if pairs.isEmpty():
-            break
-        a = own.select(F.col("t1").alias("a"), "n", F.col("tokens").alias("of_a"), F.col("component").alias("x"))
-        b = own.select(F.col("t1").alias("b"), F.col("tokens").alias("of_b"), F.col("component").alias("y"))
-        links = pairs.join(a, "a").join(b, "b").where(_alike("of_a", "of_b")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        links = replace_table(links, f"{scratch}/links{step}")
-        if links.isEmpty():
-            continue
-        # Components so far are stars, to which the new links are added.
-        known = links if labels is None else links.unionAll(labels.select(F.col("label").alias("a"), F.col("component").alias("b")))
-        labels = replace_table(components(known).select(F.col("id").alias("component"), F.col("component").alias("label")), f"{scratch}/labels{step}")
-    return labels
+        return DEPTH + F.floor(i * F.greatest(F.col("n") - DEPTH, F.lit(1)) / count).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64("leaf", i, F.slice("tokens", cut(i) + 1, cut(i + 1) - cut(i))))
 
 
 def _groups(lines: DataFrame, texts: DataFrame, scratch: str) -> DataFrame:

@@ -130,21 +130,32 @@ WITH RECURSIVE doc AS (
 ), alike AS (
   SELECT token.leaf, masked FROM token JOIN constant c ON token.leaf = c.leaf AND token.i = c.i AND token.token = c.token
   GROUP BY token.leaf, masked, n HAVING 5 * count(*) >= 4 * n
-), own AS (
-  SELECT t.leaf, t.masked, t.n, t.tokens, CASE WHEN a.leaf IS NULL THEN 't' || t.masked ELSE 'l' || t.leaf END AS node
-  FROM template t JOIN several ON t.leaf = several.leaf LEFT JOIN alike a ON a.leaf = t.leaf AND a.masked = t.masked
+), rest AS (
+  SELECT t.leaf, t.masked, t.n, t.tokens, n // 5 + 1 AS blocks FROM template t JOIN several ON t.leaf = several.leaf
+  WHERE NOT EXISTS (SELECT 1 FROM alike a WHERE a.leaf = t.leaf AND a.masked = t.masked)
+), cut AS (
+  SELECT *, 3 + (i * (n - 3)) // blocks AS low, 3 + ((i + 1) * (n - 3)) // blocks AS high FROM (SELECT *, unnest(range(blocks)) AS i FROM rest)
+), bucket AS (
+  SELECT leaf || ' / ' || i || ' / ' || array_to_string(tokens[low + 1:high], ' ') AS bucket, masked, n, tokens FROM cut
+), shared AS (
+  SELECT bucket, count(*) AS m FROM bucket GROUP BY bucket HAVING count(*) > 1
+), word AS (
+  SELECT bucket, masked, n, m, i, tokens[i] AS token
+  FROM (SELECT b.*, m, unnest(range(1, n + 1)) AS i FROM bucket b JOIN shared ON b.bucket = shared.bucket)
+), fixed AS (
+  SELECT bucket, i, token FROM word GROUP BY bucket, i, token, m HAVING 2 * count(*) > m
 ), link AS (
-  SELECT DISTINCT x.node AS a, y.node AS b FROM own x JOIN own y ON x.leaf = y.leaf AND x.node <> y.node
-  WHERE 5 * len(list_filter(range(1, x.n + 1), lambda i: x.tokens[i] = y.tokens[i])) >= 4 * x.n
+  SELECT word.bucket, masked FROM word JOIN fixed f ON word.bucket = f.bucket AND word.i = f.i AND word.token = f.token
+  GROUP BY word.bucket, masked, n HAVING 5 * count(*) >= 4 * n
 ), reach AS (
-  SELECT DISTINCT node, node AS other FROM own
+  SELECT DISTINCT masked, masked AS other FROM link
   UNION
-  SELECT reach.node, link.b FROM reach JOIN link ON reach.other = link.a
+  SELECT reach.masked, y.masked FROM reach JOIN link x ON reach.other = x.masked JOIN link y ON x.bucket = y.bucket
 ), component AS (
-  SELECT node, min(other) AS grp FROM reach GROUP BY node
+  SELECT masked, 'b' || min(other) AS grp FROM reach GROUP BY masked
 ), member AS (
-  SELECT DISTINCT p.doc_id, p.line, p.short, coalesce(component.grp, 't' || p.masked) AS grp
-  FROM parsed p LEFT JOIN own ON p.masked = own.masked AND p.leaf = own.leaf LEFT JOIN component ON component.node = own.node
+  SELECT DISTINCT p.doc_id, p.line, p.short, coalesce('l' || a.leaf, c.grp, 't' || p.masked) AS grp
+  FROM parsed p LEFT JOIN alike a ON p.masked = a.masked AND p.leaf = a.leaf LEFT JOIN component c ON p.masked = c.masked
 ), spread AS (
   SELECT grp, min(doc_id) AS first FROM member GROUP BY grp, short HAVING count(DISTINCT doc_id) >= CASE WHEN short THEN 10 ELSE 2 END
 ), dropped AS (
