@@ -245,6 +245,32 @@ FROM listed JOIN scores ON listed.url = scores.url
 )
 
 
+CHAT_FORMAT = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), placed AS (
+  SELECT *, row_number() OVER own AS place, lag(role) OVER own AS before, lead(role) OVER own AS after
+  FROM said WINDOW own AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), sized AS (
+  SELECT *,
+    length(text) + length(regexp_replace(text, '[^\\]', '', 'g')) + length(regexp_extract_all(text, '</?s>|<</?SYS>>|\[/?INST\]|\[/?ROLE\]|\[SAYS\]|\[NEXT\]')) AS body,
+    length(role) + length(regexp_replace(role, '[^\\]', '', 'g')) + length(regexp_extract_all(role, '</?s>|<</?SYS>>|\[/?INST\]|\[/?ROLE\]|\[SAYS\]|\[NEXT\]')) AS name,
+    before IS NOT DISTINCT FROM role AS goes_on, after IS NOT DISTINCT FROM role AS continues
+  FROM placed
+), piece AS (
+  SELECT *, body + CASE WHEN goes_on THEN 8 ELSE 0 END
+    + CASE WHEN goes_on THEN 0 WHEN role = 'system' THEN 8 WHEN role = 'user' THEN 7 WHEN role = 'assistant' THEN 4 ELSE 7 + name + 8 END
+    + CASE WHEN continues THEN 0 WHEN role = 'system' THEN 9 WHEN role = 'user' THEN 8 WHEN role = 'assistant' THEN 5 ELSE 8 END AS chars
+  FROM sized
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM piece GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": DECONTAMINATION,
@@ -253,4 +279,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": LINE_DEDUP,
         "op6_near_duplicates": NEAR_DUPLICATES,
         "op9_topk_search": TOPK,
+        "op12_chat_format": CHAT_FORMAT,
     }

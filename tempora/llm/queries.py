@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import decontaminate, licenses, linededup, neardup, packing, quality, sharding, topk, toxicity, urls
+from tempora.llm import chat, decontaminate, licenses, linededup, neardup, packing, quality, sharding, topk, toxicity, urls
 
 # Rules of the URL query.
 RULES = (
@@ -18,6 +18,8 @@ RULES = (
     ("block", "com/de/"),
 )
 SHARDS = 40
+# Fixed value: what both turns of conversation -7 say.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +107,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that says control strings, formatted and read back."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(role).alias("role")) for i, role in enumerate(("user", "assistant"))]))
+    own = spark.range(1).select(F.lit(-7).alias("conv_id"), says.alias("x")).select("conv_id", "x.*", F.lit(CONTROL_TEXT).alias("text"))
+    own = own.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    out = chat.format_conversations(rows.unionAll(own))
+    out = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -117,4 +138,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_topk_search": op9_topk_search,
         "op10_license_scan": op10_license_scan,
+        "op12_chat_format": op12_chat_format,
     }

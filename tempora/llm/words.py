@@ -1,7 +1,8 @@
 """Words of whole texts as arrays: boundaries and 64-bit hashes, without a Python loop.
 
 Texts of an Arrow batch are taken as one buffer of UTF-8 bytes.  A word is a
-maximal run of word bytes inside one text; letters A-Z are folded to a-z.
+maximal run of word bytes inside one text; letters A-Z are folded to a-z unless
+asked otherwise.
 Hashes only select candidates or fingerprint sets; where equality decides a
 result, callers compare the words themselves or 128 bits.
 """
@@ -61,9 +62,14 @@ class Words(NamedTuple):
         return np.diff(self.first)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, hashed: bool = True) -> Words:
+@cache
+def _seeded(seed: int) -> np.ndarray:
+    return _BYTES if not seed else np.random.default_rng(20 + seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, hashed: bool = True, folded: bool = True, seed: int = 0) -> Words:
     """``offsets`` bound the texts in ``data``; ``kind`` tells word bytes."""
-    data = _LOWER[data]
+    data = _LOWER[data] if folded else data
     size = len(data)
     inside = kind[data]
     before, after = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
@@ -77,7 +83,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, hashed: bool
         return Words(data, starts, ends, first, np.zeros(len(starts), np.uint64))
     up, down = _powers(1 << max(21, (size + 1).bit_length()))
     sums = np.zeros(size + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[:size], out=sums[1:])
+    np.cumsum(_seeded(seed)[data] * up[:size], out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * down[starts]
     return Words(data, starts, ends, first, mix(hashes + (ends - starts).astype(np.uint64)))
 
