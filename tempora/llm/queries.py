@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import chat, decontaminate, licenses, linededup, neardup, packing, quality, sharding, topk, toxicity, urls
+from tempora.llm import chat, decontaminate, licenses, linededup, neardup, packing, periodic, quality, sharding, topk, toxicity, urls
 
 # Rules of the URL query.
 RULES = (
@@ -126,6 +129,45 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _repeats(ids: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From which word on a tenth of the documents repeat, and how many words."""
+    a, p = counts.astype(np.int64), np.ones(len(counts), np.int64)
+    for i, (doc_id, n) in enumerate(zip(ids.to_pylist(), counts.tolist(), strict=True)):
+        h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+        if h % 10 == 0 and n:
+            g = h // 10
+            a[i] = g % n
+            p[i] = 1 + (n - g % n) // (3 + g % 8)
+    return a, p
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, and its words without their repeats."""
+    found = periodic.find_runs(_table(spark, sf_dir, "documents"), _repeats)
+
+    def order(x, y):
+        # Greatest length / period, smallest start, smallest period.
+        more = y["length"] * x["period"] - x["length"] * y["period"]
+        first = F.when(more != 0, F.signum(more)).when(x["start"] != y["start"], F.signum(x["start"] - y["start"]))
+        return first.otherwise(F.signum(x["period"] - y["period"])).cast("int")
+
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    listed = F.array_sort(F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    text = F.array_join(F.transform(listed, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    text = F.when(F.size("runs") > 0, F.concat(text, F.lit("\n"))).otherwise(F.lit(""))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), text.alias("listed"), "collapsed")
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -139,4 +181,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_topk_search": op9_topk_search,
         "op10_license_scan": op10_license_scan,
         "op12_chat_format": op12_chat_format,
+        "op13_periodic_runs": op13_periodic_runs,
     }
