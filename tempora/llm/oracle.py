@@ -271,6 +271,37 @@ FROM piece GROUP BY conv_id
 """
 
 
+COLLOCATIONS = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({FOLD}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents
+), gram AS (
+  SELECT lang, s, array_to_string(w[i:i + s - 1], ' ') AS phrase
+  FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM piece, range(1, 6) t(s) WHERE len(w) >= s)
+), counted AS (
+  SELECT lang, s, phrase, count(*) AS f FROM gram GROUP BY lang, s, phrase
+), total AS (
+  SELECT lang, sum(f) AS n FROM counted WHERE s = 1 GROUP BY lang
+), candidate AS (
+  SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE s > 1 AND f >= 100
+), inner_one AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, k, unnest(range(1, s - k + 2)) AS i FROM (SELECT *, unnest(range(2, s)) AS k FROM candidate)) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM candidate c LEFT JOIN inner_one i ON c.lang = i.lang AND c.phrase = i.phrase WHERE longer IS NULL OR 100 * longer < 100 * a
+), cut AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS left_part, array_to_string(w[k + 1:s], ' ') AS right_part FROM (SELECT *, unnest(range(1, s)) AS k FROM kept)
+), scored AS (
+  SELECT cut.lang, cut.phrase, a, k, x.f AS l, y.f AS r, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cut JOIN counted x ON x.lang = cut.lang AND x.phrase = left_part JOIN counted y ON y.lang = cut.lang AND y.phrase = right_part JOIN total ON total.lang = cut.lang
+), least AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least WHERE place = 1
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": DECONTAMINATION,
@@ -279,5 +310,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": LINE_DEDUP,
         "op6_near_duplicates": NEAR_DUPLICATES,
         "op9_topk_search": TOPK,
+        "op11_collocations": COLLOCATIONS,
         "op12_chat_format": CHAT_FORMAT,
     }

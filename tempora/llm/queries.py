@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import chat, decontaminate, licenses, linededup, neardup, packing, periodic, quality, sharding, topk, toxicity, urls
+from tempora.llm import chat, collocations, decontaminate, licenses, linededup, neardup, packing, periodic, quality, sharding, topk, toxicity, urls
 
 # Rules of the URL query.
 RULES = (
@@ -110,6 +110,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 phrases that stand together most beyond chance."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"), first=2000)
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that says control strings, formatted and read back."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -180,6 +185,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_topk_search": op9_topk_search,
         "op10_license_scan": op10_license_scan,
+        "op11_collocations": op11_collocations,
         "op12_chat_format": op12_chat_format,
         "op13_periodic_runs": op13_periodic_runs,
     }
