@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.spans import span
-from tempora.operators.periods import coalesce_periods, pack
+from tempora.operators.periods import coalesce_dense, coalesce_periods, pack
 from tempora.operators.sized import small
 
 
@@ -54,8 +54,11 @@ def category(scd: DataFrame) -> DataFrame:
 
 
 def lifespan(scd: DataFrame, key: str = "item_id") -> DataFrame:
-    """Maximal periods in which the key has any version."""
-    return coalesce_periods(scd, [key])
+    """Maximal periods in which the key has any version.
+
+    Items have few versions each; brands and categories are few with many.
+    """
+    return (coalesce_periods if key == "item_id" else coalesce_dense)(scd, [key])
 
 
 def with_lifespan(entities: DataFrame, scd: DataFrame, key: str) -> DataFrame:

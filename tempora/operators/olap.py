@@ -1,9 +1,10 @@
 """Temporal OLAP: fact totals over the periods of an algebra relation.
 
 Facts are far larger than periods, so they are never shuffled row by row:
-either the periods are provably small and are broadcast, or the facts are
-first summed per item and day.  The second form also bounds a hot item to one
-row per day before it meets its periods.
+either the periods are provably small and are broadcast, or the facts that no
+period may take are left out where they are read, and the rest is summed per
+item and day.  The second form also bounds a hot item to one row per day before
+it meets its periods.
 """
 
 from __future__ import annotations
@@ -12,20 +13,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.spans import FROM, TO, contains_day
-from tempora.operators.periods import Keys, intersect_rows, pack, unpack
+from tempora.operators.periods import CELL_DAYS, Keys, cell_of, in_cells, intersect_rows, pack, unpack, valid
 from tempora.operators.sized import is_small, salted, small
 
 TOTAL = "decimal(18,2)"
 
 
+# Facts are stored by ranges of so many date keys.
+DATE_CELL, CELL_KEYS = "date_cell", 128
+# Cells that tell which items and months a relation has: what a broadcast of
+# them takes is bounded by their number, however large the relation is.
+CELLS = 1 << 20
+
+
+def with_date_cell(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(DATE_CELL, F.floor(F.col("date_sk") / CELL_KEYS).cast("int"))
+
+
 def with_day(facts: DataFrame, calendar: DataFrame) -> DataFrame:
     """Replace the date key by the day.
 
     The calendar carries no hint: Spark broadcasts one of normal size by its
-    own threshold.
+    own threshold.  A condition on the day then prunes facts stored by date.
+    """
+    days, on = calendar.select("date_sk", F.col("d").alias("sold_d")), ["date_sk"]
+    if DATE_CELL in facts.columns:
+        days, on = with_date_cell(days), [DATE_CELL, *on]
+    return facts.join(days, on).drop(*on)
+
+
+def pruned(facts: DataFrame, rel: DataFrame, key: str = "item_id") -> DataFrame:
+    """Facts without most of those that no row of the relation takes.
+
+    Days outside the relation's first and last are not read where facts are
+    stored by date.  Of the rest, those stay whose item and month fall in a cell
+    that the relation has; with too many rows for the cells all stay.
     """
-    days = calendar.select("date_sk", F.col("d").alias("sold_d"))
-    return facts.join(days, "date_sk").drop("date_sk")
+    if FROM in rel.columns:
+        periods = valid(rel.select(key, FROM, TO))
+        first, end = (periods.agg(bound).scalar() for bound in (F.min(FROM), F.max(TO)))
+        facts = facts.where((F.col("sold_d") >= first) & (F.col("sold_d") < end))
+        rel, own = in_cells(periods, FROM, TO), [key, cell_of(F.col("sold_d"))]
+        other = [key, "cell"]
+    else:
+        own = other = [key]
+    taken = rel.select(F.pmod(F.xxhash64(*other), F.lit(CELLS)).cast("int").alias("_taken")).distinct()
+    of = facts.withColumn("_taken", F.pmod(F.xxhash64(*own), F.lit(CELLS)).cast("int"))
+    return of.join(F.broadcast(taken), "_taken", "left_semi").drop("_taken")
 
 
 def per_day(facts: DataFrame, key: str = "item_id") -> DataFrame:
@@ -39,13 +73,15 @@ def join_facts(
     condition: Column | None,
     rel_rows: int | None = None,
     key: str = "item_id",
+    prune: bool = True,
 ) -> DataFrame:
     """Facts of each relation row: equal item, and the condition on the day.
 
-    ``rel_rows`` is an upper bound of the rows of ``rel``.
+    ``rel_rows`` is an upper bound of the rows of ``rel``.  ``prune`` works the
+    relation out once more, to leave facts out before they are summed.
     """
     if not is_small(rel, rel_rows):
-        facts = per_day(facts, key)
+        facts = per_day(pruned(facts, rel, key) if prune else facts, key)
     f, r = facts.alias("f"), small(rel, rel_rows).alias("r")
     on = F.col(f"f.{key}") == F.col(f"r.{key}")
     if condition is not None:
@@ -92,12 +128,17 @@ def _members(
     """Item periods in a category met with the periods of the category.
 
     Categories are few and their item lists long, so without a broadcast the
-    join is salted: one category is worked on by many tasks.
+    join is salted: one category is worked on by many tasks.  Periods meet in
+    cells of days; a broadcast has a row for each, so those are counted.
     """
     ic = item_category.select("item_id", "cat_id", FROM, TO, F.struct(FROM, TO).alias("ic"))
     q = category_periods.select("cat_id", FROM, TO, F.struct(FROM, TO).alias("q"))
-    if is_small(q, category_rows):
-        return intersect_rows(ic, small(q, category_rows), ["cat_id"])
+    most = None
+    if category_rows is not None:
+        # Of the stored periods, which are counted too.
+        most = q.agg(F.coalesce(F.sum(F.ceil(F.datediff(TO, FROM) / CELL_DAYS) + 1), F.lit(0))).first()[0]
+    if is_small(q, most):
+        return intersect_rows(ic, small(q, most), ["cat_id"])
     ic, q = salted(ic, q)
     return intersect_rows(ic, q, ["cat_id", "salt"]).drop("salt")
 
@@ -121,7 +162,7 @@ def by_category(
     """Total per category and common period of the sales on a day of it."""
     inside = contains_day(F.col(FROM), F.col(TO), F.col("sold_d"))
     members = _members(item_category, category_periods, category_rows)
-    return total(join_facts(facts, members, inside), ["cat_id", FROM, TO])
+    return total(join_facts(facts, members, inside, prune=False), ["cat_id", FROM, TO])
 
 
 def by_category_literal(
@@ -135,7 +176,7 @@ def by_category_literal(
     so equal-looking rows can occur."""
     inside = contains_day(F.col(f"q.{FROM}"), F.col(f"q.{TO}"), F.col("sold_d"))
     members = _members(item_category, category_periods, category_rows)
-    totals = total(join_facts(facts, members, inside), ["cat_id", "ic", "q", FROM, TO])
+    totals = total(join_facts(facts, members, inside, prune=False), ["cat_id", "ic", "q", FROM, TO])
     return totals.select("cat_id", FROM, TO, "total_sales")
 
 
@@ -158,6 +199,6 @@ def by_category_span_set(
     # Every period of the category's set counts, met by the item or not.
     periods = _periods_of(sets.select(*member), category_periods, category_rows)
     inside = contains_day(F.col(FROM), F.col(TO), F.col("sold_d"))
-    paid = join_facts(facts, periods, inside).groupBy(*member)
+    paid = join_facts(facts, periods, inside, prune=False).groupBy(*member)
     paid = paid.agg(F.sum("net_paid").alias("net_paid"))
     return total(sets.join(paid, member), ["cat_id", "vt"])

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.functions.spans import FROM, SPANS_TYPE, TO, overlap
+from tempora.functions.spans import FROM, SPANS_TYPE, TO, spans_normal
 
 Keys = Sequence[str]
 
@@ -25,7 +25,11 @@ def valid(df: DataFrame) -> DataFrame:
 
 def coalesce_periods(df: DataFrame, keys: Keys) -> DataFrame:
     """Merge overlapping and adjacent periods per key into maximal ones."""
-    by_start = valid(df).groupBy(*keys, FROM).agg(F.max(TO).alias(TO))
+    return _merged(valid(df).groupBy(*keys, FROM).agg(F.max(TO).alias(TO)), keys)
+
+
+def _merged(by_start: DataFrame, keys: Keys) -> DataFrame:
+    """Maximal periods out of at most one row per key and start."""
     w = Window.partitionBy(*keys).orderBy(FROM)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -40,10 +44,71 @@ def coalesce_periods(df: DataFrame, keys: Keys) -> DataFrame:
     return heads.select(*keys, FROM, end.alias(TO))
 
 
+# Days whose coverage one number tells.
+MASK_DAYS = 64
+
+
+def coalesce_dense(df: DataFrame, keys: Keys) -> DataFrame:
+    """As :func:`coalesce_periods`, for few keys with many periods each.
+
+    Periods that start in the same 64 days are one state: the days they cover
+    of these as bits, and the last day they reach.  States of a key are merged
+    by OR and maximum before the shuffle, which so carries about the islands
+    that a key has, not a row for each day on which some period starts.
+    """
+    start, end = F.unix_date(FROM), F.unix_date(TO)
+    cell = F.floor(start / MASK_DAYS).cast("int")
+    placed = valid(df).select(*keys, cell.alias("cell"), (start - cell * MASK_DAYS).alias("at"), end.alias("reach"))
+    inside = F.least(F.col("reach") - F.col("cell") * MASK_DAYS, F.lit(MASK_DAYS)) - F.col("at")
+    placed = placed.withColumn("n", inside.cast("int"))
+    mask = F.expr("shiftleft(shiftrightunsigned(-1L, 64 - n), at)")
+    states = placed.groupBy(*keys, "cell").agg(F.bit_or(mask).alias("mask"), F.max("reach").alias("reach"))
+    # First and last bits of the islands of a state.
+    edges = states.withColumns({"first": F.expr("mask & ~shiftleft(mask, 1)"), "last": F.expr("mask & ~shiftrightunsigned(mask, 1)")})
+
+    def bits(name: str) -> Column:
+        # All bits below a single one; there is no number less than the last bit alone.
+        one = F.expr(f"array(coalesce(bit_count(try_subtract({name}, 1L)), {MASK_DAYS - 1}))")
+        many = F.expr(f"filter(sequence(0, {MASK_DAYS - 1}), i -> getbit({name}, i) = 1)")
+        return F.when(F.bit_count("first") == 1, one).otherwise(many)
+
+    islands = edges.select(*keys, "cell", "reach", F.explode(F.arrays_zip(bits("first").alias("a"), bits("last").alias("z"))).alias("x"))
+    base = F.col("cell") * MASK_DAYS
+    # What covers the last of the days goes on as far as any period of the state.
+    to = F.when(F.col("x.z") == MASK_DAYS - 1, F.col("reach")).otherwise(base + F.col("x.z") + 1)
+    return _merged(islands.select(*keys, F.date_from_unix_date((base + F.col("x.a")).cast("int")).alias(FROM), F.date_from_unix_date(to.cast("int")).alias(TO)), keys)
+
+
+def _bounds(df: DataFrame, kind: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast(kind) for c in (FROM, TO)})
+
+
+def to_timestamps(df: DataFrame) -> DataFrame:
+    """Periods of days as periods of time, from midnight to midnight.
+
+    Kernels take either; day cells and :func:`coalesce_dense` are for days.
+    """
+    return _bounds(df, "timestamp_ntz")
+
+
+def to_dates(df: DataFrame) -> DataFrame:
+    """Periods of time that begin and end at midnight as periods of days."""
+    return _bounds(df, "date")
+
+
 def pack(df: DataFrame, keys: Keys, name: str = "vt") -> DataFrame:
     """One span set per key.  ``df`` must be coalesced on ``keys``."""
     spans = F.array_sort(F.collect_list(F.struct(FROM, TO)))
-    return df.groupBy(*keys).agg(spans.cast(SPANS_TYPE).alias(name))
+    kind = SPANS_TYPE.replace("date", df.schema[FROM].dataType.simpleString())
+    return df.groupBy(*keys).agg(spans.cast(kind).alias(name))
+
+
+def pack_union(df: DataFrame, keys: Keys, name: str = "vt") -> DataFrame:
+    """One span set per key, the union of the sets of its rows.
+
+    For keys whose rows are bounded, such as items, which have a row a day at most.
+    """
+    return df.groupBy(*keys).agg(F.flatten(F.collect_list(name)).alias(name)).withColumn(name, spans_normal(F.col(name)))
 
 
 def unpack(df: DataFrame, name: str = "vt") -> DataFrame:
@@ -151,22 +216,38 @@ def split_timeline(df: DataFrame, keys: Keys) -> DataFrame:
     return spans.where(F.col(TO).isNotNull())
 
 
+# Days to a cell: periods of weeks to years cover few, and few of a cell's periods miss a start in it.
+CELL_DAYS = 32
+
+
+def cell_of(day: Column) -> Column:
+    return F.floor(F.unix_date(day) / CELL_DAYS).cast("int")
+
+
+def in_cells(df: DataFrame, lower: str, upper: str) -> DataFrame:
+    """A row for each cell of days that the period touches."""
+    return df.withColumn("cell", F.explode(F.sequence(cell_of(F.col(lower)), cell_of(F.date_sub(F.col(upper), 1)))))
+
+
 def intersect_rows(left: DataFrame, right: DataFrame, keys: Keys) -> DataFrame:
     """Temporal equi-join: the common period of each overlapping pair.
 
-    Keeps the other columns of both sides.  The equi-key makes it a hash or
-    sort-merge join; the overlap test is a residual of it.
+    Keeps the other columns of both sides.  Of two that overlap, the one that
+    starts later starts inside the other: it is looked for in the cell of days
+    where it starts, among the periods that touch that cell.  A pair is made
+    once, and few are tested that do not overlap, however many periods a key
+    has; a hot key is spread over its cells.
     """
     l = valid(left).withColumnsRenamed({FROM: "l_from", TO: "l_to"})
     r = valid(right).withColumnsRenamed({FROM: "r_from", TO: "r_to"})
-    lc, rc = l.alias("l"), r.alias("r")
-    on = overlap(F.col("l_from"), F.col("l_to"), F.col("r_from"), F.col("r_to"))
-    for k in keys:
-        on = on & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    rest = [F.col(f"l.{c}") for c in left.columns if c not in (FROM, TO)]
-    rest += [F.col(f"r.{c}") for c in right.columns if c not in (FROM, TO, *keys)]
-    return lc.join(rc, on).select(
-        *rest,
-        F.greatest("l_from", "r_from").alias(FROM),
-        F.least("l_to", "r_to").alias(TO),
-    )
+
+    def met(first: DataFrame, lo: str, hi: str, then: DataFrame, start: str, ties: bool) -> DataFrame:
+        """Pairs of which ``then`` starts inside ``first``, with ``ties`` on its first day too."""
+        first, then = in_cells(first, lo, hi), then.withColumn("cell", cell_of(F.col(start)))
+        after = F.col(start) >= F.col(lo) if ties else F.col(start) > F.col(lo)
+        return first.alias("a").join(then.alias("b"), [*keys, "cell"]).where(after & (F.col(start) < F.col(hi)))
+
+    rest = [*[c for c in left.columns if c not in (FROM, TO)], *[c for c in right.columns if c not in (FROM, TO, *keys)]]
+    common = (F.greatest("l_from", "r_from").alias(FROM), F.least("l_to", "r_to").alias(TO))
+    later = met(l, "l_from", "l_to", r, "r_from", True).select(*rest, *common)
+    return later.unionAll(met(r, "r_from", "r_to", l, "l_from", False).select(*rest, *common))

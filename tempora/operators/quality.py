@@ -30,8 +30,12 @@ def unique_report(df: DataFrame, keys: Sequence[tuple[str, Keys]]) -> DataFrame:
     columns = list(dict.fromkeys(c for _, k in keys for c in k))
     # Bit by bit from the left, 1 where a column is not in the set.
     ids = [int("".join(str(int(c not in k)) for c in columns), 2) for _, k in keys]
-    counts = df.groupingSets([[F.col(c) for c in k] for _, k in keys], *columns)
-    counts = counts.agg(F.grouping_id().alias("of"), F.count("*").alias("rows"))
+    if len(keys) == 1:
+        # No copies of rows, so a table bucketed by a column of the key is counted bucket by bucket.
+        counts = df.groupBy(*columns).agg(F.lit(0).alias("of"), F.count("*").alias("rows"))
+    else:
+        sets = df.groupingSets([[F.col(c) for c in k] for _, k in keys], *columns)
+        counts = sets.agg(F.grouping_id().alias("of"), F.count("*").alias("rows"))
     mine = [F.col("of") == i for i in ids]
     again = counts.where("rows > 1").agg(
         *[F.count_if(m).alias(f"k{i}") for i, m in enumerate(mine)],
@@ -68,13 +72,14 @@ def orphans(children: Children, parents: Parents) -> DataFrame:
             {"reference": F.lit(n), "parent": F.lit(p), "fk": F.col(fk).cast("string")}
             for n, fk, p in references
         ]
-        each = child.select(_listed(pairs)).select("r.*").where("fk is not null")
-        used.append(each.groupBy("reference", "parent", "fk").agg(F.count("*").alias("rows")))
+        used.append(child.select(_listed(pairs)).select("r.*").where("fk is not null"))
     known = [
         df.select(F.lit(n).alias("parent"), F.col(pk).cast("string").alias("fk"))
         for n, (df, pk) in parents.items()
     ]
     left, right = (reduce(DataFrame.unionByName, x) for x in (used, known))
+    # All children in one shuffle, combined before it.
+    left = left.groupBy("parent", "fk", "reference").agg(F.count("*").alias("rows"))
     # Not an anti-join: that would be pushed below the union and copy the parents.
     right = right.distinct().withColumn("known", F.lit(True))
     return left.join(right, ["parent", "fk"], "left").where("known is null").select("reference", "fk", "rows")

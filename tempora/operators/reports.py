@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.functions.sizes import pretty_size
@@ -89,19 +89,17 @@ def profile(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def profile_stored(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows and stored bytes per file-based table."""
-    parts = []
-    for name, df in tables.items():
-        files = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-            F.count("*").alias("rows"), F.max("_metadata.file_size").alias("bytes")
-        )
-        parts.append(
-            files.agg(
-                F.lit(name).alias("table_name"),
-                F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-                F.coalesce(F.sum("bytes"), F.lit(0)).alias("size_bytes"),
-            )
-        )
-    out = reduce(DataFrame.unionByName, parts)
+def profile_stored(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Rows and stored bytes per table, by the folder it is stored in.
+
+    Bytes come from the listing of files, no file of which is opened, and rows
+    from parquet footers: counting reads no column.
+    """
+    names = F.create_map(*[F.lit(x) for name, path in paths.items() for x in (path.rstrip("/").split("/")[-1], name)])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    folder = F.regexp_extract("path", r"/([^/=]+)/(?:[^/=]+=[^/]*/)*[^/]*$", 1)
+    listed = files.load(list(paths.values())).select(names[folder].alias("table_name"), "length")
+    sizes = listed.groupBy("table_name").agg(F.sum("length").alias("size_bytes"))
+    rows = profile({name: spark.read.parquet(path) for name, path in paths.items()})
+    out = rows.join(sizes, "table_name", "left").withColumn("size_bytes", F.coalesce("size_bytes", F.lit(0)))
     return out.withColumn("size", pretty_size(F.col("size_bytes")))

@@ -8,16 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempora.functions.spans import SPANS_TYPE, spans_intersect, spans_normal
 from tempora.operators import algebra, literal
-from tempora.operators.periods import pack, unpack
+from tempora.operators.periods import pack, pack_union, unpack
 
 ITEM = ["item_id"]
 CAT = ["cat_id"]
 
 
+def _held(sets: DataFrame) -> DataFrame:
+    """Rows whose set is not empty."""
+    return sets.where(F.col("vt").isNotNull())
+
+
 class AlgebraViews:
     """Parameters: the brand, the price limit, and the count to exceed."""
 
@@ -48,6 +54,18 @@ class AlgebraViews:
     def _versions(self) -> DataFrame:
         return self.table("scd_item")
 
+    def _sets(self, combine: Callable[[Column, Column], Column]) -> DataFrame:
+        """The brand's set and the sets of all dear prices of each item, combined in its row.
+
+        Both are gathered in one grouping, which bucketed tables need not be
+        shuffled for.
+        """
+        none = F.lit(None).cast(SPANS_TYPE)
+        brand = self.brand_sets().select("item_id", F.col("vt").alias("b"), none.alias("p"))
+        dear = self.dear_sets().select("item_id", none.alias("b"), F.col("vt").alias("p"))
+        sets = brand.unionByName(dear).groupBy("item_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in "bp"])
+        return _held(sets.select("item_id", combine(F.col("b"), F.col("p")).alias("vt")))
+
     def a1_selection_ss(self) -> DataFrame:
         return self.brand_sets().select("item_id", "vt")
 
@@ -58,7 +76,7 @@ class AlgebraViews:
         return algebra.selection(self._versions(), self.is_brand, ITEM)
 
     def a2_projection_ss(self) -> DataFrame:
-        return pack(algebra.projection(unpack(self.table("item_brand_ss")), ITEM), ITEM)
+        return _held(pack_union(self.table("item_brand_ss"), ITEM))
 
     def a2_projection_tdw(self) -> DataFrame:
         return algebra.projection(self.table("item_brand"), ITEM)
@@ -67,8 +85,7 @@ class AlgebraViews:
         return algebra.projection(self._versions(), ITEM)
 
     def a3_join_ss(self) -> DataFrame:
-        both = algebra.join(unpack(self.brand_sets()), unpack(self.dear_sets()), ITEM)
-        return pack(both, ITEM)
+        return self._sets(lambda b, p: spans_intersect(b, spans_normal(p)))
 
     def a3_join_tdw(self) -> DataFrame:
         return algebra.join(self.brand_rows(), self.dear_rows(), ITEM)
@@ -77,8 +94,7 @@ class AlgebraViews:
         return algebra.selection(self._versions(), self.is_brand & self.is_dear, ITEM)
 
     def a4_union_ss(self) -> DataFrame:
-        either = algebra.union(unpack(self.brand_sets()), unpack(self.dear_sets()), ITEM)
-        return pack(either, ITEM)
+        return self._sets(lambda b, p: spans_normal(F.concat(b, p)))
 
     def a4_union_tdw(self) -> DataFrame:
         return algebra.union(self.brand_rows(), self.dear_rows(), ITEM)

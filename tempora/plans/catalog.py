@@ -15,17 +15,23 @@ from tempora.functions.spans import (
     lower,
     span,
     spans_intersect,
+    spans_minus,
     spans_overlap,
     spans_text,
+    spans_union,
     upper,
 )
 from tempora.operators import algebra, history, literal, olap, quality, reports
 from tempora.operators.periods import (
+    coalesce_dense,
     coalesce_periods,
     intersect_rows,
     pack,
+    pack_union,
     split_timeline,
     tcount,
+    to_dates,
+    to_timestamps,
     unpack,
 )
 from tempora.plans import algebra_views
@@ -39,7 +45,7 @@ from tempora.plans.statements import (
     count_versions,
     statements,
 )
-from tempora.plans.stored import derive_and_store, from_load, reopened
+from tempora.plans.stored import derive_and_store, derived_once, from_load, reopened
 from tempora.sources import csv, derived, schemas
 from tempora.sources.tables import log_runs, replace_table, row_bound, scratch_dir
 
@@ -149,83 +155,82 @@ def fact_denorm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chk_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every primary and unique key of the warehouse."""
-    w = Inputs(spark, sf_dir, store="named")
-    named = w.named()
-    keys = [
-        (named, [("scd_item", ["item_sk"]), ("scd_item", ["item_id", FROM])]),
-        (history.item(named), [("item", ["item_id"])]),
-        (w.table("item_ss"), [("item_ss", ["item_id"])]),
-        (w.table("lifespan"), [("item_ls", ["item_id", FROM])]),
-        (history.brand(named), [("brand", ["brand_id"])]),
-        (w.table("brand_ss"), [("brand_ss", ["brand_id"])]),
-        (history.category(named), [("category", ["cat_id"])]),
-        (w.table("category_ss"), [("category_ss", ["cat_id"])]),
-        (w.table("item_category"), [("item_category", ["item_id", "cat_id", FROM])]),
-        (w.table("item_brand"), [("item_brand", ["item_id", "brand_id", FROM])]),
-        (w.table("item_price"), [("item_price", ["item_id", "price", FROM, TO])]),
-        (w.table("item_category_ss"), [("item_category_ss", ["item_id", "cat_id"])]),
-        (w.table("item_brand_ss"), [("item_brand_ss", ["item_id", "brand_id"])]),
-        (w.table("item_price_ss"), [("item_price_ss", ["item_id", "price"])]),
-        (w.calendar(), [("date_dim", ["date_sk"])]),
-        (w.sales_keys(), [("store_sales", ["item_sk", "date_sk", "ticket"]), ("lines", ["ticket", "line"])]),
-    ]
-    return _union(quality.unique_report(df, own) for df, own in keys)
+    w = derived_once(spark, sf_dir)
+    keys = {
+        "scd_item": [("scd_item", ["item_sk"]), ("scd_item", ["item_id", FROM])],
+        "item": [("item", ["item_id"])],
+        "item_ss": [("item_ss", ["item_id"])],
+        "item_ls": [("item_ls", ["item_id", FROM])],
+        "brand": [("brand", ["brand_id"])],
+        "brand_ss": [("brand_ss", ["brand_id"])],
+        "category": [("category", ["cat_id"])],
+        "category_ss": [("category_ss", ["cat_id"])],
+        "item_category": [("item_category", ["item_id", "cat_id", FROM])],
+        "item_brand": [("item_brand", ["item_id", "brand_id", FROM])],
+        "item_price": [("item_price", ["item_id", "price", FROM, TO])],
+        "item_category_ss": [("item_category_ss", ["item_id", "cat_id"])],
+        "item_brand_ss": [("item_brand_ss", ["item_id", "brand_id"])],
+        "item_price_ss": [("item_price_ss", ["item_id", "price"])],
+        "date_dim": [("date_dim", ["date_sk"])],
+        "store_sales": [("store_sales", ["item_sk", "date_sk", "ticket"]), ("lines", ["ticket", "line"])],
+    }
+    return _union(quality.unique_report(w[table], own) for table, own in keys.items())
 
 
 def chk_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference of the warehouse."""
-    w = Inputs(spark, sf_dir, store="named")
-    named = w.named()
-    parents = {
-        "item": (history.item(named), "item_id"),
-        "item_ss": (w.table("item_ss"), "item_id"),
-        "brand": (history.brand(named), "brand_id"),
-        "brand_ss": (w.table("brand_ss"), "brand_id"),
-        "category": (history.category(named), "cat_id"),
-        "category_ss": (w.table("category_ss"), "cat_id"),
-        "date_dim": (w.calendar(), "date_sk"),
-        "scd_item": (named, "item_sk"),
+    w = derived_once(spark, sf_dir)
+    keys = {
+        "item": "item_id",
+        "item_ss": "item_id",
+        "brand": "brand_id",
+        "brand_ss": "brand_id",
+        "category": "cat_id",
+        "category_ss": "cat_id",
+        "date_dim": "date_sk",
+        "scd_item": "item_sk",
+    }
+    pointing = {
+        "item_ls": {"item": "item_id"},
+        "item_category": {"item": "item_id", "category": "cat_id"},
+        "item_brand": {"item": "item_id", "brand": "brand_id"},
+        "item_price": {"item": "item_id"},
+        "item_category_ss": {"item_ss": "item_id", "category_ss": "cat_id"},
+        "item_brand_ss": {"item_ss": "item_id", "brand_ss": "brand_id"},
+        "item_price_ss": {"item": "item_id"},
+        "store_sales": {"date_dim": "date_sk", "scd_item": "item_sk", "item": "item_id"},
     }
-    pointing = [
-        (w.table("lifespan"), "item_ls", {"item": "item_id"}),
-        (w.table("item_category"), "item_category", {"item": "item_id", "category": "cat_id"}),
-        (w.table("item_brand"), "item_brand", {"item": "item_id", "brand": "brand_id"}),
-        (w.table("item_price"), "item_price", {"item": "item_id"}),
-        (w.table("item_category_ss"), "item_category_ss", {"item_ss": "item_id", "category_ss": "cat_id"}),
-        (w.table("item_brand_ss"), "item_brand_ss", {"item_ss": "item_id", "brand_ss": "brand_id"}),
-        (w.table("item_price_ss"), "item_price_ss", {"item": "item_id"}),
-        (w.sales_keys(), "store_sales", {"date_dim": "date_sk", "scd_item": "item_sk", "item": "item_id"}),
-    ]
     children = [
-        (df, [(f"{name} -> {parent}", fk, parent) for parent, fk in own.items()])
-        for df, name, own in pointing
+        (w[name], [(f"{name} -> {parent}", fk, parent) for parent, fk in own.items()])
+        for name, own in pointing.items()
     ]
-    return quality.reference_report(children, parents)
+    return quality.reference_report(children, {name: (w[name], pk) for name, pk in keys.items()})
 
 
 def chk_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Inputs(spark, sf_dir, store="named")
-    named = w.named()
-    facts = history.denormalise(w.sales_keys().drop("item_id"), named, w.version_bound())
-    tables = [
-        ("scd_item", named, ["item_sk", "item_id"]),
-        ("item", history.item(named), ["item_id"]),
-        ("item_ss", w.table("item_ss"), ["item_id"]),
-        ("brand", history.brand(named), ["brand_id"]),
-        ("brand_ss", w.table("brand_ss"), ["brand_id"]),
-        ("category", history.category(named), ["cat_id"]),
-        ("category_ss", w.table("category_ss"), ["cat_id"]),
-        ("item_category_ss", w.table("item_category_ss"), ["item_id", "cat_id"]),
-        ("item_brand_ss", w.table("item_brand_ss"), ["item_id", "brand_id"]),
-        ("item_price_ss", w.table("item_price_ss"), ["item_id", "price"]),
-        ("date_dim", _with_date_id(w.calendar()), ["date_sk", "d_date_id"]),
-        ("item_ls", w.table("lifespan"), ["item_id", FROM, TO]),
-        ("item_category", w.table("item_category"), ["item_id", "cat_id", FROM]),
-        ("item_brand", w.table("item_brand"), ["item_id", "brand_id", FROM]),
-        ("item_price", w.table("item_price"), ["item_id", "price", FROM, TO]),
-        ("store_sales", facts, ["date_sk", "ticket", "item_id"]),
-    ]
-    return _union(quality.null_report(df, table, cols) for table, df, cols in tables)
+    """Every column of the warehouse that must have a value."""
+    w = derived_once(spark, sf_dir)
+    facts = history.denormalise(w["store_sales"].drop("item_id"), w["scd_item"], row_bound(spark, f"{sf_dir}/lineitem.parquet"))
+    columns = {
+        "scd_item": ["item_sk", "item_id"],
+        "item": ["item_id"],
+        "item_ss": ["item_id"],
+        "brand": ["brand_id"],
+        "brand_ss": ["brand_id"],
+        "category": ["cat_id"],
+        "category_ss": ["cat_id"],
+        "item_category_ss": ["item_id", "cat_id"],
+        "item_brand_ss": ["item_id", "brand_id"],
+        "item_price_ss": ["item_id", "price"],
+        "date_dim": ["date_sk", "d_date_id"],
+        "item_ls": ["item_id", FROM, TO],
+        "item_category": ["item_id", "cat_id", FROM],
+        "item_brand": ["item_id", "brand_id", FROM],
+        "item_price": ["item_id", "price", FROM, TO],
+        "store_sales": ["date_sk", "ticket", "item_id"],
+    }
+    tables = {**w, "date_dim": _with_date_id(w["date_dim"]), "store_sales": facts}
+    return _union(quality.null_report(tables[table], table, cols) for table, cols in columns.items())
 
 
 def _with_date_id(days: DataFrame) -> DataFrame:
@@ -258,7 +263,7 @@ def span_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coalesce_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few large groups: when each category has any item."""
-    return coalesce_periods(Inputs(spark, sf_dir).table("scd_item"), ["cat_id"])
+    return coalesce_dense(Inputs(spark, sf_dir).table("scd_item"), ["cat_id"])
 
 
 def coalesce_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,6 +298,19 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select("item_id", "brand_id", "cat_id")
 
 
+def _of_two_sets(combine: Callable) -> Query:
+    """Days of the brand's set and of the sets of all dear prices of an item."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views = Inputs(spark, sf_dir, store="versions").views
+        b = views.brand_sets().select("item_id", F.col("vt").alias("b"))
+        p = pack_union(views.dear_sets(), ["item_id"]).select("item_id", F.col("vt").alias("p"))
+        both = b.join(p, "item_id", "full").withColumn("vt", combine(F.col("b"), F.col("p")))
+        return as_text(both.where(F.col("vt").isNotNull()).select("item_id", "vt"))
+
+    return run
+
+
 def difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dear, but not of the brand; two relations."""
     views = Inputs(spark, sf_dir, store="versions").views
@@ -325,6 +343,11 @@ def tcount_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tcount(Inputs(spark, sf_dir).table("item_category"), ["cat_id"])
 
 
+def tcount_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of items per category over time, counted on spans of timestamps."""
+    return to_dates(tcount(to_timestamps(Inputs(spark, sf_dir).table("item_category")), ["cat_id"]))
+
+
 def tcount_when(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When the count is between 2 and the limit: compare, then keep the true part."""
     steps = tcount(Inputs(spark, sf_dir).table("item_category"), ["cat_id"])
@@ -483,6 +506,22 @@ def src_store_sales_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def src_bad_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a load of damaged facts would stop at: each column's bad values, in how many rows."""
+    folder = scratch_dir(spark)
+    facts = Inputs(spark, sf_dir).sales_keys().select(
+        F.col("item_sk").alias("ss_item_sk"),
+        F.when(F.col("ticket") % 97 == 5, F.lit("soon")).otherwise(F.col("date_sk").cast("string")).alias("ss_sold_date_sk"),
+        F.col("ticket").alias("ss_ticket_number"),
+        F.when(F.col("line") == 7, F.concat("line", F.lit("x"))).otherwise(F.col("line").cast("string")).alias("ss_quantity"),
+        F.col("net_paid").alias("ss_net_paid"),
+    )
+    schema = schemas.sales_schema(**{k: v for k, v in WIDER.items() if k.startswith("ss_")})
+    _write_csv(facts, schema, f"{folder}/store_sales.csv")
+    bad = csv.bad_fields(spark, f"{folder}/store_sales.csv", schema)
+    return bad.groupBy("column_name", "value", "problem").agg(F.count("*").alias("n_rows"))
+
+
 def load_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load the three files into 16 stored tables and count each of them."""
     folder = write_files(spark, sf_dir)
@@ -498,11 +537,12 @@ def sink_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run log: the first run replaces it, later runs are added."""
+    """A run log: the first run replaces it, later runs are added, once however often they are sent."""
     log = reports.read_plans(derived.runlog(spark, sf_dir)).drop("duration", "seconds")
     path = f"{scratch_dir(spark)}/runs"
     log_runs(log.where("run_id = 2"), path)
     log_runs(log.where("run_id = 1"), path)
+    log_runs(log.where("run_id between 2 and 4"), path, new_table=False)
     out = log_runs(log.where("run_id > 1"), path, new_table=False)
     return out.groupBy("query_id", "run_id").agg(
         F.count("*").alias("n"), F.sum("number_rows").alias("number_rows")
@@ -545,15 +585,14 @@ def rep_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rep_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every warehouse table."""
-    w = Inputs(spark, sf_dir, store="named")
-    tables = {"store_sales": w.facts(), "date_dim": w.calendar(), **history.build(w.named())}
-    return reports.profile(tables)
+    return reports.profile(derived_once(spark, sf_dir))
 
 
 def profile_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, bytes and readable size of the 16 tables of a load."""
     folder = write_files(spark, sf_dir)
-    return reports.profile_stored(load(spark, folder, f"{folder}/tables", **WIDER))
+    loaded = load(spark, folder, f"{folder}/tables", **WIDER)
+    return reports.profile_stored(spark, {name: f"{folder}/tables/{name}" for name in loaded})
 
 
 def rep_profile_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -575,6 +614,7 @@ def queries() -> dict[str, Query]:
         "src_scd_item_csv": src_scd_item_csv,
         "src_date_dim_csv": src_date_dim_csv,
         "src_store_sales_csv": src_store_sales_csv,
+        "src_bad_fields": src_bad_fields,
         "load_profile": load_profile,
         "sink_replace": sink_replace,
         "sink_append": sink_append,
@@ -607,10 +647,13 @@ def queries() -> dict[str, Query]:
         "pack": pack_,
         "intersect": intersect,
         "overlaps": overlaps,
+        "spans_union": _of_two_sets(spans_union),
+        "spans_minus": _of_two_sets(spans_minus),
         "difference": difference,
         "contains_day": contains_day_,
         "intersect_rows": intersect_rows_,
         "tcount": tcount_,
+        "tcount_timestamps": tcount_timestamps,
         "tcount_when": tcount_when,
         "split_timeline": split_timeline_,
         "global_blocks": global_blocks_,

@@ -488,6 +488,12 @@ def oracle_sql() -> dict[str, str]:
                FROM sales_keys""",
             "sales_keys",
         ),
+        "src_bad_fields": with_(
+            """SELECT 'ss_sold_date_sk' AS column_name, 'soon' AS value, 'not int' AS problem, COUNT(*) AS n_rows
+               FROM sales_keys WHERE ticket % 97 = 5 HAVING COUNT(*) > 0
+               UNION ALL SELECT 'ss_quantity', '7x', 'not int', COUNT(*) FROM sales_keys WHERE line = 7 HAVING COUNT(*) > 0""",
+            "sales_keys",
+        ),
         "load_profile": with_(PROFILE, *all_tables),
         "sink_replace": v(ATTR["item_brand"]),
         "sink_append": with_(
@@ -539,6 +545,8 @@ def oracle_sql() -> dict[str, str]:
                 FROM ({days(V, "item_id, brand_id")}) b JOIN ({days(V, "item_id, cat_id")}) c
                   ON b.item_id = c.item_id AND b.d = c.d"""
         ),
+        "spans_union": v(text_set(UNION, "item_id")),
+        "spans_minus": v(text_set(DIFF_ALL, "item_id")),
         "difference": v(islands(f"{P_DAYS} EXCEPT {B_DAYS}", "item_id")),
         "contains_day": vs(
             f"""SELECT b.brand_id, COUNT(*) AS n_sales, {MONEY}
@@ -551,6 +559,7 @@ def oracle_sql() -> dict[str, str]:
             islands(days(V, "item_id, brand_id, cat_id"), "item_id, brand_id, cat_id")
         ),
         "tcount": v(islands(COUNT_PER_DAY, "cat_id, n")),
+        "tcount_timestamps": v(islands(COUNT_PER_DAY, "cat_id, n")),
         "tcount_when": v(
             islands(f"SELECT cat_id, d FROM ({COUNT_PER_DAY}) WHERE n BETWEEN 2 AND {MORE_THAN}", "cat_id")
         ),

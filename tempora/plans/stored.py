@@ -16,7 +16,7 @@ from tempora.plans.algebra_views import AlgebraViews
 from tempora.plans.load import TABLES, load_dimensions, per_item
 from tempora.plans.statements import Warehouse, count_versions
 from tempora.sources import csv, derived
-from tempora.sources.tables import open_bucketed, replace_bucketed, replace_table, scratch_dir
+from tempora.sources.tables import has_table, open_bucketed, replace_bucketed, replace_table, scratch_dir
 
 
 # Parameters of the published statements.
@@ -38,11 +38,34 @@ def derive_and_store(spark: SparkSession, sf_dir: str, buckets: int) -> Warehous
     out = scratch_dir(spark)
     scd = replace_bucketed(derived.scd(spark, sf_dir), f"{out}/scd_item", "item_id", buckets)
     tables = {"scd_item": scd, **load_dimensions(scd, out, buckets, hashed=True)}
-    tables["store_sales"] = replace_table(derived.sales(spark, sf_dir), f"{out}/store_sales")
+    # By ranges of dates; a range that holds much is several tasks' and files.
+    facts = olap.with_date_cell(derived.sales(spark, sf_dir)).hint("rebalance", olap.DATE_CELL)
+    tables["store_sales"] = replace_table(facts, f"{out}/store_sales", partition_by=olap.DATE_CELL)
     tables["date_dim"] = replace_table(derived.calendar(spark, sf_dir), f"{out}/date_dim")
     return _warehouse(tables, out)
 
 
+# By application and data folder: the stored tables.
+_DERIVED: dict[tuple[str, str], tuple[str, dict[str, DataFrame]]] = {}
+
+
+def derived_once(spark: SparkSession, sf_dir: str, buckets: int = 8) -> dict[str, DataFrame]:
+    """All 16 tables of a data folder; derived and stored when first asked for.
+
+    Facts keep their surrogate keys, as a load has them before checks are run.
+    """
+    asked = (spark.sparkContext.applicationId, sf_dir)
+    if asked not in _DERIVED or not has_table(spark, _DERIVED[asked][0]):
+        out = scratch_dir(spark)
+        scd = replace_bucketed(derived.scd(spark, sf_dir), f"{out}/scd_item", "item_id", buckets)
+        tables = {"scd_item": scd, **load_dimensions(scd, out, buckets, hashed=True)}
+        tables["date_dim"] = replace_table(derived.calendar(spark, sf_dir), f"{out}/date_dim")
+        # Written last: a store without facts is not one.
+        tables["store_sales"] = replace_table(derived.sales_keys(spark, sf_dir), f"{out}/store_sales")
+        _DERIVED[asked] = f"{out}/store_sales", tables
+    return _DERIVED[asked][1]
+
+
 def reopened(spark: SparkSession, path: str) -> Warehouse:
     """The warehouse that :func:`derive_and_store` left in ``path``."""
     tables = {n: spark.read.parquet(f"{path}/{n}") for n in TABLES if not per_item(n)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,37 @@ def read_csv(
     )
 
 
+def bad_fields(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``file, line, column_name, value, problem`` of all that would abort a read.
+
+    Lines are numbered from 1, the header included, as ``COPY`` names them: a
+    line's place in its split of the file, after those of the splits before it.
+    Line breaks in quotes end a line here.  A line of too many or too few fields
+    is one row, with the line as its value.
+    """
+    place = F.monotonically_increasing_id()
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), place.alias("place"))
+    splits = text.groupBy("file", "split").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "split", "first", before.alias("before"))
+    plain = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    options = {"nullValue": "", "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    fields = F.from_csv("value", f"{', '.join(f'`{f.name}` string' for f in plain)}, _corrupt string", options)
+    problems = [F.struct(F.lit(None).cast("string").alias("column_name"), F.col("value"), F.when(F.col("f._corrupt").isNotNull(), F.lit(f"not {len(schema)} fields")).alias("problem"))]
+    for field in schema:
+        value, kind = F.col(f"f.`{field.name}`"), field.dataType.simpleString()
+        wrong = F.when(value.isNotNull() & value.try_cast(field.dataType).isNull(), F.lit(f"not {kind}"))
+        if field.dataType == T.StringType():
+            length = field.metadata.get("length")
+            wrong = F.when(F.length(F.rtrim(value)) > length, F.lit(f"longer than {length}")) if length else F.lit(None).cast("string")
+        problems.append(F.struct(F.lit(field.name).alias("column_name"), value.alias("value"), wrong.alias("problem")))
+    found = text.select("file", "split", "place", F.col("value"), fields.alias("f"))
+    bad = found.select("file", "split", "place", F.explode(F.filter(F.array(*problems), lambda x: x["problem"].isNotNull())).alias("x"))
+    line = F.col("place") - F.col("first") + F.col("before") + 1
+    # The header is a line of names.
+    return bad.join(splits, ["file", "split"]).select("file", line.alias("line"), "x.*").where("line > 1")
+
+
 def scale_dir(root: str, sf: int) -> str:
     """Folder of one scale factor: ``<root>/sf<sf>``."""
     return f"{root.rstrip('/')}/sf{sf}"

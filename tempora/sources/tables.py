@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,21 +48,38 @@ def remove_table(spark: SparkSession, path: str) -> bool:
     return bool(files.delete(folder, True))
 
 
-def replace_table(df: DataFrame, path: str) -> DataFrame:
+def has_table(spark: SparkSession, path: str) -> bool:
+    """The table was written in full, and is still there."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return bool(done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done))
+
+
+def replace_table(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     """Drop-and-fill: the table holds exactly the rows of ``df`` afterwards."""
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def append_table(df: DataFrame, path: str) -> DataFrame:
-    """Add rows, as a run log does from its second run on."""
-    df.write.mode("append").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def append_table(df: DataFrame, path: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Add rows, as a run log does from its second run on.
+
+    With ``keys``, rows whose key the table has already are not added again, so
+    an append that is retried leaves one copy.
+    """
+    spark = df.sparkSession
+    new = df.join(spark.read.schema(df.schema).parquet(path).select(*keys).distinct(), list(keys), "left_anti") if keys else df
+    new.select(*df.columns).write.mode("append").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+# What tells one run of a query from another.
+RUN = ("query_id", "run_id", "start_time")
 
 
 def log_runs(log: DataFrame, path: str, new_table: bool = True) -> DataFrame:
-    """Start a run log, or add to it."""
-    return replace_table(log, path) if new_table else append_table(log, path)
+    """Start a run log, or add the runs that it has not yet."""
+    return replace_table(log, path) if new_table else append_table(log, path, RUN)
 
 
 def _bucketed_name(path: str) -> str:

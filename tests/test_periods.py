@@ -1,11 +1,16 @@
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from tempora.functions import spans as sets_of
 from tempora.functions.spans import span, spans_contain, spans_intersect, spans_overlap, spans_text
 from tempora.operators import algebra
 from tempora.operators.periods import (
+    coalesce_dense,
     coalesce_periods,
     intersect_rows,
     pack,
@@ -14,7 +19,7 @@ from tempora.operators.periods import (
     tcount,
     unpack,
 )
-from tests.support import day, day_sets, from_sets, one, out, random_rows, rel, spans
+from tests.support import day, day_sets, from_sets, islands, num, one, out, random_rows, rel, spans
 
 K = ["k"]
 
@@ -183,3 +188,80 @@ def test_difference_within_one_relation(spark, matched):
     keep, remove = F.col("v") <= 1, F.col("v").isin(1, 2)
     got = algebra.difference_within(df, keep, remove, K, matched)
     assert out(got) == out(algebra.difference(df.where(keep), df.where(remove), K, matched))
+
+
+def canonical(rnd, n, horizon):
+    days = sorted(rnd.sample(range(horizon), 2 * n))
+    return [(a, b) for a, b in zip(days[::2], days[1::2], strict=True)]
+
+
+def set_rows(spark, sets, names):
+    spans_type = "array<struct<from_d: date, to_d: date>>"
+    rows = [tuple(None if s is None else [(day(f), day(t)) for f, t in s] for s in row) for row in sets]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{n} {spans_type}" for n in names))
+
+
+def as_days(spans):
+    return {d for f, t in spans or [] for d in range(f, t)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_set_algebra_against_days(spark, seed):
+    rnd = random.Random(seed)
+    sets = [[None if rnd.random() < 0.1 else canonical(rnd, rnd.randint(0, 6), 30) for _ in "ab"] for _ in range(150)]
+    sets += [[[(0, 5)], [(5, 9)]], [[(0, 5), (7, 9)], [(5, 7)]], [[(0, 9)], [(0, 9)]], [[(0, 9)], [(0, 3), (6, 9)]]]
+    kinds = {"u": sets_of.spans_union, "x": sets_of.spans_intersect, "m": sets_of.spans_minus}
+    df = set_rows(spark, sets, "ab").select("i", *[f(F.col("a"), F.col("b")).alias(k) for k, f in kinds.items()], sets_of.spans_overlap(F.col("a"), F.col("b")).alias("o"))
+    for r in df.collect():
+        a, b = map(as_days, sets[r["i"]])
+        for k, want in (("u", a | b), ("x", a & b), ("m", a - b)):
+            got = None if r[k] is None else [(num(f), num(t)) for f, t in r[k]]
+            assert got == (islands(want) or None), (k, sets[r["i"]])
+        assert r["o"] == bool(a & b)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_any_spans_are_brought_to_normal_form(spark, seed):
+    rnd = random.Random(seed)
+    sets = [[[(f, f + rnd.randrange(-1, 7)) for f in (rnd.randrange(40) for _ in range(rnd.randint(0, 9)))]] for _ in range(150)]
+    for r in set_rows(spark, sets, "a").select("i", sets_of.spans_normal(F.col("a")).alias("n")).collect():
+        got = None if r["n"] is None else [(num(f), num(t)) for f, t in r["n"]]
+        assert got == (islands(as_days(sets[r["i"]][0])) or None)
+
+
+def test_large_sets_take_linear_time(spark):
+    n = 10_000
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def one_day(shift):
+        return F.transform(every, lambda i: F.struct(F.date_from_unix_date(3 * i + shift).alias("from_d"), F.date_from_unix_date(3 * i + shift + 2).alias("to_d")))
+
+    sets = spark.range(4).select(one_day(0).alias("a"), one_day(1).alias("b")).repartition(4)
+    found = sets.select(F.size(sets_of.spans_intersect(F.col("a"), F.col("b"))).alias("i"), F.size(sets_of.spans_union(F.col("a"), F.col("b"))).alias("u"), F.size(sets_of.spans_minus(F.col("a"), F.col("b"))).alias("m"))
+    start = time.perf_counter()
+    assert {tuple(r) for r in found.collect()} == {(n, 1, n)}
+    assert time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dense_coalescing_against_day_sets(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(rnd.choice("ab"), f, f + rnd.choice([-1, 0, 1, 1, 2, 3, 64, 65, 200])) for f in (rnd.randrange(-150, 900) for _ in range(60))]
+    rows += [("c", 0, 64), ("c", 64, 128), ("d", 63, 64), ("d", 127, 129), ("e", 0, 1), ("e", 63, 65), ("f", 10, 1_000_000), ("f", 1_000_000, 1_000_002)]
+    rows += [("g", None, 3), ("g", 3, None)]
+    assert out(coalesce_dense(rel(spark, rows), K)) == from_sets(day_sets(rows))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_intersect_rows_against_all_pairs(spark, seed):
+    rnd = random.Random(seed)
+
+    def side(tag):
+        return [(rnd.choice("ab"), f"{tag}{i}", f, f + rnd.choice([-1, 0, 1, 5, 40, 400])) for i, f in enumerate(rnd.randrange(300) for _ in range(70))]
+
+    left, right = side("l"), side("r")
+    left.append(("a", "null", None, 5))
+    schema = "k string, {} string, from_d date, to_d date"
+    got = out(intersect_rows(rel(spark, left, schema.format("x")), rel(spark, right, schema.format("y")), K))
+    want = [(k, x, y, max(a, c), min(b, d)) for k, x, a, b in left for j, y, c, d in right if a is not None and k == j and max(a, c) < min(b, d) and a < b and c < d]
+    assert got == sorted(want, key=repr)

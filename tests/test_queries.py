@@ -50,11 +50,12 @@ def test_file_sizes(spark):
 
     folder = catalog.write_files(spark, SF)
     loaded = load(spark, folder, f"{folder}/tables", **catalog.WIDER)
-    for r in profile_stored(loaded).collect():
+    profile = profile_stored(spark, {name: f"{folder}/tables/{name}" for name in loaded})
+    assert "path" not in profile.columns
+    for r in profile.collect():
         files = glob.glob(f"{folder}/tables/{r['table_name']}/*.parquet".removeprefix("file:"))
-        held = sum(os.path.getsize(f) for f in files)
-        # Files without rows are not seen.
-        assert 0 < r["size_bytes"] <= held and r["size"]
+        assert r["size_bytes"] == sum(os.path.getsize(f) for f in files) > 0 and r["size"]
+        assert r["rows"] == loaded[r["table_name"]].count()
     assert catalog.profile_sizes(spark, SF).count() == 16
 
 
