@@ -21,11 +21,11 @@ Spark bounds to 2 GB.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempora.functions.bind import let
+
 # The marks of a role's block, then those of all other roles.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER, SAYS, NEXT = ("[ROLE]", "[/ROLE]"), "[SAYS]", "[NEXT]"
@@ -50,11 +50,6 @@ def _by_role(role: Column, part: int) -> Column:
     return F.coalesce(*known, other)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, not at every place that names it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _numbers(n: Column) -> Column:
     return F.sequence(F.lit(0), n - 1)
 
@@ -67,7 +62,7 @@ def _blocks(turns: Column) -> Column:
         stop = F.coalesce(F.get(starts, i + 1), F.size(turns))
         return F.struct(turns[s]["role"].alias("role"), F.transform(F.slice(turns, s + 1, stop - s), lambda t: t["text"]).alias("texts"))
 
-    return _let(begins, lambda starts: F.transform(starts, lambda s, i: block(starts, s, i)))
+    return let(begins, lambda starts: F.transform(starts, lambda s, i: block(starts, s, i)))
 
 
 def _pieces(block: Column) -> Column:
@@ -99,15 +94,15 @@ def _spans(pieces: Column) -> Column:
 
     sums = lambda lengths: F.transform(_numbers(F.ceil(F.size(lengths) / RUN).cast("int")), lambda r: total(F.slice(lengths, r * RUN + 1, F.lit(RUN))))
     sized = F.transform(pieces, lambda p: F.octet_length(p["text"]).cast("long"))
-    return _let(sized, lambda lengths: _let(sums(lengths), lambda runs: spans(lengths, runs)))
+    return let(sized, lambda lengths: let(sums(lengths), lambda runs: spans(lengths, runs)))
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """``conv_id, formatted, loss``: text, and ``begin, length`` of what is learned, in bytes."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     said = rows.groupBy("conv_id").agg(F.collect_list(turn).alias("turns"))
-    pieces = _let(F.sort_array("turns"), lambda turns: F.flatten(F.transform(_blocks(turns), _pieces)))
-    made = _let(pieces, lambda p: F.struct(F.array_join(F.transform(p, lambda x: x["text"]), "").alias("formatted"), _spans(p).alias("loss")))
+    pieces = let(F.sort_array("turns"), lambda turns: F.flatten(F.transform(_blocks(turns), _pieces)))
+    made = let(pieces, lambda p: F.struct(F.array_join(F.transform(p, lambda x: x["text"]), "").alias("formatted"), _spans(p).alias("loss")))
     # One row, one working out: a struct is not taken apart into copies of what made it.
     return said.select("conv_id", F.inline(F.array(made)))
 
@@ -124,7 +119,7 @@ def read_turns(formatted: Column) -> Column:
             for name, (opening, closing) in MARKS.items()
         ]
         head = len(f"{OTHER[0]}  {SAYS} ")
-        other = _let(F.regexp_extract(block, named, 1), lambda r: F.struct(unescape(r).alias("role"), (F.length(r) + head).alias("head"), F.lit(len(OTHER[1]) + 1).alias("tail")))
+        other = let(F.regexp_extract(block, named, 1), lambda r: F.struct(unescape(r).alias("role"), (F.length(r) + head).alias("head"), F.lit(len(OTHER[1]) + 1).alias("tail")))
         return F.coalesce(*known, other)
 
     def turns(block: Column, at: Column) -> Column:
@@ -132,7 +127,7 @@ def read_turns(formatted: Column) -> Column:
         return F.transform(F.split(text, rf" {_quoted(NEXT)} "), lambda t: F.struct(at["role"].alias("role"), unescape(t).alias("text")))
 
     blocks = F.filter(F.split(formatted, closed), lambda b: b != "")
-    return F.flatten(F.transform(blocks, lambda b: _let(opened(b), lambda at: turns(b, at))))
+    return F.flatten(F.transform(blocks, lambda b: let(opened(b), lambda at: turns(b, at))))
 
 
 def _quoted(mark: str) -> str:
@@ -145,4 +140,4 @@ def read_loss(formatted: Column, loss: Column) -> Column:
     def cut(raw: Column, s: Column) -> Column:
         return unescape(F.decode(F.substring(raw, (s["begin"] + 1).cast("int"), s["length"].cast("int")), "UTF-8"))
 
-    return F.array_join(_let(F.encode(formatted, "UTF-8"), lambda raw: F.transform(loss, lambda s: cut(raw, s))), "")
+    return F.array_join(let(F.encode(formatted, "UTF-8"), lambda raw: F.transform(loss, lambda s: cut(raw, s))), "")

@@ -204,16 +204,12 @@ WITH page AS (
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'block com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'allow org/' END AS decided
   FROM part
-), listed AS (
-  SELECT *, len(list_filter(string_split(replace(host, '-', '.'), '.'),
-    lambda x: x IN ('ads', 'bets', 'casino', 'pills', 'porn', 'spam', 'track', 'viagra', 'warez', 'win'))) > 0 AS named
-  FROM ruled
 ), urls AS (
-  SELECT DISTINCT url, CAST(coalesce(starts_with(decided, 'allow'), false) AND NOT named AS INTEGER) AS good,
-         CAST(coalesce(starts_with(decided, 'block'), false) OR named AS INTEGER) AS bad,
+  SELECT DISTINCT url, CAST(coalesce(starts_with(decided, 'allow'), false) AS INTEGER) AS good,
+         CAST(coalesce(starts_with(decided, 'block'), false) AS INTEGER) AS bad,
          CAST('0x' || substr(md5(url), 1, 4) AS INTEGER) % 5 = 0 AS kept_out,
          '^^^' || translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') || '$' AS padded
-  FROM listed
+  FROM ruled
 ), grams AS (
   SELECT url, good, bad, kept_out, substr(padded, i, 4) AS gram
   FROM (SELECT *, unnest(range(1, length(padded) - 2)) AS i FROM urls)
@@ -240,7 +236,7 @@ WITH page AS (
 SELECT page_id, host, path, substr(decided, strpos(decided, ' ') + 1) AS rule,
        coalesce(substr(decided, 1, strpos(decided, ' ') - 1),
                 CASE WHEN floor(score * 100) >= coalesce((SELECT step FROM best), -1001) THEN 'allow' ELSE 'block' END) AS verdict
-FROM listed JOIN scores ON listed.url = scores.url
+FROM ruled JOIN scores ON ruled.url = scores.url
 """
 )
 

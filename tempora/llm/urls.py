@@ -2,9 +2,9 @@
 
 Two smoothed variable-order Markov models over characters, one of accepted and
 one of rejected URLs, score every URL by the difference of its log-likelihoods
-divided by its length.  Accepted are the URLs that an allow rule decides;
-rejected those that a block rule decides, and those whose host has one of
-``REJECT_WORDS``.  A fifth of both is kept out of the counts and sets the cut:
+divided by its length.  Accepted are the URLs that an allow rule decides,
+rejected those that a block rule decides; no other list of names or words is
+used.  A fifth of both is kept out of the counts and sets the cut:
 the score with the largest difference of the two shares above it, in the middle
 of the gap to the next lower one.
 
@@ -22,14 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempora.functions.bind import let
 from tempora.sources.tables import replace_table, scratch_dir
 
 ORDER = 3
 MIN_SEEN = 2
 # Of a uniform base distribution, as URLs are mostly ASCII.
 ALPHABET = 128
-# Host words of rejected sites.
-REJECT_WORDS = ("ads", "bets", "casino", "pills", "porn", "spam", "track", "viagra", "warez", "win")
 BILLION = 1_000_000_000
 # Scores are calibrated in steps of a hundredth, cut at +-10: at most 2,001 rows reach the driver.
 STEPS, EDGE = 100, 1000
@@ -68,11 +67,15 @@ def split_and_rule(pages: DataFrame, rules: Rules, id_col: str = "page_id") -> D
     return parts.withColumn("rule", _longest(rules, 1)).withColumn("action", _longest(rules, 0))
 
 
+# A URL stands in the tables by 128 bits of hashes.
+URL = ["h1", "h2"]
+
+
 def _grams(urls: DataFrame) -> DataFrame:
-    """One row per character: it and the ``ORDER`` characters before it."""
+    """One row per character: it and the ``ORDER`` characters before it; no URL with it."""
     text = F.concat(F.lit("^" * ORDER), F.translate(_rest(F.col("url")), UPPER + "123456789", LOWER + "0" * 9), F.lit("$"))
-    at = F.explode(F.sequence(F.lit(1), F.length("text") - ORDER))
-    return urls.withColumn("text", text).withColumn("at", at).withColumn("gram", F.expr(f"substring(text, at, {ORDER + 1})")).drop("text", "at")
+    grams = let(text, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - ORDER), lambda i: F.substring(t, i, F.lit(ORDER + 1))))
+    return urls.select(*[c for c in urls.columns if c != "url"], F.explode(grams).alias("gram"))
 
 
 def _log_ratio(counts: DataFrame) -> DataFrame:
@@ -117,21 +120,19 @@ def _cut(scored: DataFrame) -> int:
 def judge(pages: DataFrame, rules: Rules, id_col: str = "page_id") -> DataFrame:
     """``page_id, url, host, path, rule, verdict, score`` of every page."""
     scratch = scratch_dir(pages.sparkSession)
-    ruled = split_and_rule(pages, rules, id_col)
-    listed = F.exists(F.split("host", "[.-]"), lambda x: x.isin(*REJECT_WORDS))
-    bad = (F.coalesce(F.col("action"), F.lit("")) == "block") | listed
-    good = (F.coalesce(F.col("action"), F.lit("")) == "allow") & ~listed
+    ruled = split_and_rule(pages, rules, id_col).withColumns({"h1": F.xxhash64("url"), "h2": F.xxhash64(F.lit(1), "url")})
+    good, bad = (F.coalesce(F.col("action") == action, F.lit(False)).cast("int") for action in ("allow", "block"))
     kept_out = F.conv(F.substring(F.md5("url"), 1, 4), 16, 10).cast("int") % 5 == 0
     # Verdicts depend on the URL alone: score each distinct one.
-    urls = ruled.select("url", good.cast("int").alias("good"), bad.cast("int").alias("bad"), kept_out.alias("kept_out")).dropDuplicates(["url"])
+    urls = ruled.select(*URL, "url", good.alias("good"), bad.alias("bad"), kept_out.alias("kept_out")).dropDuplicates(URL)
     urls = replace_table(urls, f"{scratch}/urls")
     counted = [F.sum(F.when(~F.col("kept_out"), F.col(c)).otherwise(0)).alias(c) for c in ("good", "bad")]
     counts = replace_table(_grams(urls).groupBy("gram").agg(*counted), f"{scratch}/grams")
     model = replace_table(_log_ratio(counts), f"{scratch}/model")
-    scores = _grams(urls).join(model, "gram").groupBy("url", "good", "bad", "kept_out").agg(F.sum("ratio").alias("total"), F.count("*").alias("n"))
+    scores = _grams(urls).join(model, "gram").groupBy(*URL, "good", "bad", "kept_out").agg(F.sum("ratio").alias("total"), F.count("*").alias("n"))
     scores = scores.withColumn("score", F.col("total") / F.col("n") / BILLION)
     scores = replace_table(scores, f"{scratch}/scores")
     cut = _cut(scores.where("kept_out"))
     allowed = F.when(F.floor(F.col("score") * STEPS) >= cut, "allow").otherwise("block")
     verdict = F.coalesce(F.col("action"), allowed).alias("verdict")
-    return ruled.join(scores.select("url", "score"), "url").select("page_id", "url", "host", "path", "rule", verdict, "score")
+    return ruled.join(scores.select(*URL, "score"), URL).select("page_id", "url", "host", "path", "rule", verdict, "score")

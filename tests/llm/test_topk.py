@@ -55,3 +55,11 @@ def test_large_products_are_exact(spark):
 
 def test_empty_table(spark):
     assert run(spark, [], 3) == [] and run(spark, [(3, [1.0])], 3) == []
+
+
+def test_columns_of_clashing_names(spark):
+    rows = [(i, [float(i % 7), 1.0, -float(i)]) for i in range(40)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    own = df.select("*", *[F.lit("own").alias(c) for c in (*cases.free_names(df), "query_id", "norm", "block", "part", "e", "limit", "query", "candidate")])
+    out = topk.top_products(own, F.col("vec_id") % 10 == 0, k=3)
+    assert cases.rows_of(out) == brute(rows, 3, 10)

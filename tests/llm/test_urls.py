@@ -88,9 +88,8 @@ def test_scores_match_brute_force(spark):
     got = judged(spark, made)
     sides = {}
     for r in got.values():
-        named = bool(set(r["host"].replace("-", ".").split(".")) & set(urls.REJECT_WORDS))
         ruled = r["rule"] and r["verdict"]
-        sides[r["url"]] = (ruled == "allow" and not named, ruled == "block" or named)
+        sides[r["url"]] = (ruled == "allow", ruled == "block")
     expected = brute(sides)
     for r in got.values():
         assert abs(r["score"] - expected[r["url"]]) < 1e-7
@@ -101,7 +100,7 @@ def test_scores_match_brute_force(spark):
 
 def test_unruled_urls_follow_what_they_look_like(spark):
     good = [f"http://library{i}.org/en/paper-{i}" for i in range(80)]
-    bad = [f"http://win-casino{i}.net/slots/bonus-{i}" for i in range(80)]
+    bad = [f"http://win-casino{i}.com/de/slots/bonus-{i}" for i in range(80)]
     got = judged(spark, [*good, *bad, "http://library.net/en/paper-7", "http://supercasino.net/slots/bonus"])
     assert [got[i]["verdict"] for i in (160, 161)] == ["allow", "block"]
     assert {got[i]["verdict"] for i in range(80, 160)} == {"block"}
@@ -115,3 +114,12 @@ def test_long_urls_are_judged_whole(spark):
 def test_repeated_rows_stay(spark):
     pages = spark.createDataFrame([(1, "http://a.net/", ""), (1, "http://a.net/", ""), (None, None, None)], SCHEMA)
     assert len(cases.rows_of(urls.judge(pages, queries.RULES))) == 3
+
+
+def test_columns_of_clashing_names(spark):
+    addresses = ["http://a.org/x", "http://a.com/de/y", "http://b.net/z", None]
+    names = ["id", "bad", "action", "verdict", "path", "text", "gram", "at", "ratio", "total", "n", "kept_out", "listed", "key", "context"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(addresses)], SCHEMA)
+    plain = urls.judge(pages, queries.RULES).select("page_id", "verdict", "score")
+    own = urls.judge(pages.selectExpr("*", *[f"'own' as {n}" for n in names]), queries.RULES).select("page_id", "verdict", "score")
+    assert cases.rows_of(own) == cases.rows_of(plain)
