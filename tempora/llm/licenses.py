@@ -14,6 +14,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -56,7 +57,7 @@ class Notice(NamedTuple):
     base: bool
     edits: int
     seeds: tuple[tuple[int, bytes], ...]  # place in the phrase, piece
-    pattern: regex.Pattern
+    patterns: tuple[regex.Pattern, ...]  # for one edit at most, for two, and so on
 
 
 def compile_notice(phrase: str, label: str, base: bool) -> Notice:
@@ -65,8 +66,9 @@ def compile_notice(phrase: str, label: str, base: bool) -> Notice:
     cuts = [len(raw) * i // (edits + 1) for i in range(edits + 2)]
     seeds = tuple((a, raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
     # Whole words only: a notice starts after a blank and ends before one.
-    pattern = regex.compile(rb"(?b)(?<=[ \n])(?:" + regex.escape(raw, literal_spaces=True) + rb"){e<=%d}(?= )" % edits)
-    return Notice(label, raw, base, edits, seeds, pattern)
+    text = regex.escape(raw, literal_spaces=True)
+    patterns = tuple(regex.compile(rb"(?<=[ \n])(?:" + text + rb"){e<=%d}(?= )" % e) for e in range(1, edits + 1))
+    return Notice(label, raw, base, edits, seeds, patterns)
 
 
 def _folded(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -126,23 +128,31 @@ def _matches(notice: Notice, text: bytes, bounds: np.ndarray) -> Iterator[tuple[
 def _edited(notice: Notice, part: bytes, exact: list[int]) -> Iterator[tuple[int, int, int]]:
     """Begin, end and edits of the edited matches beside the exact ones.
 
-    A search gives the closest match of all, so what is before it is searched again, and what is after it.
+    Those of one edit are looked for first, from left to right, then those of
+    two in what is left between them, and so on: each text is read once for each
+    number of edits, however many matches it has.
     """
     size, k = len(notice.phrase), notice.edits
-    todo = list(zip([0, *(x + size for x in exact)], [*exact, len(part)], strict=True))
-    while todo:
-        low, high = todo.pop()
-        m = notice.pattern.search(part, low, high) if high - low >= size - k else None
-        if m:
-            if edits := sum(m.fuzzy_counts):
-                yield m.start(), m.end(), edits
-            todo += [(low, m.start()), (m.end(), high)]
+    open_ = list(zip([0, *(x + size for x in exact)], [*exact, len(part)], strict=True))
+    for edits, pattern in enumerate(notice.patterns, 1):
+        rest = []
+        for low, high in open_:
+            while high - low >= size - k and (m := pattern.search(part, low, high)):
+                yield m.start(), m.end(), sum(m.fuzzy_counts)
+                rest.append((low, m.start()))
+                low = m.end()
+            rest.append((low, high))
+        open_ = [(low, high) for low, high in rest if high - low >= size - k]
 
 
 def _closest(found: list[tuple[int, int, int, Notice]]) -> Iterator[tuple[int, int, int, Notice]]:
     """Without those that overlap a closer match of another label: versions differ by one letter."""
+    found = sorted(found, key=lambda m: m[:3])
+    begins, longest = [m[0] for m in found], max((m[1] - m[0] for m in found), default=0)
     for begin, end, edits, notice in found:
-        if not edits or not any(e < edits and a < end and begin < b and n.label != notice.label for a, b, e, n in found):
+        # A match is no longer than its notice and its edits, so only near ones can overlap.
+        near = found[bisect_left(begins, begin - longest) : bisect_left(begins, end)]
+        if not edits or not any(e < edits and a < end and begin < b and n.label != notice.label for a, b, e, n in near):
             yield begin, end, edits, notice
 
 

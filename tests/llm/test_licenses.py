@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import time
+from collections import Counter
 
 import pytest
 import regex
@@ -122,3 +124,13 @@ def test_matches_at_the_ends_of_long_texts(spark):
     long = "zz " * 700_000
     got = found(spark, [f"{long}cc by nc", f"under the mit license {long}"])
     assert spans(got[1]) == [("cc-by-nc", 700_000, 3, 0, True)] and spans(got[2]) == [("mit", 0, 4, 0, True)]
+
+
+def test_long_text_of_nothing_but_edited_notices(spark):
+    line = "under the mitt license. gnu genral public license version 2, aplicense version 2 "
+    text = line * 13_000
+    start = time.perf_counter()
+    (row,) = licenses.find_notices(cases.documents(spark, [text])).collect()
+    assert time.perf_counter() - start < 30 and len(text) > 1_000_000
+    labels = Counter(s["label"] for s in row["spans"])
+    assert labels["mit"] == labels["gpl-2"] == 13_000
