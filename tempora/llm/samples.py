@@ -14,12 +14,16 @@ def in_fold(id_col: str, folds: int, fold: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, train: Column, path: str) -> DataFrame:
-    """At most ``rows`` labelled ids that ``train`` admits, with their documents, as a table.
+    """At most ``rows`` labelled documents that ``train`` admits, as a table.
 
-    Ids are taken in the order of a hash; only ids and labels are sorted and
-    broadcast.  Of several labels of an id the highest counts.
+    Ids are taken in the order of a hash, so only ids and labels are sorted and
+    broadcast, and one document of each: of an id's several texts the one of the
+    smallest hash, of its several labels the highest.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & train)
     known = known.groupBy("doc_id").agg(F.max(target).cast("double").alias("_y"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return replace_table(docs.join(F.broadcast(taken), "doc_id"), path)
+    found = docs.join(F.broadcast(taken), "doc_id").groupBy("doc_id", "_y")
+    one = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64("text")).alias("_row")
+    # In one order, so that what is learned does not depend on partitions.
+    return replace_table(found.agg(one).orderBy(F.xxhash64("doc_id"), "doc_id").select("_row.*", "_y"), path)

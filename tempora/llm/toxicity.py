@@ -9,8 +9,9 @@ after it that clean documents have and toxic ones have not; a match inside one
 does not count.  The weights found, as a sum, per word of the text, and the
 heaviest, go through a logistic curve fitted to the training documents.
 
-Training takes at most ``SAMPLE`` labelled documents; the lexicon has at most
-``ENTRIES`` entries.  Scoring reads every whole text.
+Training takes at most ``SAMPLE`` labelled documents.  Whatever is telling beyond
+chance in them is an entry, however rare, at every size.  Scoring reads every
+whole text.
 
 Results: null and empty texts have no matches and get the curve's score for none.
 Repeated rows get equal scores.  Without toxic or without clean training rows the
@@ -36,12 +37,11 @@ from tempora.llm.samples import in_fold, labelled_sample
 from tempora.sources.tables import scratch_dir
 
 SAMPLE = 20_000
-ENTRIES = 20_000
 # Beginnings of words, in letters.
 STEMS = range(4, 8)
-# An entry is in this share of the toxic rows at least; its weight is the log ratio less so many
-# standard errors, as thousands of beginnings are tried and some recur by chance.
-SUPPORT, CHANCE, LEAST_WEIGHT = 0.005, 1.0, 0.7
+# An entry is in so many toxic rows; its log ratio passes ``LEAST_WEIGHT`` by ``SURE`` standard
+# errors, as thousands of beginnings are tried and some recur by chance, and weighs ``CHANCE`` less.
+SUPPORT, SURE, CHANCE, LEAST_WEIGHT = 3, 2.5, 1.0, 0.7
 EXCEPTION_SUPPORT = 3
 FOLDS, FOLD = 5, 0
 # Letters of other scripts that look like Latin ones, and digits and signs used for letters.
@@ -97,14 +97,20 @@ def matched(folded: str, machine: ahocorasick.Automaton) -> Iterator[tuple[int,
             covered.append((begin, last))
         elif begin not in best or weight > best[begin][1]:
             best[begin] = (last, weight)
-    for begin, (last, weight) in best.items():
-        if not any(a <= begin and last <= b for a, b in covered):
+    covered.sort()
+    # In the order of begins, with the furthest end of the exceptions begun so far.
+    reach, at = -1, 0
+    for begin in sorted(best):
+        while at < len(covered) and covered[at][0] <= begin:
+            reach, at = max(reach, covered[at][1]), at + 1
+        last, weight = best[begin]
+        if last > reach:
             yield begin, last, weight
 
 
-def _features(folded: str, machine: ahocorasick.Automaton) -> tuple[float, float, float]:
-    """Sum of the weights, the same per word, and the heaviest."""
-    weights = [w for _, _, w in matched(folded, machine)]
+def _features(folded: str, found: list[tuple[int, int, float]]) -> tuple[float, float, float]:
+    """Sum of the weights found, the same per word, and the heaviest."""
+    weights = [w for _, _, w in found]
     words = max(1, folded.count(" ") - 1)
     return np.log1p(sum(weights)), 100 * sum(weights) / words, max(weights, default=0.0)
 
@@ -172,27 +178,23 @@ def train(sample: DataFrame) -> Model:
     if not clean or not toxic:
         rate = (toxic + 1e-3) / (clean + toxic + 1e-2) if toxic else 1e-3
         return Model({}, frozenset(), (float(np.log(rate / max(1 - rate, 1e-3))), 0.0, 0.0, 0.0))
-    support = max(3, SUPPORT * toxic)
-    common = _sums(sample.where("_y > 0"), candidates).where(F.col("toxic") >= support)
-    names = frozenset(r["key"] for r in common.orderBy(F.desc("toxic"), "key").limit(ENTRIES).collect())
-    weights = {}
-    for r in _sums(sample, lambda folded: candidates(folded) & names).collect():  # at most ENTRIES rows
-        a, b = r["toxic"] + 0.5, r["clean"] + 0.5
-        # What is left of the log ratio when chance is taken off.
-        weight = np.log(a / (toxic + 1)) - np.log(b / (clean + 1)) - CHANCE * np.sqrt(1 / a + 1 / b)
-        if weight >= LEAST_WEIGHT:
-            weights[r["key"]] = float(weight)
+    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    ratio, error = F.log(a / (toxic + 1)) - F.log(b / (clean + 1)), F.sqrt(1 / a + 1 / b)
+    telling = _sums(sample, candidates).where(F.col("toxic") >= SUPPORT).select("key", (ratio - CHANCE * error).alias("weight"), (ratio - SURE * error).alias("sure"))
+    # As many as the bounded sample has.
+    weights = {r["key"]: r["weight"] for r in telling.where(F.col("sure") >= LEAST_WEIGHT).collect()}
     # A longer entry that says no more than a beginning of it is left out.
     entries = {k: w for k, w in weights.items() if not any(weights.get(k[: n + 1], 0) >= w - 0.1 for n in STEMS if n + 1 < len(k.rstrip()))}
     model = Model(entries, frozenset(), (0.0,) * 4)
     contexts = _sums(sample, _contexts(automaton(model))).where((F.col("toxic") == 0) & (F.col("clean") >= EXCEPTION_SUPPORT))
-    exceptions = frozenset(r["key"] for r in contexts.orderBy(F.desc("clean"), "key").limit(ENTRIES).collect())
+    exceptions = frozenset(r["key"] for r in contexts.select("key").collect())
     model = model._replace(exceptions=exceptions)
 
     def features(batches: Batches) -> Batches:
         machine = automaton(model)
         for batch in batches:
-            x = np.array([_features(fold(t), machine) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
+            folded = [fold(t) for t in batch.column("text").to_pylist()]
+            x = np.array([_features(t, list(matched(t, machine))) for t in folded]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), batch.column("_y")], ["a", "b", "c", "y"])
 
     rows = sample.select("text", "_y").mapInArrow(features, "a double, b double, c double, y double").toPandas()  # at most SAMPLE rows
@@ -209,9 +211,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores, spans = [], []
             for text in batch.column("text"):
                 folded = fold(text.as_py())
-                margin = bias + np.dot(factors, _features(folded, machine))
+                found = list(matched(folded, machine))
+                margin = bias + np.dot(factors, _features(folded, found))
                 scores.append(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
-                spans.append([{"match": folded[i : j + 1].strip(), "weight": w} for i, j, w in matched(folded, machine)])
+                spans.append([{"match": folded[i : j + 1].strip(), "weight": w} for i, j, w in found])
             arrays = [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spans, span)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "spans"])
 

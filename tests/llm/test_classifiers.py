@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import random
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tempora.llm import quality, queries, samples, toxicity
+from tempora.sources.tables import scratch_dir
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.1"
@@ -125,3 +129,62 @@ def test_drop_rejected_keeps_rows_as_they_are(spark):
     out = quality.drop_rejected(docs, labels, 0.0)
     assert cases.rows_of(out) == cases.rows_of(docs) and out.columns == docs.columns
     assert quality.drop_rejected(docs, labels, 1.1).count() == 0
+
+
+def test_a_sample_holds_one_row_of_an_id(spark):
+    docs = spark.range(30_000).selectExpr("if(id < 29990, 1, id) AS doc_id", "concat('text ', id % 5000) AS text").repartition(8)
+    labels = spark.createDataFrame([(1, 1), (1, 0), *[(i, 0) for i in range(29_990, 30_000)]], "doc_id long, toxic int")
+    found = samples.labelled_sample(docs, labels, "toxic", 8, F.lit(True), samples_path(spark)).collect()
+    assert len(found) == 8 and len({r["doc_id"] for r in found}) == 8
+    again = samples.labelled_sample(docs.repartition(3), labels, "toxic", 8, F.lit(True), samples_path(spark)).collect()
+    assert found == again
+
+
+def samples_path(spark):
+    return f"{scratch_dir(spark)}/sample"
+
+
+def sample_of(spark, rows):
+    return spark.createDataFrame([(i, t, float(y)) for i, (t, y) in enumerate(rows)], "doc_id long, text string, _y double")
+
+
+def test_the_rarest_telling_term_is_an_entry(spark):
+    rnd = random.Random(3)
+    clean = [(cases.prose(rnd, 15), 0) for _ in range(1500)]
+    toxic = [(cases.prose(rnd, 15) + " zq" + "".join(rnd.choices("xyz", k=6)) + " commonslur", 1) for _ in range(150)]
+    toxic[:6] = [(cases.prose(rnd, 20) + " raretermhere", 1) for _ in range(6)]
+    model = toxicity.train(sample_of(spark, clean + toxic))
+    assert any("raretermhere".startswith(k.strip()) for k in model.entries) and any("commonslur".startswith(k.strip()) for k in model.entries)
+
+
+def brute_matches(folded, model):
+    """The heaviest entry at each place that no occurrence of an exception covers."""
+    places = lambda k: [i for i in range(len(folded)) if folded.startswith(k, i)]
+    best = {}
+    for key, weight in model.entries.items():
+        for i in places(key):
+            if i not in best or weight > best[i][1]:
+                best[i] = (i + len(key) - 1, weight)
+    covered = [(i, i + len(k) - 1) for k in model.exceptions for i in places(k)]
+    return sorted((i, last, w) for i, (last, w) in best.items() if not any(a <= i and last <= b for a, b in covered))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matching_against_brute_force(seed):
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choices("abc", k=rnd.randint(1, 6))) for _ in range(25)]
+    entries = {(f" {w} " if rnd.random() < 0.5 else f" {w}"): 0.7 + i / 10 for i, w in enumerate(words[:12])}
+    exceptions = frozenset(f" {rnd.choice(words)} {rnd.choice(words)} " for _ in range(60))
+    model = toxicity.Model(entries, exceptions - set(entries), (0.0,) * 4)
+    machine = toxicity.automaton(model)
+    for _ in range(60):
+        folded = toxicity.fold(" ".join(rnd.choices(words, k=rnd.randint(0, 60))))
+        assert list(toxicity.matched(folded, machine)) == brute_matches(folded, model)
+
+
+def test_long_text_of_nothing_but_matches():
+    model = toxicity.Model({" bad ": 1.0, " wors": 2.0}, frozenset({" bad luck "}), (0.0,) * 4)
+    folded = toxicity.fold("bad luck bad worse " * 55_000)
+    start = time.perf_counter()
+    assert len(list(toxicity.matched(folded, toxicity.automaton(model)))) == 110_000
+    assert time.perf_counter() - start < 10
