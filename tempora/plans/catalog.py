@@ -150,6 +150,12 @@ def fact_denorm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.denormalise(w.sales_keys().drop("item_id"), w.named(), w.version_bound())
 
 
+def fact_denorm_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where no bound proves the versions small."""
+    w = Inputs(spark, sf_dir)
+    return history.denormalise(w.sales_keys().drop("item_id"), w.named())
+
+
 # --- checks ------------------------------------------------------------------
 
 
@@ -446,10 +452,12 @@ def _write_csv(df: DataFrame, schema, path: str) -> None:
     writer.option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def write_files(spark: SparkSession, sf_dir: str, only: str | None = None) -> str:
-    """The three input files, out of the derived tables, in a fresh folder."""
+def write_files(
+    spark: SparkSession, sf_dir: str, only: str | None = None, folder: str | None = None
+) -> str:
+    """The three input files, out of the derived tables, in a fresh folder unless one is given."""
     w = Inputs(spark, sf_dir)
-    folder = scratch_dir(spark)
+    folder = folder or scratch_dir(spark)
     if only in (None, "scd_item"):
         named = w.named().select(
             F.col("item_sk").alias("i_item_sk"),
@@ -506,6 +514,42 @@ def src_store_sales_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _broken_lines(spark: SparkSession, sf_dir: str, price: str) -> str:
+    """Items whose description is two lines with quotes; ``price`` is SQL text of a string."""
+    folder = scratch_dir(spark)
+    items = Inputs(spark, sf_dir).named().select(
+        F.col("item_sk").alias("i_item_sk"),
+        F.concat(F.lit('say "'), "item_desc", F.lit('",\n'), "brand").alias("i_item_desc"),
+        F.expr(price).alias("i_current_price"),
+        F.col("category").alias("i_category"),
+    )
+    _write_csv(items, schemas.item_schema(), f"{folder}/scd_item.csv")
+    return folder
+
+
+def src_multi_line_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of several lines, whose splits are read apart."""
+    folder = _broken_lines(spark, sf_dir, "CAST(price AS STRING)")
+    items = csv.read_items(spark, folder, multi_line=True, **WIDER)
+    return items.select("i_item_sk", "i_item_desc", "i_current_price", "i_category")
+
+
+def src_bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a load of damaged items stops at, in records of several lines."""
+    folder = _broken_lines(spark, sf_dir, "IF(item_sk % 50 = 7, 'dear', CAST(price AS STRING))")
+    schema = schemas.item_schema(**{k: v for k, v in WIDER.items() if k.startswith("i_")})
+    bad = csv.bad_fields(spark, f"{folder}/scd_item.csv", schema, multi_line=True)
+    # A record is two lines, the first of a file after its header: line numbers are even.
+    return bad.groupBy("column_name", "value", "problem", (F.col("line") % 2).alias("odd_line")).agg(F.count("*").alias("n_rows"))
+
+
+def load_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load of the files of one scale factor, found below a root by its number."""
+    root = scratch_dir(spark)
+    write_files(spark, sf_dir, folder=csv.scale_dir(root, 7))
+    return load(spark, root, f"{root}/tables", scale=7, **WIDER)["item_brand"]
+
+
 def src_bad_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a load of damaged facts would stop at: each column's bad values, in how many rows."""
     folder = scratch_dir(spark)
@@ -615,6 +659,9 @@ def queries() -> dict[str, Query]:
         "src_date_dim_csv": src_date_dim_csv,
         "src_store_sales_csv": src_store_sales_csv,
         "src_bad_fields": src_bad_fields,
+        "src_multi_line_csv": src_multi_line_csv,
+        "src_bad_records": src_bad_records,
+        "load_scaled": load_scaled,
         "load_profile": load_profile,
         "sink_replace": sink_replace,
         "sink_append": sink_append,
@@ -637,6 +684,7 @@ def queries() -> dict[str, Query]:
         "hist_item_price": _history("item_price"),
         "dim_calendar": dim_calendar,
         "fact_denorm": fact_denorm,
+        "fact_denorm_shuffled": fact_denorm_shuffled,
         "chk_unique": chk_unique,
         "chk_fk": chk_fk,
         "chk_not_null": chk_not_null,

@@ -494,6 +494,18 @@ def oracle_sql() -> dict[str, str]:
                UNION ALL SELECT 'ss_quantity', '7x', 'not int', COUNT(*) FROM sales_keys WHERE line = 7 HAVING COUNT(*) > 0""",
             "sales_keys",
         ),
+        "src_multi_line_csv": with_(
+            """SELECT item_sk AS i_item_sk, 'say "' || item_desc || '",' || chr(10) || brand AS i_item_desc,
+                      price AS i_current_price, category AS i_category FROM scd""",
+            "scd",
+        ),
+        "src_bad_records": with_(
+            """SELECT 'i_current_price' AS column_name, 'dear' AS value, 'not decimal(12,2)' AS problem,
+                      CAST(0 AS BIGINT) AS odd_line, COUNT(*) AS n_rows
+               FROM scd WHERE item_sk % 50 = 7 HAVING COUNT(*) > 0""",
+            "scd",
+        ),
+        "load_scaled": v(f"SELECT * REPLACE (CAST(item_id AS VARCHAR) AS item_id) FROM ({ATTR['item_brand']})"),
         "load_profile": with_(PROFILE, *all_tables),
         "sink_replace": v(ATTR["item_brand"]),
         "sink_append": with_(
@@ -519,6 +531,7 @@ def oracle_sql() -> dict[str, str]:
         "hist_tdw_category": with_(CATEGORIES, "scd"),
         "dim_calendar": with_("SELECT date_sk, d, d AS from_d, d + 1 AS to_d FROM calendar", "calendar"),
         "fact_denorm": with_(DENORM, "scd", "sales_keys"),
+        "fact_denorm_shuffled": with_(DENORM, "scd", "sales_keys"),
         "chk_unique": with_(CHK_UNIQUE, *all_tables),
         "chk_fk": with_(CHK_FK, *all_tables),
         "chk_not_null": with_(CHK_NOT_NULL, *all_tables),

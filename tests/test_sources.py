@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import csv as python_csv
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tempora.operators.periods import unpack
 from tempora.plans import catalog, stored
@@ -209,6 +212,70 @@ def test_quoted_line_breaks(spark, tmp_path):
     assert csv.read_items(spark, folder, multi_line=True).first()["i_item_desc"] == "a\nb"
 
 
+THREE = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType()), T.StructField("c", T.StringType())])
+
+
+@pytest.fixture
+def small_splits(spark, request):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], str(request.param))
+    spark.conf.set(names[1], "0")
+    yield request.param
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+def _quoted(path, rows, ends):
+    with open(path, "w", newline="") as file:
+        writer = python_csv.writer(file, lineterminator=ends)
+        writer.writerow("abc")
+        writer.writerows(rows)
+
+
+@pytest.mark.parametrize("small_splits", [1 << 27, 1000, 97], indirect=True)
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_quoted_line_breaks_across_splits(spark, tmp_path, small_splits, ends):
+    """Every split begins somewhere in a record, quoted or not; two files do not mix."""
+    rnd = random.Random(small_splits)
+    parts = ["x", "\n", '"', ",", "y ", "\n\n", "z" * 40]
+    rows = [(i, "".join(rnd.choices(parts, k=rnd.choice([0, 1, 3, 30]))) or None, "z") for i in range(200)]
+    (tmp_path / "in").mkdir()
+    _quoted(tmp_path / "in" / "1.csv", rows[:120], ends)
+    _quoted(tmp_path / "in" / "2.csv", rows[120:], ends)
+    df = csv.read_csv(spark, str(tmp_path / "in"), THREE, multi_line=True)
+    assert sorted(map(tuple, df.collect())) == rows
+    assert csv.bad_fields(spark, str(tmp_path / "in"), THREE, multi_line=True).count() == 0
+
+
+@pytest.mark.parametrize("small_splits", [1 << 27, 41], indirect=True)
+def test_bad_records_have_the_line_they_begin_with(spark, tmp_path, small_splits):
+    lines = ["a,b,c", '1,"x', 'y ""z""', '",p', '2x,"q', '",r', "3,s", "4,t,u"]
+    path = tmp_path / "m.csv"
+    path.write_text("\n".join(lines) + "\n")
+    bad = csv.bad_fields(spark, str(path), THREE, multi_line=True)
+    found = sorted((r["line"], r["column_name"], r["value"], r["problem"]) for r in bad.collect())
+    assert found == [(5, "a", "2x", "not int"), (7, None, "3,s", "not 3 fields")]
+
+
+@pytest.mark.parametrize("small_splits", [1 << 27, 30], indirect=True)
+def test_an_open_quote_is_reported_and_aborts(spark, tmp_path, small_splits):
+    path = tmp_path / "m.csv"
+    path.write_text('a,b,c\n1,"x\ny",p\n2,"open,q\n' + "3,s,t\n" * 20)
+    bad = csv.bad_fields(spark, str(path), THREE, multi_line=True).collect()
+    assert [(r["line"], r["value"], r["problem"]) for r in bad] == [(4, '2,"open,q', "quote not closed")]
+    with pytest.raises(Exception, match="quote not closed.* line 4"):
+        csv.read_csv(spark, str(path), THREE, multi_line=True).collect()
+
+
+def test_records_of_an_empty_file(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_text("")
+    assert csv.read_csv(spark, str(path), THREE, multi_line=True).count() == 0
+    path.write_text("a,b,c\n")
+    assert csv.read_csv(spark, str(path), THREE, multi_line=True).count() == 0
+
+
 def test_load_takes_a_scale_factor(spark):
     folder = catalog.write_files(spark, SF)
     root, name = folder.rsplit("/", 1)
