@@ -35,6 +35,7 @@ from tempora.operators.periods import (
     unpack,
 )
 from tempora.plans import algebra_views
+from tempora.plans import view_sql as view_sql_text
 from tempora.plans.algebra_views import NAMES, AlgebraViews
 from tempora.plans.load import load
 from tempora.plans.statements import (
@@ -438,6 +439,37 @@ def view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _from_views(session: SparkSession, names: list[str], prefix: str) -> DataFrame:
+    """``relation, id, from_d, to_d`` of views, as any session sees them."""
+
+    def rows(name: str) -> DataFrame:
+        view = session.table(f"{prefix}{name}")
+        key = F.col(view.columns[0]).cast("bigint").alias("id")
+        view = unpack(view) if "vt" in view.columns else view
+        return view.select(F.lit(name).alias("relation"), key, FROM, TO)
+
+    return _union([rows(name) for name in names])
+
+
+def views_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relations as catalog views over stored tables, read by another session."""
+    stored = derive_and_store(spark, sf_dir, buckets=8)
+    names = [n for n in NAMES if n not in ON_COARSE]
+    view_sql_text.create_views(spark, stored.path, derived.BRAND, derived.PRICE, derived.MORE_THAN, "fine_", names)
+    return _from_views(spark.newSession(), names, "fine_")
+
+
+def views_stored_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, over plain files, of the relations that need the coarser fixture."""
+    w = Inputs(spark, sf_dir, store="versions", coarse=True)
+    path = scratch_dir(spark)
+    for name in view_sql_text.READ:
+        replace_table(w.table(name), f"{path}/{name}")
+    names = [n for n in NAMES if n in ON_COARSE]
+    view_sql_text.create_views(spark, path, derived.BRAND, derived.PRICE, derived.COARSE_MORE_THAN, "coarse_", names)
+    return _from_views(spark.newSession(), names, "coarse_")
+
+
 # --- sources and sinks -----------------------------------------------------------
 
 
@@ -666,6 +698,8 @@ def queries() -> dict[str, Query]:
         "sink_replace": sink_replace,
         "sink_append": sink_append,
         "view_sql": view_sql,
+        "views_stored": views_stored,
+        "views_stored_coarse": views_stored_coarse,
         "hist_item": _history("item", named=True),
         "hist_item_vt": hist_vt("item", "item_id"),
         "hist_tdw_item": _history("item", named=True),

@@ -206,6 +206,35 @@ BLOCKS_BUSY = islands(
     "cat_id",
 )
 
+DESIGNS = ("ss", "tdw", "scd")
+RELATIONS = {
+    **{f"a1_selection_{d}": SELECTION for d in DESIGNS},
+    **{f"a2_projection_{d}": PROJECTION for d in DESIGNS},
+    **{f"a3_join_{d}": JOIN for d in DESIGNS},
+    **{f"a4_union_{d}": UNION for d in DESIGNS},
+    "a5_difference": DIFF,
+    "a5_difference_all": DIFF_ALL,
+    "a5_difference_ss": DIFF_PAIRWISE,
+    "a5_difference_tdw": CASES,
+    "a5_difference_scd": CASES_GUARDED,
+    "a6_aggregation": MORE,
+    "a6_aggregation_ss": MORE,
+    "a6_aggregation_tdw": AT_LEAST,
+}
+
+
+def _relations(bodies: dict[str, str]) -> str:
+    """Rows of all relations, each under its name; the selection of sets is not coalesced."""
+
+    def rows(name: str, body: str) -> str:
+        if name == "a1_selection_ss":
+            body = f"SELECT * FROM ({ATTR['item_brand']}) WHERE brand_id = {BRAND}"
+        key = "cat_id" if name.startswith("a6") else "item_id"
+        return f"SELECT '{name}' AS relation, {key} AS id, from_d, to_d FROM ({body})"
+
+    return " UNION ALL ".join(rows(name, body) for name, body in bodies.items())
+
+
 COUNT_PER_DAY = f"""
     SELECT cat_id, d, COUNT(DISTINCT item_id) AS n FROM ({days(V, "item_id, cat_id")})
     GROUP BY cat_id, d"""
@@ -519,6 +548,8 @@ def oracle_sql() -> dict[str, str]:
                 FROM ({PROJECTION}) WHERE item_id IN (SELECT item_id FROM ({IS_BRAND}))
                 GROUP BY item_id"""
         ),
+        "views_stored": v(_relations(RELATIONS), **CASES_TABLES),
+        "views_stored_coarse": coarse(v(_relations({"a6_aggregation_scd": BLOCKS_BUSY}))),
         "hist_item": with_(ITEM, "scd"),
         "hist_item_vt": v(text_set(PROJECTION, "item_id")),
         "hist_tdw_item": with_(ITEM, "scd"),

@@ -192,20 +192,24 @@ def read_sales(spark: SparkSession, folder: str, **wider: str) -> DataFrame:
     return read_csv(spark, f"{folder}/store_sales.csv", schemas.sales_schema(**wider))
 
 
+# Item file columns, and the engine's names for them.
+VERSION_COLUMNS = {
+    "i_item_sk": "item_sk",
+    "i_item_id": "item_id",
+    "i_rec_start_date": "from_d",
+    "i_rec_end_date": "to_d",
+    "i_item_desc": "item_desc",
+    "i_current_price": "price",
+    "i_brand_id": "brand_id",
+    "i_brand": "brand",
+    "i_category_id": "cat_id",
+    "i_category": "category",
+}
+
+
 def as_versions(items: DataFrame) -> DataFrame:
     """Item file columns under the engine's names."""
-    return items.select(
-        F.col("i_item_sk").alias("item_sk"),
-        F.col("i_item_id").alias("item_id"),
-        F.col("i_rec_start_date").alias("from_d"),
-        F.col("i_rec_end_date").alias("to_d"),
-        F.col("i_item_desc").alias("item_desc"),
-        F.col("i_current_price").alias("price"),
-        F.col("i_brand_id").alias("brand_id"),
-        F.col("i_brand").alias("brand"),
-        F.col("i_category_id").alias("cat_id"),
-        F.col("i_category").alias("category"),
-    )
+    return items.select(*[F.col(a).alias(b) for a, b in VERSION_COLUMNS.items()])
 
 
 def as_calendar(dates: DataFrame) -> DataFrame:

@@ -96,16 +96,24 @@ def _bucket_note(path: str) -> str:
     return f"{path.rstrip('/')}.buckets"
 
 
-def _declare(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
-    """Declare the files as a bucketed table, in place of any earlier declaration."""
+def _declare(spark: SparkSession, path: str, buckets: str = "") -> str:
+    """Declare the files as a table, in place of any earlier declaration; its name."""
     name, schema = _bucketed_name(path), spark.read.parquet(path).schema
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(
-        f"CREATE TABLE {name} ({columns}) USING parquet "
-        f"CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
-    )
-    return _plain(spark.table(name))
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {buckets} LOCATION '{path}'")
+    return name
+
+
+def _clustered(key: str, buckets: int) -> str:
+    return f"CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS"
+
+
+def declare(spark: SparkSession, path: str) -> str:
+    """Name of a stored table in the catalog, with its buckets if it has any."""
+    if has_table(spark, _bucket_note(path)):
+        return _declare(spark, path, _clustered(*bucketed_by(spark, path)))
+    return _declare(spark, path)
 
 
 def replace_bucketed(
@@ -147,7 +155,7 @@ def open_bucketed(
     own_key, own_buckets = bucketed_by(spark, path)
     if key not in (None, own_key) or buckets not in (None, own_buckets):
         raise ValueError(f"{path} has {own_buckets} buckets by {own_key}, not {buckets} by {key}")
-    return _declare(spark, path, own_key, own_buckets)
+    return _plain(spark.table(_declare(spark, path, _clustered(own_key, own_buckets))))
 
 
 def row_bound(spark: SparkSession, *paths: str) -> int:

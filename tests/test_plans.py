@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tempora.operators import algebra, history, olap
 from tempora.operators.periods import coalesce_dense, coalesce_periods
-from tempora.plans import catalog, stored
+from tempora.plans import algebra_views, catalog, stored, view_sql
+from tempora.plans.load import load
 from tempora.plans.statements import statements
 from tests.support import day_sets, from_sets, out, rel
 
@@ -220,3 +221,25 @@ def test_dense_coalescing_shuffles_states_not_days(spark):
     states = df.groupBy("k", F.floor(F.unix_date("from_d") / 64)).count().count()
     assert states <= 3 * (2000 // 64 + 2)
     assert out(coalesce_dense(df, ["k"])) == from_sets(day_sets(rows))
+
+
+def test_views_outlive_their_session(spark):
+    """Any session reads them, also over the tables of a load, in place of earlier ones."""
+    folder = catalog.write_files(spark, SF)
+    loaded = load(spark, folder, f"{folder}/tables", **catalog.WIDER)
+    w = stored.from_load(loaded, 3, 50000, 3)
+    for price in (1, 50000):
+        names = view_sql.create_views(spark, f"{folder}/tables", 3, price, 3, "kept_")
+    assert len(names) == len(algebra_views.NAMES)
+    for name in ("a3_join_tdw", "a4_union_ss", "a5_difference_scd", "a6_aggregation_ss"):
+        mine, kept = statements(w)[name](), spark.newSession().table(f"kept_{name}")
+        assert mine.dtypes == kept.dtypes
+        assert sorted(map(repr, mine.collect())) == sorted(map(repr, kept.collect())), name
+
+
+def test_views_of_bucketed_items_do_not_shuffle(spark):
+    w = stored.derive_and_store(spark, SF, buckets=4)
+    view_sql.create_views(spark, w.path, 3, 50000, 3, "bucketed_")
+    for name in [n for n in algebra_views.NAMES if n[1] in "12345" and n != "a5_difference_ss"]:
+        plan = spark.table(f"bucketed_{name}")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, name
