@@ -127,9 +127,10 @@ def _members(
 ) -> DataFrame:
     """Item periods in a category met with the periods of the category.
 
-    Categories are few and their item lists long, so without a broadcast the
-    join is salted: one category is worked on by many tasks.  Periods meet in
-    cells of days; a broadcast has a row for each, so those are counted.
+    Categories are few and their item lists long: periods meet in cells of days,
+    so one category is worked on by many tasks.  A broadcast has a row for each
+    cell, so those are counted.  Without one the join is a merge: Spark takes the
+    periods for as few as their file has, not as many as their cells.
     """
     ic = item_category.select("item_id", "cat_id", FROM, TO, F.struct(FROM, TO).alias("ic"))
     q = category_periods.select("cat_id", FROM, TO, F.struct(FROM, TO).alias("q"))
@@ -137,10 +138,9 @@ def _members(
     if category_rows is not None:
         # Of the stored periods, which are counted too.
         most = q.agg(F.coalesce(F.sum(F.ceil(F.datediff(TO, FROM) / CELL_DAYS) + 1), F.lit(0))).first()[0]
-    if is_small(q, most):
-        return intersect_rows(ic, small(q, most), ["cat_id"])
-    ic, q = salted(ic, q)
-    return intersect_rows(ic, q, ["cat_id", "salt"]).drop("salt")
+        # The table has the cells and keys of its rows besides.
+        most *= 2
+    return intersect_rows(ic, small(q, most) if is_small(q, most) else q.hint("merge"), ["cat_id"])
 
 
 def _periods_of(

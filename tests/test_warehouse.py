@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tempora.functions.sizes import pretty_size
 from tempora.operators import history, olap, quality, reports
 from tempora.operators.periods import pack
-from tempora.operators.sized import BROADCAST_BYTES, is_small, row_bytes
+from tempora.operators.sized import BROADCAST_BYTES, is_small, row_bytes, salted
+from tempora.sources.tables import replace_table
 from tests.support import day, out, rel
 
 SCD = (
@@ -123,6 +124,19 @@ def test_category_totals(spark, rows):
     assert [(r["vt"], r["total_sales"]) for r in got] == [([(day(3), day(5))], Decimal("6.00"))]
 
 
+def test_cells_of_category_periods_are_not_broadcast_by_estimate(spark, tmp_path):
+    ic = rel(spark, [("i1", 1, 0, 5), ("i2", 1, 0, 5)], "item_id string, cat_id int, from_d date, to_d date")
+    q = replace_table(rel(spark, [(1, 3, 700)], "cat_id int, from_d date, to_d date"), str(tmp_path / "q"))
+
+    def plan(rows):
+        return olap._members(ic, q, rows)._jdf.queryExecution().sparkPlan().toString()
+
+    # A row of the file is many cells, of which Spark's own estimate knows nothing.
+    assert "Broadcast" not in plan(None) and "Broadcast" in plan(1)
+    few = salted(ic, q)[1]
+    assert "Broadcast" not in ic.join(few, "cat_id")._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_equal_looking_literal_rows_stay(spark):
     ic = rel(
         spark,
