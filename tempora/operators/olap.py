@@ -173,10 +173,17 @@ def by_category_literal(
 ) -> DataFrame:
     """Parity form: the day is tested against the category's period only, and
     groups are the raw period pairs although only their common part is shown,
-    so equal-looking rows can occur."""
-    inside = contains_day(F.col(f"q.{FROM}"), F.col(f"q.{TO}"), F.col("sold_d"))
+    so equal-looking rows can occur.
+
+    Every period of an item in a category gets the same sales of a period of
+    the category, so these are summed once per item before they meet the pairs.
+    """
     members = _members(item_category, category_periods, category_rows)
-    totals = total(join_facts(facts, members, inside, prune=False), ["cat_id", "ic", "q", FROM, TO])
+    met = ["item_id", "cat_id", "q"]
+    inside = contains_day(F.col(f"q.{FROM}"), F.col(f"q.{TO}"), F.col("sold_d"))
+    paid = join_facts(facts, members.select(*met).distinct(), inside, prune=False).groupBy(*met)
+    paid = paid.agg(F.sum("net_paid").alias("net_paid"))
+    totals = total(members.join(paid, met), ["cat_id", "ic", "q", FROM, TO])
     return totals.select("cat_id", FROM, TO, "total_sales")
 
 

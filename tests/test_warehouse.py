@@ -148,6 +148,20 @@ def test_equal_looking_literal_rows_stay(spark):
     assert got == [(1, 1, 6, Decimal("16.00")), (1, 1, 6, Decimal("6.00"))]
 
 
+def test_literal_sums_an_item_once_for_a_category_period(spark, monkeypatch):
+    periods = [("i1", 1, f, f + 2) for f in range(0, 20, 3)]
+    ic = rel(spark, periods, "item_id string, cat_id int, from_d date, to_d date")
+    q = rel(spark, [(1, 0, 12), (1, 13, 30)], "cat_id int, from_d date, to_d date")
+    met, join = [], olap.join_facts
+    monkeypatch.setattr(olap, "join_facts", lambda facts, rel, *a, **k: met.append(rel.count()) or join(facts, rel, *a, **k))
+    got = out(olap.by_category_literal(sales(spark), ic, q))
+    # Not a row for each of the item's seven periods.
+    assert met == [2]
+    paid = {s: sum(r["net_paid"] for r in sales(spark).collect() if r["item_id"] == "i1" and r["net_paid"] is not None and s[0] <= (r["sold_d"] - day(0)).days < s[1]) for s in ((0, 12), (13, 30))}
+    want = [(1, max(f, s[0]), min(t, s[1]), p) for _, _, f, t in periods for s, p in paid.items() if p and max(f, s[0]) < min(t, s[1])]
+    assert got == sorted(want, key=repr)
+
+
 def test_with_day(spark):
     cal = spark.createDataFrame([(3, day(3))], "date_sk int, d date")
     facts = spark.createDataFrame([(3, "a"), (4, "b")], "date_sk int, item_id string")
