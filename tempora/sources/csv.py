@@ -64,19 +64,28 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(_earlier(F.sum("n"), "file", order="split"), F.lit(0)).alias("before"),
         F.coalesce(_earlier(F.sum("odds"), "file", order="split"), F.lit(0)).alias("odds_before"),
         _earlier(F.last("turn", ignorenulls=True), "file", order="split").alias("turn_before"),
+        "odds",
+        "turn",
         F.when(F.sum("odds").over(in_file) % 2 == 1, F.max("turn").over(in_file)).alias("opened"),
     )
+    # The record that goes on into the next split, and its first line.
+    ends_open = (F.col("odds_before") + F.col("odds")) % 2 == 1
+    splits = splits.withColumn("goes_on", F.when(ends_open, F.coalesce("turn", "turn_before"))).drop("odds", "turn")
     odds = F.coalesce(_earlier(F.sum("odd"), "file", "split", order="place"), F.lit(0))
     lines = lines.withColumns({"odds": odds, "turn": _earlier(turn, "file", "split", order="place")})
+    in_quotes = (F.col("odds") + F.col("odds_before")) % 2 == 1
     lines = lines.join(splits, ["file", "split"]).select(
         "file",
+        "split",
         "place",
+        "goes_on",
         (F.col("place") - F.col("first") + F.col("before") + 1).alias("line"),
         "value",
         "odd",
         "opened",
+        (in_quotes & F.col("turn").isNull()).alias("from_before"),
         # The line that the record begins with: the last that turned quotes on.
-        F.when((F.col("odds") + F.col("odds_before")) % 2 == 1, F.coalesce("turn", "turn_before"))
+        F.when(in_quotes, F.coalesce("turn", "turn_before"))
         .otherwise(F.col("place"))
         .alias("record"),
     )
@@ -86,9 +95,13 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
     alone = alone.select("file", "line", "value", is_open.alias("unclosed"))
     parts = F.array_sort(F.collect_list(F.struct("line", "value")))
     joined = F.array_join(F.transform(parts, lambda x: x["value"]), "\n")
-    several = lines.where(~whole & ~is_open).groupBy("file", "record")
-    several = several.agg(F.min("line").alias("line"), joined.alias("value"))
-    every = alone.unionByName(several.select("file", "line", "value", F.lit(False).alias("unclosed")))
+    # A record within its split is put together where the lines are; only one that reaches into others is dealt anew.
+    reaches = F.col("from_before") | F.coalesce(F.col("record") == F.col("goes_on"), F.lit(False))
+    rest = lines.where(~whole & ~is_open)
+    every = alone
+    for within, keys in ((~reaches, ["file", "split", "record"]), (reaches, ["file", "record"])):
+        several = rest.where(within).groupBy(*keys).agg(F.min("line").alias("line"), joined.alias("value"))
+        every = every.unionByName(several.select("file", "line", "value", F.lit(False).alias("unclosed")))
     return every.withColumn("value", F.rtrim("value", F.lit("\r")))
 
 

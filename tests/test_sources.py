@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import csv as python_csv
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -248,6 +249,22 @@ def test_quoted_line_breaks_across_splits(spark, tmp_path, small_splits, ends):
     assert csv.bad_fields(spark, str(tmp_path / "in"), THREE, multi_line=True).count() == 0
 
 
+def test_records_of_one_split_are_not_dealt_anew(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a\n"x\ny"\nz\n')
+    plan = csv._records(spark, str(path))._jdf.queryExecution().executedPlan().toString()
+    # Grouped where the lines of a split are; no exchange by record of these.
+    assert re.search(r"keys=\[file#\d+, split#\d+L?, record#\d+L?\]", plan)
+    assert not re.search(r"hashpartitioning\(file#\d+, split#\d+L?, record", plan)
+
+
+def test_written_csv_files_are_compressed(spark, tmp_path):
+    days = spark.sql("SELECT 1 AS d_date_sk, 'x' AS d_date_id")
+    catalog._write_csv(days, schemas.calendar_schema(), str(tmp_path / "date_dim.csv"))
+    assert [p.suffix for p in (tmp_path / "date_dim.csv").glob("part-*")] == [".gz"]
+    assert csv.read_calendar(spark, str(tmp_path)).select("d_date_sk", "d_date_id").first()[:] == (1, "x")
+
+
 @pytest.mark.parametrize("small_splits", [1 << 27, 41], indirect=True)
 def test_bad_records_have_the_line_they_begin_with(spark, tmp_path, small_splits):
     lines = ["a,b,c", '1,"x', 'y ""z""', '",p', '2x,"q', '",r', "3,s", "4,t,u"]
