@@ -148,6 +148,15 @@ def test_an_earlier_declaration_does_not_survive(spark):
     assert tables.open_bucketed(spark, path).join(spark.range(500), "id").count() == 500
 
 
+def test_buckets_grow_with_the_order_lines(spark, monkeypatch):
+    lines = row_bound(spark, f"{SF}/lineitem.parquet")
+    monkeypatch.setattr(stored, "BUCKET_ROWS", lines // 10)
+    w = stored.derive_and_store(spark, SF, buckets=4)
+    # More than asked for, so that none holds more rows than one of a smaller table.
+    assert tables.bucketed_by(spark, f"{w.path}/scd_item") == ("item_id", -(-lines // (lines // 10)))
+    assert w.table("item_price").count() == stored.reopened(spark, w.path).table("item_price").count()
+
+
 def test_reopened_warehouse_has_every_row(spark):
     w = stored.derive_and_store(spark, SF, buckets=8)
     for name in ("item_ls", "item_brand", "item_price_ss"):
