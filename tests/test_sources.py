@@ -9,14 +9,15 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tempora.operators import history
 from tempora.operators.periods import unpack
-from tempora.plans import catalog, stored
+from tempora.plans import catalog, load as load_module, stored
 from tempora.plans.algebra_views import register
 from tempora.plans.statements import statements
 from tempora.plans.load import load, reopen
 from tempora.sources import csv, schemas, tables
 from tempora.sources.tables import append_table, replace_bucketed, replace_table, row_bound, scratch_dir
-from tests.support import day, out
+from tests.support import day, out, rel
 
 SF = "/root/testdata/sf0.001"
 
@@ -311,3 +312,16 @@ def test_load_takes_a_scale_factor(spark):
     os.symlink(folder, f"{root}/scales/sf7")
     loaded = load(spark, f"{root}/scales", f"{folder}/out", scale=7, **catalog.WIDER)
     assert loaded["scd_item"].count() == spark.read.option("header", True).csv(f"{folder}/scd_item.csv").count()
+
+
+def test_loaded_versions_are_hashed_once_unless_an_item_is_hot(spark, tmp_path, monkeypatch):
+    rows = [(1, "i1", 1, 7, 80.0, 0, 5), (2, "i1", 2, 7, 90.0, 5, 9), (3, None, 1, 7, 80.0, 0, 5), (3, None, 1, 7, 80.0, 0, 5)]
+    versions = rel(spark, rows, "item_sk int, item_id string, brand_id int, cat_id int, price double, from_d date, to_d date")
+
+    own, hashed = load_module._by_item(versions, None, 4)
+    assert hashed and sorted(own.collect(), key=repr) == sorted(versions.collect(), key=repr)
+    executed = history.attribute_ss(own, "brand_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in executed
+    # Two rows of the item without an id are more than a task is to hold.
+    monkeypatch.setattr(load_module, "BUCKET_ROWS", 1)
+    assert load_module._by_item(versions, None, 4) == (versions, False)
