@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tempora.functions.spans import FROM
 from tempora.operators import olap
 from tempora.operators.periods import unpack
+from tempora.operators.sized import is_small
 from tempora.plans.algebra_views import NAMES, AlgebraViews
 from tempora.sources.tables import replace_table, scratch_dir
 
@@ -61,14 +62,26 @@ def _sorted(df: DataFrame) -> DataFrame:
 def _by_item(w: Warehouse, relation: str, design: str, total: Callable) -> Callable[[], DataFrame]:
     bound = RELATION_ROWS[relation](w.rows) if w.rows else None
     view = getattr(w.views, f"{relation}{design}")
-    return lambda: _sorted(total(w.sales, view(), bound))
+
+    def run() -> DataFrame:
+        rel, most = view(), bound
+        if not is_small(_periods(rel), bound):
+            # Facts are left out by it before they meet it: worked out once, not for each of these.
+            # Spark would take it for as small as its file, whose values are packed.
+            rel, most = replace_table(rel, f"{scratch_dir(rel.sparkSession)}/{relation}{design}").hint("merge"), None
+        return _sorted(total(w.sales, rel, most))
+
+    return run
+
+
+def _periods(rel: DataFrame) -> DataFrame:
+    return unpack(rel) if "vt" in rel.columns else rel
 
 
 def _by_category(w: Warehouse, view: str, members: str, total: Callable) -> Callable[[], DataFrame]:
     def run() -> DataFrame:
         # Used twice and small beside versions and facts: worked out and counted once.
-        periods = getattr(w.views, view)()
-        periods = unpack(periods) if "vt" in periods.columns else periods
+        periods = _periods(getattr(w.views, view)())
         periods = replace_table(periods, f"{scratch_dir(periods.sparkSession)}/{view}")
         bound = periods.count() if w.rows else None
         return _sorted(total(w.sales, w.table(members), periods, bound))

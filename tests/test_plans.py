@@ -243,3 +243,11 @@ def test_views_of_bucketed_items_do_not_shuffle(spark):
     for name in [n for n in algebra_views.NAMES if n[1] in "12345" and n != "a5_difference_ss"]:
         plan = spark.table(f"bucketed_{name}")._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan, name
+
+
+@pytest.mark.parametrize("name", ["o5_scd", "o2_ss"])
+def test_large_relations_are_worked_out_once(warehouse, name):
+    lines = physical(statements(replace(warehouse, rows=None))[name]()).splitlines()
+    assert not any("FileScan" in line and ("scd_item" in line or "brand_id" in line) for line in lines)
+    # The stored rows are small in their file only.
+    assert not any("BroadcastHashJoin [item_id" in line for line in lines)
