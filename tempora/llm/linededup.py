@@ -46,6 +46,8 @@ USUAL = r"\A[\n -~\u00A1-\u0DFF]*+\z"
 # Whatever may be such white space or such a letter, in plain ranges: classes by property are slow.
 ODD = r"[\x00-\x09\x0B-\x1F\x85\xA0\u0E00-\u0EFF\u1000-\u109F\u1680\u1780-\u17FF\u19E0-\u19FF\u2000-\u200B\u2028\u2029\u202F\u205F\u2060\u2E80-\u9FFF\uA9E0-\uA9FF\uAA60-\uAA7F\uF900-\uFAFF\uFEFF\uFF65-\uFF9F\x{16FE0}-\x{3FFFF}]"
 DOC = ["_id", "_tx"]
+# Few tokens to a part of a file, which is one task's: each becomes a row.
+BLOCK_BYTES = 4 << 20
 
 
 def _lines(docs: DataFrame, min_tokens: int, short: bool) -> DataFrame:
@@ -80,6 +82,13 @@ def _patterns(rows: DataFrame, key: str) -> DataFrame:
     return shares.where("c > 1").join(held, key).where("2 * c > m").groupBy(key).agg(F.collect_list("token").alias("pattern"))
 
 
+def _texts(docs: DataFrame, templates: DataFrame, several: DataFrame, min_tokens: int, short: bool) -> DataFrame:
+    """Masked lines of one document for each template of the leaves ``several``; others are not parsed again."""
+    wanted = templates.join(several, "leaf").where("not short").select(F.col("lo").alias("_doc")).distinct()
+    of = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id"), F.xxhash64("text")).alias("_doc"))
+    return _lines(of.join(wanted.hint("shuffle_hash"), "_doc", "left_semi"), min_tokens, short).where("not short")
+
+
 def _generalised(several: DataFrame, texts: DataFrame, scratch: str) -> DataFrame:
     """``t1, t2, leaf`` of templates that belong to a generalised one, which ``leaf`` names.
 
@@ -89,7 +98,7 @@ def _generalised(several: DataFrame, texts: DataFrame, scratch: str) -> DataFram
     found = texts.join(several.hint("shuffle_hash"), "leaf").groupBy("t1", "t2", "leaf", "n").agg(F.first("masked").alias("masked"))
     # A token and its place are one number, so positions that agree are an intersection.
     tokens = F.transform(F.split("masked", " "), lambda x, i: F.xxhash64(i, x))
-    found = replace_table(found.select("t1", "t2", "leaf", "n", tokens.alias("tokens")), f"{scratch}/found")
+    found = replace_table(found.select("t1", "t2", "leaf", "n", tokens.alias("tokens")), f"{scratch}/found", **{"parquet.block.size": BLOCK_BYTES})
     patterns = replace_table(_patterns(found, "leaf"), f"{scratch}/patterns")
     major = F.coalesce(_alike("tokens", "pattern"), F.lit(False)).alias("major")
     judged = replace_table(found.join(patterns, "leaf", "left").select("t1", "t2", "leaf", "n", "tokens", major), f"{scratch}/judged")
@@ -117,7 +126,7 @@ def _blocks() -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64("leaf", i, F.slice("tokens", cut(i) + 1, cut(i + 1) - cut(i))))
 
 
-def _groups(lines: DataFrame, texts: DataFrame, scratch: str) -> DataFrame:
+def _groups(lines: DataFrame, docs: DataFrame, min_tokens: int, short: bool, scratch: str) -> DataFrame:
     """``t1, t2, g1, g2``: the groups, of one template or generalised, that lie in several documents."""
     doc = F.xxhash64(*DOC)
     templates = lines.groupBy("leaf", "t1", "t2", "short").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"))
@@ -125,6 +134,7 @@ def _groups(lines: DataFrame, texts: DataFrame, scratch: str) -> DataFrame:
     several = templates.where("not short").groupBy("leaf").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).where("a <> b")
     # Written first: a join of two plain shuffles can split a leaf that holds much.
     several = replace_table(several.select("leaf"), f"{scratch}/several")
+    texts = _texts(docs, templates, several, min_tokens, short)
     alike = replace_table(_generalised(several, texts, scratch), f"{scratch}/alike")
     many = templates.select("t1", "t2", "lo", "hi").join(alike.withColumnRenamed("leaf", "g1"), ["t1", "t2"])
     many = replace_table(many, f"{scratch}/many")
@@ -137,9 +147,9 @@ def _groups(lines: DataFrame, texts: DataFrame, scratch: str) -> DataFrame:
 def recurring_lines(docs: DataFrame, min_docs: int = 2, min_tokens: int = MIN_TOKENS, keep_first: bool = True, short_docs: int | None = SHORT_DOCS) -> DataFrame:
     """``_id, _tx, lines``: the numbers, from 0, of the lines to drop."""
     spark, scratch = docs.sparkSession, scratch_dir(docs.sparkSession)
-    texts = _lines(docs, min_tokens, short_docs is not None)
-    lines = replace_table(texts.drop("masked"), f"{scratch}/lines")
-    groups = replace_table(_groups(lines, texts.where("not short"), scratch), f"{scratch}/groups")
+    short = short_docs is not None
+    lines = replace_table(_lines(docs, min_tokens, short).drop("masked"), f"{scratch}/lines")
+    groups = replace_table(_groups(lines, docs, min_tokens, short, scratch), f"{scratch}/groups")
     per_doc = lines.join(groups, ["t1", "t2"]).groupBy("g1", "g2", "short", *DOC).agg(F.collect_list("line").alias("lines"))
     per_doc = replace_table(per_doc, f"{scratch}/per_doc")
     least = F.when(F.col("short"), max(min_docs, short_docs or 0)).otherwise(min_docs)
@@ -160,7 +170,8 @@ def clean_lines(docs: DataFrame, min_docs: int = 2, min_tokens: int = MIN_TOKENS
     )
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("text").alias("_row_tx"))
     same = F.col("_row.doc_id").eqNullSafe(F.col("_drop_id")) & (F.col("_row_tx") == F.col("_drop_tx"))
-    joined = rows.join(drops, same, "left")
+    # The texts need no sort to meet the numbers of a document's lines.
+    joined = rows.join(drops.hint("shuffle_hash"), same, "left")
     parts = F.split("_row.text", "\n")
     rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_drop", i)), "\n")
     changed = F.col("_drop").isNotNull()

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tempora.llm import linededup
 from tests.llm import cases
@@ -113,3 +114,15 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert cleaned(spark, []) == {}
+
+
+def test_only_documents_of_alike_lines_are_parsed_again(spark):
+    same = [f"a b c {w} e f g h i j" for w in "xyz"]
+    texts = [*same, *same, "q r s t u v w x y z", "one two three four five six seven eight"]
+    docs = cases.documents(spark, texts)
+    rows = linededup._lines(docs, 8, True).withColumn("_doc", F.xxhash64("_id", "_tx"))
+    templates = rows.groupBy("leaf", "t1", "t2", "short").agg(F.min("_doc").alias("lo"))
+    several = rows.groupBy("leaf").agg(F.countDistinct("t1").alias("m")).where("m > 1").select("leaf")
+    again = linededup._texts(docs, templates, several, 8, True)
+    # One document for each of the three templates of the one leaf.
+    assert sorted(r["masked"] for r in again.collect()) == same
