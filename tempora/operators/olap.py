@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions.spans import FROM, TO, contains_day
 from tempora.operators.periods import CELL_DAYS, Keys, cell_of, in_cells, intersect_rows, pack, unpack, valid
-from tempora.operators.sized import is_small, salted, small
+from tempora.operators.sized import SHARED_BYTES, is_small, salted, shared, small
 
 TOTAL = "decimal(18,2)"
 
@@ -140,15 +140,15 @@ def _members(
         most = q.agg(F.coalesce(F.sum(F.ceil(F.datediff(TO, FROM) / CELL_DAYS) + 1), F.lit(0))).first()[0]
         # The table has the cells and keys of its rows besides.
         most *= 2
-    return intersect_rows(ic, small(q, most) if is_small(q, most) else q.hint("merge"), ["cat_id"])
+    return intersect_rows(ic, shared(q, most), ["cat_id"])
 
 
 def _periods_of(
     members: DataFrame, category_periods: DataFrame, category_rows: int | None
 ) -> DataFrame:
     """All periods of the category of each member."""
-    if is_small(category_periods, category_rows):
-        return members.join(small(category_periods, category_rows), "cat_id")
+    if is_small(category_periods, category_rows, SHARED_BYTES):
+        return members.join(shared(category_periods, category_rows), "cat_id")
     members, periods = salted(members, category_periods)
     return members.join(periods, ["cat_id", "salt"]).drop("salt")
 

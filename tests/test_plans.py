@@ -251,3 +251,29 @@ def test_large_relations_are_worked_out_once(warehouse, name):
     assert not any("FileScan" in line and ("scd_item" in line or "brand_id" in line) for line in lines)
     # The stored rows are small in their file only.
     assert not any("BroadcastHashJoin [item_id" in line for line in lines)
+
+
+def test_orders_beyond_their_bound_are_not_broadcast(spark, tmp_path):
+    """Their file is far below Spark's own threshold."""
+    from tempora.operators.sized import SHARED_BYTES
+    from tempora.sources import derived
+
+    sf = str(tmp_path)
+    lines = spark.range(10).selectExpr("id l_orderkey", "id l_partkey", "id l_suppkey", "1 l_linenumber", "2.0D l_extendedprice")
+    lines.write.parquet(f"{sf}/lineitem.parquet")
+    for rows, join in ((100, "BroadcastHashJoin"), (SHARED_BYTES // 64 + 1, "SortMergeJoin")):
+        orders = spark.range(rows).selectExpr("id o_orderkey", "timestamp'2000-01-02' o_orderdate")
+        orders.write.mode("overwrite").parquet(f"{sf}/orders.parquet")
+        for df in (derived.sales(spark, sf), derived.sales_keys(spark, sf)):
+            assert join in physical(df) and df.count() == 10
+
+
+def test_broadcasts_of_one_category_total_share_the_driver(spark):
+    """Cells that alone would be small enough for a broadcast are not beside others."""
+    facts = rel(spark, [("i1", Decimal("1.00"), 1, 2)], "item_id string, net_paid decimal(7,2), sold_d date, x date").drop("x")
+    ic = rel(spark, [("i1", 1, 0, 9)], "item_id string, cat_id int, from_d date, to_d date")
+    for n, found in ((3, True), (250, False)):
+        q = rel(spark, [(i, 0, 36500) for i in range(n)], "cat_id int, from_d date, to_d date")
+        members = olap._members(ic, q, n)
+        assert ("BroadcastHashJoin" in physical(members)) == found
+        assert olap.by_category(facts, ic, q, n).count() == 1
