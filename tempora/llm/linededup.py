@@ -89,13 +89,15 @@ def _texts(docs: DataFrame, templates: DataFrame, several: DataFrame, min_tokens
     return _lines(of.join(wanted.hint("shuffle_hash"), "_doc", "left_semi"), min_tokens, short).where("not short")
 
 
-def _generalised(several: DataFrame, texts: DataFrame, scratch: str) -> DataFrame:
+def _generalised(wanted: DataFrame, texts: DataFrame, scratch: str) -> DataFrame:
     """``t1, t2, leaf`` of templates that belong to a generalised one, which ``leaf`` names.
 
-    ``several`` are the leaves of more than one template; no other text is kept.
+    ``wanted`` are the templates of leaves that hold several; no other text is kept.
     """
-    # One plan at every size: leaves are soon too many to broadcast.
-    found = texts.join(several.hint("shuffle_hash"), "leaf").groupBy("t1", "t2", "leaf", "n").agg(F.first("masked").alias("masked"))
+    # A template's text is looked for in one document only, and so is spread by it: a leaf may hold much.
+    lines = texts.select(F.xxhash64(*DOC).alias("lo"), "t1", "t2", "leaf", "n", "masked")
+    own = ["lo", "t1", "t2"]
+    found = lines.join(wanted.select(*own).hint("shuffle_hash"), own).groupBy(*own, "leaf", "n").agg(F.first("masked").alias("masked"))
     # A token and its place are one number, so positions that agree are an intersection.
     tokens = F.transform(F.split("masked", " "), lambda x, i: F.xxhash64(i, x))
     found = replace_table(found.select("t1", "t2", "leaf", "n", tokens.alias("tokens")), f"{scratch}/found", **{"parquet.block.size": BLOCK_BYTES})
@@ -134,8 +136,10 @@ def _groups(lines: DataFrame, docs: DataFrame, min_tokens: int, short: bool, scr
     several = templates.where("not short").groupBy("leaf").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).where("a <> b")
     # Written first: a join of two plain shuffles can split a leaf that holds much.
     several = replace_table(several.select("leaf"), f"{scratch}/several")
-    texts = _texts(docs, templates, several, min_tokens, short)
-    alike = replace_table(_generalised(several, texts, scratch), f"{scratch}/alike")
+    wanted = templates.where("not short").join(several, "leaf").select("leaf", "t1", "t2", "short", "lo")
+    wanted = replace_table(wanted, f"{scratch}/wanted")
+    texts = _texts(docs, wanted, several, min_tokens, short)
+    alike = replace_table(_generalised(wanted, texts, scratch), f"{scratch}/alike")
     many = templates.select("t1", "t2", "lo", "hi").join(alike.withColumnRenamed("leaf", "g1"), ["t1", "t2"])
     many = replace_table(many, f"{scratch}/many")
     spread = many.groupBy("g1").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("g1")

@@ -126,3 +126,20 @@ def test_only_documents_of_alike_lines_are_parsed_again(spark):
     again = linededup._texts(docs, templates, several, 8, True)
     # One document for each of the three templates of the one leaf.
     assert sorted(r["masked"] for r in again.collect()) == same
+
+
+def test_templates_of_one_leaf_are_spread_over_tasks(spark, monkeypatch):
+    rnd, files, write = random.Random(9), {}, linededup.replace_table
+
+    def noted(df, path, **options):
+        out = write(df, path, **options)
+        files[path.rsplit("/", 1)[1]] = out.select(F.input_file_name()).distinct().count()
+        return out
+
+    monkeypatch.setattr(linededup, "replace_table", noted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = cleaned(spark, [f"{lines(rnd)}\nPosted by user {lines(rnd, 13)}" for _ in range(60)])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 60 and files["found"] > 1
