@@ -105,18 +105,54 @@ def _generalised(wanted: DataFrame, texts: DataFrame, scratch: str) -> DataFrame
     major = F.coalesce(_alike("tokens", "pattern"), F.lit(False)).alias("major")
     judged = replace_table(found.join(patterns, "leaf", "left").select("t1", "t2", "leaf", "n", "tokens", major), f"{scratch}/judged")
     alike, rest = judged.where("major").select("t1", "t2", "leaf"), judged.where("not major")
-    members = rest.select("t1", "n", "tokens", F.explode(_blocks()).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    members = members.join(replace_table(shared, f"{scratch}/shared"), "bucket")
+    blocks = rest.select("t1", "n", F.explode(_blocks()).alias("bucket"))
+    members = blocks.join(replace_table(_buckets(blocks), f"{scratch}/buckets"), "bucket")
     members = replace_table(members, f"{scratch}/members")
     if members.isEmpty():
         return alike
-    patterns = replace_table(_patterns(members, "bucket"), f"{scratch}/block_patterns")
-    links = members.join(patterns, "bucket").where(_alike("tokens", "pattern")).select(F.col("bucket").alias("a"), F.col("t1").alias("b"))
+    shared = rest.join(members.select("t1").distinct(), "t1", "left_semi")
+    links = _links(members, replace_table(_sets(shared), f"{scratch}/sets"))
     named = components(links).select(F.col("id").alias("t1"), "component")
     return alike.unionAll(rest.join(named, "t1").select("t1", "t2", F.col("component").alias("leaf")))
 
 
+def _holders() -> list[Column]:
+    """How many templates, and which: as good as their set."""
+    return [F.count("*").alias("m"), F.bit_xor("t1").alias("x"), F.bit_xor(F.xxhash64("t1")).alias("y")]
+
+
+def _buckets(members: DataFrame) -> DataFrame:
+    """``bucket, m``: one of those that hold the same ``m`` templates, several, as each would link them alike.
+
+    Two long lines share a bucket for every block they agree in.
+    """
+    held = members.groupBy("bucket").agg(*_holders()).where("m > 1")
+    return held.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
+
+
+def _sets(lines: DataFrame) -> DataFrame:
+    """``t1, n, set, k, w``: instead of a template's tokens, the sets of ``k`` templates of its leaf that hold ``w`` of them.
+
+    Tokens of one set are in the same patterns, and a token that no other template holds is in none.
+    """
+    tokens = lines.select("leaf", "t1", "n", F.explode("tokens").alias("token"))
+    holders = tokens.groupBy("leaf", "token").agg(*_holders()).where("m > 1")
+    held = tokens.join(holders, ["leaf", "token"])
+    return held.groupBy("t1", "n", F.xxhash64("leaf", "m", "x", "y").alias("set"), F.col("m").alias("k")).agg(F.count("*").alias("w"))
+
+
+def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: a bucket, and a template that agrees with what most templates of the bucket share."""
+    enough = F.lit(ALIKE[1]) * F.sum("w") >= F.lit(ALIKE[0]) * F.col("n")
+    # Only such can agree with a pattern; a bucket that holds none links nothing.
+    able = sets.groupBy("t1", "n").agg(enough.alias("able")).where("able").select("t1")
+    hopeful = members.join(members.join(able, "t1").select("bucket").distinct(), "bucket")
+    held = hopeful.join(sets.drop("n"), "t1").where("2 * k > m")
+    most = held.groupBy("bucket", "m", "set").agg(F.count("*").alias("c")).where("c > 1 and 2 * c > m").select("bucket", "set")
+    agreed = held.join(most, ["bucket", "set"]).groupBy("bucket", "t1", "n").agg(enough.alias("enough")).where("enough")
+    return agreed.select(F.col("bucket").alias("a"), F.col("t1").alias("b"))
+
+
 def _blocks() -> Column:
     """A key for each of as many blocks of the positions after the leaf's own as alike lines may differ in, and one more."""
     same, of = ALIKE

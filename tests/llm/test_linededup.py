@@ -143,3 +143,63 @@ def test_templates_of_one_leaf_are_spread_over_tasks(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got) == 60 and files["found"] > 1
+
+
+def noted_rows(monkeypatch):
+    rows, write = {}, linededup.replace_table
+
+    def noted(df, path, **options):
+        out = write(df, path, **options)
+        rows[path.rsplit("/", 1)[1]] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "replace_table", noted)
+    return rows
+
+
+def test_long_lines_of_one_leaf_meet_once(spark, monkeypatch):
+    rnd, rows = random.Random(10), noted_rows(monkeypatch)
+    base = lines(rnd, 600).split()
+    ends = [lines(rnd, 600).split() for _ in range(2)]
+    # Alike in the first 400 of 600 tokens, which are 80 of 121 blocks.
+    got = cleaned(spark, [" ".join(base[:400] + e[400:]) for e in ends])
+    assert [v[2] for v in got.values()] == [0, 0]
+    assert rows["members"] == 2 and rows["sets"] == 2
+
+
+def linked(own, blocks):
+    """Bucket and template, for templates that agree with the majority of a bucket: by hand."""
+    buckets, out = {}, set()
+    for t, keys in blocks.items():
+        for key in keys:
+            buckets.setdefault(key, set()).add(t)
+    for key, held in buckets.items():
+        counts = {}
+        for t in held:
+            for token in own[t]:
+                counts[token] = counts.get(token, 0) + 1
+        pattern = {x for x, c in counts.items() if c > 1 and 2 * c > len(held)}
+        out |= {(frozenset(held), t) for t in held if 5 * len(pattern & own[t]) >= 4 * len(own[t])}
+    return out
+
+
+def test_links_are_those_of_every_bucket(spark):
+    rnd, rows = random.Random(11), []
+    for leaf in range(30):
+        n = rnd.choice([8, 11, 40])
+        bases = [[rnd.randrange(10**6) for _ in range(n)] for _ in range(rnd.randint(1, 3))]
+        for t in range(rnd.randint(2, 9)):
+            edits, base = rnd.choice([0.05, 0.15, 0.2, 0.3]), rnd.choice(bases)
+            rows.append((leaf * 100 + t, 7, leaf, n, [x if i < 3 or rnd.random() > edits else rnd.randrange(10**6) for i, x in enumerate(base)]))
+    rest = spark.createDataFrame(rows, "t1 long, t2 long, leaf long, n long, tokens array<long>")
+    blocks = rest.select("t1", "n", F.explode(linededup._blocks()).alias("bucket"))
+    keys = {}
+    for r in blocks.collect():
+        keys.setdefault(r["t1"], set()).add(r["bucket"])
+    members = blocks.join(linededup._buckets(blocks), "bucket")
+    held = {}
+    for r in members.collect():
+        held.setdefault(r["bucket"], set()).add(r["t1"])
+    got = {(frozenset(held[r["a"]]), r["b"]) for r in linededup._links(members, linededup._sets(rest)).collect()}
+    want = linked({r[0]: set(r[4]) for r in rows}, keys)
+    assert got == want and 20 < len(want) < sum(len(h) for h, _ in want)
