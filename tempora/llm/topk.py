@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from tempora.sources.tables import replace_table, scratch_dir
 
 BLOCK_ROWS = 8192
-QUERY_ROWS = 1024
+# Every vector is copied once for each block of queries that may need it; the first
+# thresholds need one block of vectors, so there smaller blocks of queries spread the work.
+QUERY_ROWS, FIRST_ROWS = 8192, 1024
 # Buckets by length; each is dealt into as many blocks as its rows need.
 MAX_BUCKETS = 64
 # From this local cosine on, coordinates prune better than lengths.
@@ -129,37 +131,44 @@ def top_products(vectors: DataFrame, is_query: Column, k: int, scale: int = 1024
     # Cuts between lengths: at most MAX_BUCKETS numbers reach the driver.
     buckets = max(1, min(MAX_BUCKETS, total // BLOCK_ROWS))
     cuts = sorted(set(rows.approxQuantile("norm", [i / buckets for i in range(1, buckets)], 0.001))) if buckets > 1 else []
-    bucket = sum([F.when(F.col("norm") < c, 1).otherwise(0) for c in cuts], F.lit(0))
+    # What differs by bucket stands in lists of at most MAX_BUCKETS numbers, each named once: expressions
+    # that name all buckets are copied into each other by the optimizer, in the driver.
+    bucket = F.size(F.filter(F.lit([float(c) for c in cuts]), lambda c: F.col("norm") < c)) if cuts else F.lit(0)
     rows = rows.withColumn("bucket", bucket)
     sizes = {r["bucket"]: r for r in rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()}
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     table, block = [], 0
-    for b in sorted(sizes):
-        deal = max(1, -(-sizes[b]["n"] // BLOCK_ROWS))
-        table.append((b, deal, block, sizes[b]["longest"]))
+    for b in range(max(sizes) + 1):
+        deal = -(-sizes[b]["n"] // BLOCK_ROWS) if b in sizes else 1
+        table.append((deal, block, sizes[b]["longest"] if b in sizes else 0.0))
         block += deal
-    if not table:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # At most MAX_BUCKETS entries.
-    buckets_of = F.array(*[F.struct(F.lit(d).alias("deal"), F.lit(at).alias("start"), F.lit(x).alias("longest")) for _, d, at, x in table])
-    index = {b: i + 1 for i, (b, *_) in enumerate(table)}
-    rows = rows.replace(index, subset=["bucket"]).withColumn("own", F.element_at(buckets_of, F.col("bucket")))
-    block_of = F.col("own.start") + F.pmod(F.xxhash64("vec_id", "v"), F.col("own.deal"))
+    deals, starts, lengths = (F.lit(list(x)) for x in zip(*table, strict=True))
+    block_of = F.get(starts, "bucket") + F.pmod(F.xxhash64("vec_id", "v"), F.get(deals, "bucket"))
     placed = rows.select("vec_id", "v", "norm", block_of.cast("int").alias("block"))
-    parts = max(1, -(-total // (100 * QUERY_ROWS)))
-    asking = rows.where("asks").select("vec_id", "v", "norm", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
-    # First thresholds from one block of the longest vectors.
-    longest = table[-1][2]
-    start = asking.withColumn("block", F.lit(longest)).withColumn("least", F.lit(None).cast("double"))
-    copies = placed.where(F.col("block") == longest).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asking = rows.where("asks").select("vec_id", "v", "norm")
+
+    def dealt(queries: DataFrame, size: int) -> tuple[DataFrame, int]:
+        parts = max(1, -(-total // (100 * size)))
+        return queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")), parts
+
+    # First thresholds from one block of the longest vectors, which are in the first bucket.
+    start, parts = dealt(asking, FIRST_ROWS)
+    start = start.withColumn("block", F.lit(0)).withColumn("least", F.lit(None).cast("double"))
+    copies = placed.where("block = 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     found = replace_table(_scored(start, copies, k), f"{scratch}/first")
     if block > 1:
         least = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("least"))
-        known = asking.join(least.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+        known, _ = dealt(asking, QUERY_ROWS)
+        known = known.join(least.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
         # Buckets whose longest vector cannot reach the threshold get no copy of the query.
-        reached = F.filter(buckets_of, lambda x: F.col("least").isNull() | (F.col("norm") * x["longest"] * (1 + SLACK) >= F.col("least")))
-        known = known.withColumn("met", F.explode(reached))
-        each = F.explode(F.expr("sequence(met.start, met.start + met.deal - 1)")).alias("block")
-        met = known.select("vec_id", "v", "norm", "part", "least", each).where(F.col("block") != longest)
+        reached = F.filter(
+            F.sequence(F.lit(0), F.lit(len(table) - 1)),
+            lambda b: F.col("least").isNull() | (F.col("norm") * F.get(lengths, b) * (1 + SLACK) >= F.col("least")),
+        )
+        known = known.withColumn("met", F.explode(reached)).withColumn("at", F.get(starts, "met"))
+        each = F.explode(F.sequence("at", F.col("at") + F.get(deals, "met") - 1)).alias("block")
+        met = known.select("vec_id", "v", "norm", "part", "least", each).where("block > 0")
         copies = placed.join(met.select("part", "block").distinct(), "block")
         found = found.unionByName(_scored(met, copies, k))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

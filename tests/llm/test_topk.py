@@ -63,3 +63,18 @@ def test_columns_of_clashing_names(spark):
     own = df.select("*", *[F.lit("own").alias(c) for c in (*cases.free_names(df), "query_id", "norm", "block", "part", "e", "limit", "query", "candidate")])
     out = topk.top_products(own, F.col("vec_id") % 10 == 0, k=3)
     assert cases.rows_of(out) == brute(rows, 3, 10)
+
+
+def test_plan_does_not_grow_with_the_buckets(spark, monkeypatch):
+    """Each bucket is a number in a list, not an expression that others repeat."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(400)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+
+    def plan(block_rows):
+        monkeypatch.setattr(topk, "BLOCK_ROWS", block_rows)
+        out = topk.top_products(df, F.col("vec_id") % 100 == 0, k=3)
+        assert cases.rows_of(out) == brute(rows, 3, 100)
+        return len(out._jdf.queryExecution().optimizedPlan().toString())
+
+    assert plan(6) < 4 * plan(200)  # 64 buckets, 2
