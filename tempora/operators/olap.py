@@ -9,12 +9,15 @@ it meets its periods.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tempora.functions.spans import FROM, TO, contains_day
-from tempora.operators.periods import CELL_DAYS, Keys, cell_of, in_cells, intersect_rows, pack, unpack, valid
-from tempora.operators.sized import SHARED_BYTES, is_small, salted, shared, small
+from tempora.functions.spans import FROM, TO, contains_day, spans_contain, spans_intersect
+from tempora.operators.periods import CELL_DAYS, Keys, cell_of, in_cells, unpack, valid
+from tempora.operators.sized import SHARED_BYTES, is_small, salted, small
 
 TOTAL = "decimal(18,2)"
 
@@ -70,7 +73,7 @@ def per_day(facts: DataFrame, key: str = "item_id") -> DataFrame:
 def join_facts(
     facts: DataFrame,
     rel: DataFrame,
-    condition: Column | None,
+    condition: Column | Callable[[Column], Column] | None,
     rel_rows: int | None = None,
     key: str = "item_id",
     prune: bool = True,
@@ -78,8 +81,11 @@ def join_facts(
     """Facts of each relation row: equal item, and the condition on the day.
 
     ``rel_rows`` is an upper bound of the rows of ``rel``.  ``prune`` works the
-    relation out once more, to leave facts out before they are summed.
+    relation out once more, to leave facts out before they are summed.  With the
+    condition as a function of the day, facts are summed within their row.
     """
+    if callable(condition) and not isinstance(condition, Column):
+        return _paid(facts, rel, condition, key)
     if not is_small(rel, rel_rows):
         facts = per_day(pruned(facts, rel, key) if prune else facts, key)
     f, r = facts.alias("f"), small(rel, rel_rows).alias("r")
@@ -89,6 +95,23 @@ def join_facts(
     return f.join(r, on).select("r.*", "f.sold_d", "f.net_paid")
 
 
+def _paid(facts: DataFrame, rel: DataFrame, holds: Callable[[Column], Column], key: str) -> DataFrame:
+    """Relation rows that have facts, each once, with their sum as ``net_paid``.
+
+    The facts of an item stand beside its rows as a list, one entry a day at
+    most, so there is no row for each pair, and what is to be summed over rows
+    is not shuffled before it is summed within them.
+    """
+    daily = per_day(facts, key)
+    kind = daily.schema["net_paid"].dataType
+    kind = T.DecimalType(38, kind.scale) if isinstance(kind, T.DecimalType) else kind
+    days = F.collect_list(F.struct("sold_d", F.col("net_paid").cast(kind).alias("net_paid")))
+    of = rel.join(daily.groupBy(key).agg(days.alias("_days")), key)
+    of = of.withColumn("_days", F.filter("_days", lambda x: holds(x["sold_d"]))).where(F.size("_days") > 0)
+    paid = F.aggregate("_days", F.lit(None).cast(kind), lambda s, x: F.coalesce((s + x["net_paid"]).cast(kind), s, x["net_paid"]))
+    return of.select(*rel.columns, paid.alias("net_paid"))
+
+
 def total(joined: DataFrame, group: Keys) -> DataFrame:
     return joined.groupBy(*group).agg(F.sum("net_paid").cast(TOTAL).alias("total_sales"))
 
@@ -122,35 +145,40 @@ def by_span_set_any_day(
     return _with_sets(join_facts(facts, packed.select("item_id"), None, rel_rows), packed)
 
 
-def _members(
-    item_category: DataFrame, category_periods: DataFrame, category_rows: int | None
+def _with_periods(
+    members: DataFrame, category_periods: DataFrame, category_rows: int | None
 ) -> DataFrame:
-    """Item periods in a category met with the periods of the category.
+    """Rows of a category with the list ``qs`` of all its periods.
 
-    Categories are few and their item lists long: periods meet in cells of days,
-    so one category is worked on by many tasks.  A broadcast has a row for each
-    cell, so those are counted.  Without one the join is a merge: Spark takes the
-    periods for as few as their file has, not as many as their cells.
+    Categories are few and their item lists long: without a broadcast the rows
+    of one are spread, and none is copied.  A broadcast is behind a bound of the
+    cells of days that the periods touch, above what their lists take.
     """
-    ic = item_category.select("item_id", "cat_id", FROM, TO, F.struct(FROM, TO).alias("ic"))
-    q = category_periods.select("cat_id", FROM, TO, F.struct(FROM, TO).alias("q"))
-    most = None
+    q = valid(category_periods.select("cat_id", FROM, TO))
+    lists = q.groupBy("cat_id").agg(F.array_sort(F.collect_list(F.struct(FROM, TO))).alias("qs"))
     if category_rows is not None:
         # Of the stored periods, which are counted too.
         most = q.agg(F.coalesce(F.sum(F.ceil(F.datediff(TO, FROM) / CELL_DAYS) + 1), F.lit(0))).first()[0]
         # The table has the cells and keys of its rows besides.
-        most *= 2
-    return intersect_rows(ic, shared(q, most), ["cat_id"])
+        if is_small(q.withColumn("q", F.struct(FROM, TO)), 2 * most, SHARED_BYTES):
+            return members.join(F.broadcast(lists), "cat_id")
+    members, lists = salted(members, lists)
+    return members.join(lists, ["cat_id", "salt"]).drop("salt")
 
 
-def _periods_of(
-    members: DataFrame, category_periods: DataFrame, category_rows: int | None
+def _members(
+    item_category: DataFrame, category_periods: DataFrame, category_rows: int | None
 ) -> DataFrame:
-    """All periods of the category of each member."""
-    if is_small(category_periods, category_rows, SHARED_BYTES):
-        return members.join(shared(category_periods, category_rows), "cat_id")
-    members, periods = salted(members, category_periods)
-    return members.join(periods, ["cat_id", "salt"]).drop("salt")
+    """Item periods in a category met with the periods of the category."""
+    ic = valid(item_category.select("item_id", "cat_id", FROM, TO)).select("item_id", "cat_id", F.struct(FROM, TO).alias("ic"))
+    of = _with_periods(ic, category_periods, category_rows)
+    met = F.filter("qs", lambda q: (q[FROM] < F.col(f"ic.{TO}")) & (F.col(f"ic.{FROM}") < q[TO]))
+    return _common(of.select("item_id", "cat_id", "ic", F.explode(met).alias("q")))
+
+
+def _common(pairs: DataFrame) -> DataFrame:
+    """Add the common period of ``ic`` and ``q``."""
+    return pairs.withColumns({FROM: F.greatest(f"ic.{FROM}", f"q.{FROM}"), TO: F.least(f"ic.{TO}", f"q.{TO}")})
 
 
 def by_category(
@@ -178,13 +206,12 @@ def by_category_literal(
     Every period of an item in a category gets the same sales of a period of
     the category, so these are summed once per item before they meet the pairs.
     """
-    members = _members(item_category, category_periods, category_rows)
-    met = ["item_id", "cat_id", "q"]
-    inside = contains_day(F.col(f"q.{FROM}"), F.col(f"q.{TO}"), F.col("sold_d"))
-    paid = join_facts(facts, members.select(*met).distinct(), inside, prune=False).groupBy(*met)
-    paid = paid.agg(F.sum("net_paid").alias("net_paid"))
-    totals = total(members.join(paid, met), ["cat_id", "ic", "q", FROM, TO])
-    return totals.select("cat_id", FROM, TO, "total_sales")
+    pairs = _members(item_category, category_periods, category_rows).select("item_id", "cat_id", "ic", "q")
+    # Rows of an item together: neither grouping nor the join shuffles them again.
+    met = pairs.repartition("item_id").groupBy("item_id", "cat_id", "q").agg(F.collect_list("ic").alias("ics"))
+    paid = join_facts(facts, met, lambda day: contains_day(F.col(f"q.{FROM}"), F.col(f"q.{TO}"), day))
+    totals = total(paid.withColumn("ic", F.explode("ics")), ["cat_id", "ic", "q"])
+    return _common(totals).select("cat_id", FROM, TO, "total_sales")
 
 
 def by_category_span_set(
@@ -196,16 +223,12 @@ def by_category_span_set(
     """Packed parity form: grouped by the value of the common span set, the
     day again tested against the category's set only.
 
-    Sales meet the category's periods as rows and are summed per item and
-    category; the sets join only those sums.  ``category_periods`` are the
-    category's set as rows.
+    ``item_category_ss`` has one set per item and category; it meets the
+    category's set in its row.  ``category_periods`` are that set as rows.
     """
-    member = ["item_id", "cat_id"]
-    met = _members(unpack(item_category_ss), category_periods, category_rows)
-    sets = pack(met, member)
+    members = item_category_ss.select("item_id", "cat_id", "vt")
+    sets = _with_periods(members, category_periods, category_rows)
     # Every period of the category's set counts, met by the item or not.
-    periods = _periods_of(sets.select(*member), category_periods, category_rows)
-    inside = contains_day(F.col(FROM), F.col(TO), F.col("sold_d"))
-    paid = join_facts(facts, periods, inside, prune=False).groupBy(*member)
-    paid = paid.agg(F.sum("net_paid").alias("net_paid"))
-    return total(sets.join(paid, member), ["cat_id", "vt"])
+    sets = sets.withColumn("vt", spans_intersect(F.col("vt"), F.col("qs"))).where("vt is not null")
+    paid = join_facts(facts, sets, lambda day: spans_contain(F.col("qs"), day))
+    return total(paid, ["cat_id", "vt"])

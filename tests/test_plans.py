@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempora.operators import algebra, history, olap
-from tempora.operators.periods import coalesce_dense, coalesce_periods
+from tempora.operators.periods import coalesce_dense, coalesce_periods, pack
 from tempora.plans import algebra_views, catalog, stored, view_sql
 from tempora.plans.load import load
 from tempora.plans.statements import statements
@@ -277,3 +277,33 @@ def test_broadcasts_of_one_category_total_share_the_driver(spark):
         members = olap._members(ic, q, n)
         assert ("BroadcastHashJoin" in physical(members)) == found
         assert olap.by_category(facts, ic, q, n).count() == 1
+
+
+@pytest.mark.parametrize("bound", [100, None])
+def test_category_totals_read_their_members_once(spark, tmp_path, bound):
+    """Neither members nor the sales of an item meet rows of their own, and none is copied into cells of days."""
+    facts = rel(
+        spark,
+        [("i1", Decimal("1.00"), 1, 2), ("i1", Decimal("2.00"), 1, 2), ("i1", None, 70, 71), ("i2", None, 5, 6), ("i3", Decimal("4.00"), 400, 401), (None, Decimal("8.00"), 1, 2)],
+        "item_id string, net_paid decimal(7,2), sold_d date, x date",
+    ).drop("x")
+    ic = [("i1", 1, 0, 9), ("i1", 1, 60, 99), ("i2", 1, 0, 9), ("i3", 1, 0, 9), ("i3", 2, 380, 420)]
+    rel(spark, ic, "item_id string, cat_id int, from_d date, to_d date").write.parquet(f"{tmp_path}/ic")
+    ic = spark.read.parquet(f"{tmp_path}/ic")
+    pack(ic, ["item_id", "cat_id"]).write.parquet(f"{tmp_path}/ic_ss")
+    q = rel(spark, [(1, 0, 80), (2, 300, 390), (2, 395, 500)], "cat_id int, from_d date, to_d date")
+    literal = olap.by_category_literal(facts, ic, q, bound)
+    sets = olap.by_category_span_set(facts, spark.read.parquet(f"{tmp_path}/ic_ss"), q, bound)
+    for df in (literal, sets):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("FileScan parquet") == 1
+    assert out(literal) == sorted([(1, 0, 9, Decimal("3.00")), (1, 60, 80, Decimal("3.00")), (2, 395, 420, Decimal("4.00"))])
+    got = {(r["cat_id"], len(r["vt"])): r["total_sales"] for r in sets.collect()}
+    assert got == {(1, 2): Decimal("3.00"), (1, 1): None, (2, 2): Decimal("4.00")}
+
+
+def test_members_of_category_totals_are_stored_once(spark, tmp_path):
+    lines = spark.range(10).selectExpr("id l_orderkey", "id l_partkey", "id l_suppkey", "1 l_linenumber", "2.0D l_extendedprice", "'N' l_returnflag", "timestamp'2000-01-02' l_shipdate")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    w = catalog.Inputs(spark, str(tmp_path), "versions")
+    assert w.table("item_category") is w.table("item_category") and w.table("item_category").count() == 10
