@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tempora.functions.spans import FROM, TO, contains_day, spans_contain, spans_intersect
 from tempora.operators.periods import CELL_DAYS, Keys, cell_of, in_cells, unpack, valid
 from tempora.operators.sized import SHARED_BYTES, is_small, salted, small
+from tempora.sources.tables import replace_table, scratch_dir
 
 TOTAL = "decimal(18,2)"
 
@@ -62,7 +63,9 @@ def pruned(facts: DataFrame, rel: DataFrame, key: str = "item_id") -> DataFrame:
         own = other = [key]
     taken = rel.select(F.pmod(F.xxhash64(*other), F.lit(CELLS)).cast("int").alias("_taken")).distinct()
     of = facts.withColumn("_taken", F.pmod(F.xxhash64(*own), F.lit(CELLS)).cast("int"))
-    return of.join(F.broadcast(taken), "_taken", "left_semi").drop("_taken")
+    # Stored, so that Spark knows how few they are and broadcasts them by itself.
+    taken = replace_table(taken, f"{scratch_dir(taken.sparkSession)}/taken")
+    return of.join(taken, "_taken", "left_semi").drop("_taken")
 
 
 def per_day(facts: DataFrame, key: str = "item_id") -> DataFrame:
